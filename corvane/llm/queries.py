@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import leakage, overlap
+from corvane.llm import leakage, overlap, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,11 +34,16 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "passage_id")
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.split_sentences(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found,
         "p2_report": p2_report,
         "p8_found": p8_found,
+        "p9_found": p9_found,
     }
 
 
