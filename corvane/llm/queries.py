@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import docpairs, leakage, overlap, segments, sentences
+from corvane.llm import docpairs, leakage, nearcopies, overlap, packing, segments, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.overlap_report(_table(spark, sf, "questions"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nearcopies.near_copy_groups(_table(spark, sf, "chunks")).select("ord", "group_ord")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.pair_documentation(_table(spark, sf, "chunks")).select("ord")
 
@@ -45,6 +49,10 @@ def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return segments.split_oversized(_table(spark, sf, "chunks")).drop("boundaries")
 
 
+def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_table(spark, sf, "documents"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     found = leakage.find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_passages"))
     return found.select("doc_id", "passage_id")
@@ -58,10 +66,12 @@ def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found,
         "p2_report": p2_report,
+        "p3_found": p3_found,
         "p5_found": p5_found,
         "p5_pairs": p5_pairs,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
+        "p7_pack": p7_pack,
         "p8_found": p8_found,
         "p9_found": p9_found,
     }
