@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import docpairs, leakage, nearcopies, overlap, packing, segments, sentences
+from corvane.llm import docpairs, leakage, nearcopies, neighbours, overlap, packing, segments, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,16 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return nearcopies.near_copy_groups(_table(spark, sf, "chunks")).select("ord", "group_ord")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = neighbours.nearest(_table(spark, sf, "vectors"), min_cosine=0.8)
+    pair = [F.least("content_hash", "neighbour").alias("hash_a"), F.greatest("content_hash", "neighbour").alias("hash_b")]
+    return near.select("provider", *pair).distinct()
+
+
+def p4_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf, "vectors"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.pair_documentation(_table(spark, sf, "chunks")).select("ord")
 
@@ -67,6 +77,8 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_report": p2_report,
         "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_nearest": p4_nearest,
         "p5_found": p5_found,
         "p5_pairs": p5_pairs,
         "p6_found": p6_found,
