@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import docpairs, leakage, nearcopies, neighbours, overlap, packing, segments, sentences
+from corvane.llm import docpairs, leakage, nearcopies, neighbours, overlap, packing, provenance, segments, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,16 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = provenance.classify_files(_table(spark, sf, "chunks"), _table(spark, sf, "projects"))
+    return found.select("project_id", "path")
+
+
+def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    found = provenance.classify_files(_table(spark, sf, "chunks"), _table(spark, sf, "projects"))
+    return found.groupBy("project_id", "reason").agg(F.count("*").alias("files"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     found = overlap.find_overlaps(_table(spark, sf, "questions"))
     return found.filter("eval_id <> train_id").select(*_pair("eval_id", "train_id")).distinct()
@@ -74,6 +84,8 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_reasons": p1_reasons,
         "p2_found": p2_found,
         "p2_report": p2_report,
         "p3_found": p3_found,
