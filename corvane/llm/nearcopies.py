@@ -100,18 +100,18 @@ def _records(batches: Iterator[pa.RecordBatch], min_words: int, trees: int) -> I
 
 
 def _branch(batches: Iterator[pa.RecordBatch], level: int, fan: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, rep, tokens) -> (child, rep), ``fan`` children each."""
+    """Rows (node, rep, tokens, tag) -> (child, rep, tag), ``fan`` children each."""
     for b in batches:
-        nodes, reps = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-        out_n, out_r = [], []
-        for node, rep, raw in zip(nodes.tolist(), reps, b.column(2).to_pylist()):
+        out_n, out_r, out_t = [], [], []
+        for node, rep, raw, tag in zip(*(b.column(i).to_pylist() for i in range(4))):
             t = np.frombuffer(raw, dtype=_U32)
             for k in range(fan):
                 m, a, _ = _odd((level << 8) + k + 500)
                 low = int((t * _U32(m) + _U32(a)).min())
                 out_n.append(xxhash.xxh3_64_intdigest(b"%d,%d,%d" % (node, k, low)) >> 1)
                 out_r.append(rep)
-        yield pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), pa.array(out_r, pa.int64())], names=["node", "rep"])
+                out_t.append(tag)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (out_n, out_r, out_t)], names=["node", "rep", "tag"])
 
 
 class _Linker:
@@ -246,13 +246,13 @@ def links(
     spark_levels: int,
 ) -> DataFrame:
     """Verified links (a, b) between the representative records."""
-    payload = records.select(F.col("ord").alias("rep"), "tokens", "sketch")
-    rows = reps.select("rep", F.explode("sel").alias("node"))
+    payload = records.select(F.col("ord").alias("rep"), F.xxhash64("set_id").alias("tag"), "tokens", "sketch")
+    rows = reps.select("rep", "tag", F.explode("sel").alias("node"))
     ready = None
     for level in range(spark_levels + 1):
         size = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         kept = stage(rows.join(size, "node"), "nodes")
-        fits = kept.filter(F.col("size") <= node_limit).select("node", "rep")
+        fits = kept.filter(F.col("size") <= node_limit).select("node", "rep", "tag")
         ready = fits if ready is None else ready.unionAll(fits)
         large = kept.filter(F.col("size") > node_limit)
         if large.limit(1).count() == 0:
@@ -264,12 +264,13 @@ def links(
             own = F.pmod(F.xxhash64("rep"), parts).cast("int")
             pairs = large.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             key = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-            ready = ready.unionAll(pairs.select(key.alias("node"), "rep"))
+            ready = ready.unionAll(pairs.select(key.alias("node"), "rep", "tag"))
             break
-        rows = large.select("node", "rep").join(payload.select("rep", "tokens"), "rep").select("node", "rep", "tokens").mapInArrow(
-            partial(_branch, level=level, fan=fan), "node bigint, rep bigint"
+        rows = large.select("node", "rep", "tag").join(payload.select("rep", "tag", "tokens"), ["rep", "tag"]).select("node", "rep", "tokens", "tag").mapInArrow(
+            partial(_branch, level=level, fan=fan), "node bigint, rep bigint, tag bigint"
         )
-    work = ready.join(payload, "rep").select("node", "rep", "tokens", "sketch").repartition("node").sortWithinPartitions("node", "rep")
+    # the tag names the version of a record: of several under one ord only the chosen one joins
+    work = ready.join(payload, ["rep", "tag"]).select("node", "rep", "tokens", "sketch").repartition("node").sortWithinPartitions("node", "rep")
     return work.mapInArrow(partial(_compare_nodes, threshold=threshold, leaf=leaf, fan=fan, depth=depth), "a bigint, b bigint")
 
 
@@ -302,10 +303,9 @@ def near_copy_groups(
     members = records.groupBy("ord").agg(F.max(F.struct("seen", "set_id")).alias("m")).select("ord", "m.set_id")
     classes = members.groupBy("set_id").agg(F.min("ord").alias("rep"), F.count("*").alias("copies"))
     chosen = records.select("ord", "set_id", "sel").join(classes.select("set_id", F.col("rep").alias("ord")), ["set_id", "ord"])
-    reps = chosen.select(F.col("ord").alias("rep"), "sel").dropDuplicates(["rep"])
-    payload = records.join(classes.select("set_id", F.col("rep").alias("ord")), ["set_id", "ord"], "left_semi")
+    reps = chosen.select(F.col("ord").alias("rep"), F.xxhash64("set_id").alias("tag"), "sel").dropDuplicates(["rep"])
     found = links(
-        payload, reps, threshold=threshold, leaf=leaf, fan=fan, depth=depth, node_limit=node_limit, spark_levels=spark_levels
+        records, reps, threshold=threshold, leaf=leaf, fan=fan, depth=depth, node_limit=node_limit, spark_levels=spark_levels
     )
     roots = connected_components(found)
     grouped = classes.join(roots, classes["rep"] == roots["node"], "left").filter("copies > 1 or root is not null")
