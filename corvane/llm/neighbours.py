@@ -246,11 +246,12 @@ def nearest(
     shared = spark.sparkContext.broadcast(models)
     rows = stage(reps.mapInArrow(partial(_assign, models=shared, lists=lists, ratio=ratio), "list bigint, rep string, v binary"), "lists")
     size = rows.groupBy("list").agg(F.count("*").alias("size"))
-    large = size.filter(F.col("size") > block)
-    work = rows.join(size, "list")
-    if large.limit(1).count():
+    work = rows
+    # the sizes are joined only where a list must be cut: behind a join on ``list`` Spark takes the
+    # repartition below for redundant, and may read the join's shuffle in another order
+    if size.filter(F.col("size") > block).limit(1).count():
         half = block // 2
-        work = work.withColumn("parts", F.when(F.col("size") > block, (F.col("size") / half).cast("int") + 1).otherwise(1))
+        work = rows.join(size, "list").withColumn("parts", F.when(F.col("size") > block, (F.col("size") / half).cast("int") + 1).otherwise(1))
         work = work.withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         work = work.withColumn("list", F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")))
     work = work.select("list", "rep", "v").repartition("list").sortWithinPartitions("list", "rep")
