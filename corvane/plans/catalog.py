@@ -1,17 +1,437 @@
-"""Catalogue of named queries over a directory of tables."""
+"""Catalogue of named queries over a directory of tables.
+
+Every query runs over its whole tables. A scope of search is a project: questions are asked of
+the code base they belong to, all of them in one job.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corvane.functions import text as T
+from corvane.functions.stats import wilson
+from corvane.operators import bm25, chunks as chunk_ops, citations, evaluate, expand, facets, fusion, vector
+from corvane.plans import answer, search
+from corvane.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
+K = 8
+CONFIG = search.SearchConfig(k=K)
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk_ops.latest(_read(spark, sf, "chunks"))
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.clean_questions(_read(spark, sf, "questions"))
+
+
+def _batch(q: DataFrame) -> DataFrame:
+    return q.select(F.col("id").alias("query_id"), F.col("project_id").alias("scope"), F.col("question").alias("text"))
+
+
+def _index(spark: SparkSession, sf: str) -> search.Index:
+    """Index over a staged copy of the clean chunks, which several steps read."""
+    names = ["ord", "project_id", "kind", "path", "name", "location", "start_line", "context", "text"]
+    return search.Index(stage(_chunks(spark, sf).select(*names), "chunks"))
+
+
+def _ranking(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "ord", F.round("score", 6).alias("score"), "rank")
+
+
+# --- scalars -------------------------------------------------------------------------------
+
+
+def tokenize_terms(spark, sf):
+    t = bm25.terms(_chunks(spark, sf))
+    return t.select("ord", F.array_join("tokens", " ").alias("terms"), F.size("tokens").alias("n"))
+
+
+def doc_term_counts(spark, sf):
+    post = bm25.postings(bm25.terms(_chunks(spark, sf)))
+    return post.groupBy("scope", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def chunk_weight(spark, sf):
+    return _chunks(spark, sf).select("ord", T.chunk_weight(F.col("kind"), F.col("text")).alias("weight"))
+
+
+def content_hash(spark, sf):
+    h = T.content_hash(F.col("context"), F.col("text"))
+    return _chunks(spark, sf).select("ord", h.alias("computed"), F.col("content_hash").eqNullSafe(h).alias("same"))
+
+
+def narrow_query(spark, sf):
+    return _questions(spark, sf).select("id", T.narrow(F.col("question")).alias("narrowed"))
+
+
+def numbered_snippet(spark, sf):
+    c = _chunks(spark, sf).filter("text is not null and start_line is not null")
+    return c.select("ord", T.numbered(F.col("text"), F.col("start_line")).alias("body"), T.snippet(F.col("text")).alias("head"))
+
+
+def token_cost(spark, sf):
+    d = _read(spark, sf, "documents").select("doc_id", "lang", "text").distinct().filter("text is not null")
+    s = d.groupBy("lang").agg(F.sum(F.length("text")).alias("fresh"), F.count("*").alias("n"))
+    return s.select("lang", "fresh", F.round(T.token_cost(F.col("fresh"), F.col("n"), F.col("n"), F.col("n")), 6).alias("cost"))
+
+
+# --- the chunk table -----------------------------------------------------------------------
+
+
+def stats_by_kind(spark, sf):
+    return chunk_ops.count_by_kind(_chunks(spark, sf))
+
+
+def stats_top_files(spark, sf):
+    return chunk_ops.top_files(_chunks(spark, sf))
+
+
+def stats_text_length(spark, sf):
+    return chunk_ops.text_length(_chunks(spark, sf))
+
+
+def index_status(spark, sf):
+    return chunk_ops.index_status(_chunks(spark, sf))
+
+
+def composition(spark, sf):
+    return chunk_ops.composition(_chunks(spark, sf))
+
+
+def language_signal(spark, sf):
+    return chunk_ops.language_signal(_chunks(spark, sf))
+
+
+def missing_vectors(spark, sf):
+    return chunk_ops.missing_vectors(_chunks(spark, sf), _read(spark, sf, "vectors"), "lokal")
+
+
+def cost_estimate(spark, sf):
+    return chunk_ops.embedding_cost(_chunks(spark, sf), _read(spark, sf, "vectors"), "lokal")
+
+
+def grep_substring(spark, sf):
+    return chunk_ops.grep(_chunks(spark, sf), "ledger").select("ord", "location")
+
+
+def chunk_lookup(spark, sf):
+    """First chunk of every location in a file that some question expects."""
+    c = _chunks(spark, sf).filter("location is not null")
+    asked = _read(spark, sf, "questions").select("project_id", F.explode("expect_files").alias("path")).distinct()
+    wanted = c.select("project_id", "location", F.split_part("location", F.lit(":"), F.lit(1)).alias("path")).join(asked, ["project_id", "path"], "left_semi")
+    return chunk_ops.lookup(c, wanted.select("project_id", "location")).select("project_id", "location", "ord", "name")
+
+
+def cache_upsert(spark, sf):
+    """Merge of the two providers' keys, the first one winning."""
+    v = _read(spark, sf, "vectors").filter("content_hash is not null")
+    part = lambda p: v.filter(F.col("provider") == p).groupBy("content_hash").agg(F.max(F.when(F.col("vec").isNotNull(), F.size("vec"))).alias("d"))
+    return chunk_ops.upsert(part("hash"), part("lokal"), ["content_hash"])
+
+
+def project_upsert(spark, sf):
+    """One registration per project id: the one with most chunks, with its slug and resolved mode."""
+    p = _read(spark, sf, "projects")
+    w = Window.partitionBy("id").orderBy(F.desc_nulls_last("chunks"), F.desc_nulls_last("added"), "repo")
+    mode = F.when(F.col("mode").isin(*search.MODES), F.col("mode")).when(F.col("provider") == "hash", "hybrid").otherwise("vector")
+    one = p.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
+    return one.select("id", T.slug(F.col("name")).alias("slug"), "repo", "chunks", "files", mode.alias("mode"))
+
+
+def enrich_context_join(spark, sf):
+    """Each chunk's context extended by the docstring known for its content, hashed anew."""
+    c = _chunks(spark, sf)
+    s = c.filter("docstring is not null").select("content_hash", F.col("docstring").alias("sentence"))
+    e = answer.enrich(c, s)
+    return e.select("ord", "content_hash", F.col("llm_context").isNotNull().alias("enriched"))
+
+
+# --- ranking -------------------------------------------------------------------------------
+
+
+def bm25_topk(spark, sf):
+    index = _index(spark, sf)
+    return _ranking(bm25.search(_batch(_questions(spark, sf)), index.tokens, 20))
+
+
+def hash_embed_topk(spark, sf):
+    index, q = _index(spark, sf), _batch(_questions(spark, sf))
+    return _ranking(vector.hashed_topk(index.hashed_queries(q), index.hashed_chunks(), 20))
+
+
+def blake_embed_topk(spark, sf):
+    """As ``hash_embed_topk`` with the exchangeable BLAKE2b buckets."""
+    index, q = search.Index(_index(spark, sf).chunks, "hash"), _batch(_questions(spark, sf))
+    return _ranking(vector.hashed_topk(index.hashed_queries(q), index.hashed_chunks(), 20))
+
+
+def _embeddings(spark, sf):
+    e = _read(spark, sf, "embeddings")
+    return e, e.select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"))
+
+
+def vector_topk(spark, sf):
+    e, v = _embeddings(spark, sf)
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return _ranking(vector.cosine_topk(q, v, 10))
+
+
+def vector_label_recall(spark, sf):
+    e, v = _embeddings(spark, sf)
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    top = vector.cosine_topk(q, v, 10)
+    labels = e.select("vec_id", "label")
+    both = top.join(labels.withColumnRenamed("vec_id", "query_id"), "query_id").join(
+        labels.select(F.col("vec_id").alias("ord"), F.col("label").alias("hit_label")), "ord"
+    )
+    return both.groupBy("label").agg(F.count("*").alias("hits"), F.round(F.avg((F.col("label") == F.col("hit_label")).cast("int")), 6).alias("same_label"))
+
+
+def _fused(spark, sf):
+    index, q = _index(spark, sf), _batch(_questions(spark, sf))
+    pool = CONFIG.pool_size
+    rankings = {
+        "bm25": bm25.search(q, index.tokens, pool),
+        "vector": vector.hashed_topk(index.hashed_queries(q), index.hashed_chunks(), pool),
+    }
+    return index, fusion.fuse(rankings, pool)
+
+
+def _with_sources(df):
+    return df.select("query_id", "ord", F.round("score", 6).alias("score"), F.array_join("sources", ",").alias("sources"), "rank")
+
+
+def rrf_hybrid(spark, sf):
+    return _with_sources(_fused(spark, sf)[1])
+
+
+def rrf_weighted(spark, sf):
+    index, fused = _fused(spark, sf)
+    return _with_sources(fusion.reweigh(fused, index.weights(False)))
+
+
+def _hits_of(hits):
+    return hits.select("query_id", "pos", "ord", "path", F.round("score", 6).alias("score"), "stage")
+
+
+def search_bm25(spark, sf):
+    return _hits_of(search.search(_batch(_questions(spark, sf)), _index(spark, sf), search.SearchConfig(k=5, mode="bm25")))
+
+
+def expand_full(spark, sf):
+    return _hits_of(search.search(_batch(_questions(spark, sf)), _index(spark, sf), CONFIG))
+
+
+# --- expansion -----------------------------------------------------------------------------
+
+
+def _slots(df):
+    return df.select("query_id", "ord", "path", F.col("at").alias("slot"))
+
+
+def _ranked_paths(spark, sf):
+    index = _index(spark, sf)
+    ranked = stage(search.candidates(_batch(_questions(spark, sf)), index, CONFIG), "ranked")
+    return index, expand.with_paths(ranked, index.chunks)
+
+
+def expand_unseen_files(spark, sf):
+    return _slots(expand.unseen_files(_ranked_paths(spark, sf)[1], K))
+
+
+def expand_sibling_dirs(spark, sf):
+    _, r = _ranked_paths(spark, sf)
+    return _slots(expand.sibling_files(r, expand.numbered([expand.head(r, K), expand.unseen_files(r, K)])))
+
+
+def _selected(r):
+    first = [expand.head(r, K), expand.unseen_files(r, K)]
+    return expand.numbered([*first, expand.sibling_files(r, expand.numbered(first))])
+
+
+def expand_references(spark, sf):
+    index, r = _ranked_paths(spark, sf)
+    return _slots(expand.referencing_files(_selected(r), expand.import_edges(index.chunks), expand.module_chunks(index.chunks)))
+
+
+def expand_imports(spark, sf):
+    index, r = _ranked_paths(spark, sf)
+    q = _batch(_questions(spark, sf))
+    close = vector.hashed_topk(index.hashed_queries(q), index.hashed_chunks(), 2**31 - 1).select("query_id", "ord", F.col("score").alias("cosine"))
+    return _slots(expand.imported_files(_selected(r), expand.import_edges(index.chunks), expand.module_chunks(index.chunks), close, index.shims(), 2))
+
+
+def import_edges(spark, sf):
+    return expand.import_edges(_chunks(spark, sf))
+
+
+# --- facets --------------------------------------------------------------------------------
+
+
+def _facets(spark, sf, narrowed=False):
+    index, questions = _index(spark, sf), _questions(spark, sf)
+    q = _batch(questions)
+    if narrowed:
+        q = questions.select(F.col("id").alias("query_id"), F.col("project_id").alias("scope"), T.narrow(F.col("question")).alias("text"))
+    pool = stage(search.candidates(q, index, search.SearchConfig(k=K, pool=facets.POOL)), "pool")
+    return index, questions, q, pool, facets.facets(pool, index.chunks)
+
+
+def facet_clusters(spark, sf):
+    f = _facets(spark, sf)[-1]
+    three = lambda c: F.array_join(F.slice(c, 1, 3), ",")
+    return f.select(
+        "query_id", "directory", "chunks", "best_rank", three("symbols").alias("symbols"), three("children").alias("children"),
+        F.size("children").alias("children_total"), "facet_rank", facets.label().alias("label"),
+    )
+
+
+def facet_query_terms(spark, sf):
+    *_, q, _, f = _facets(spark, sf, narrowed=True)
+    return f.join(q, "query_id").select("query_id", "facet_rank", facets.refined_query(F.col("text")).alias("refined"))
+
+
+def facet_search_within(spark, sf):
+    index, _, _, pool, f = _facets(spark, sf)
+    first = f.filter("facet_rank = 1").select("query_id", "directory")
+    return facets.within(pool, index.chunks, first, K).select("query_id", "ord", "pos")
+
+
+def facet_measure(spark, sf):
+    """Narrowed questions: found as they are, by a facet that covers a file, by the best refined query."""
+    index, questions, q, _, f = _facets(spark, sf, narrowed=True)
+    f = stage(f, "facets")
+    j = evaluate.judgments(questions).withColumnRenamed("question_id", "query_id")
+    plain = search.search(q, index, CONFIG).join(j, ["query_id", "path"], "left_semi").select("query_id").distinct()
+    # a facet covers a file if it is one of the file's directories
+    above = j.select("query_id", F.explode(T.ancestors(T.directory(F.col("path")))).alias("directory"))
+    menu = f.join(above, ["query_id", "directory"], "left_semi").select("query_id").distinct()
+    refined = f.join(q, "query_id").select(
+        F.concat_ws("#", "query_id", F.col("facet_rank").cast("string")).alias("query_id"), "scope", facets.refined_query(F.col("text")).alias("text")
+    )
+    again = search.search(refined, index, CONFIG).select(F.split_part("query_id", F.lit("#"), F.lit(1)).alias("query_id"), "path")
+    ceiling = again.join(j, ["query_id", "path"], "left_semi").select("query_id").union(plain).distinct()
+    out = None
+    for name, hits in (("plain", plain), ("menu", menu), ("ceiling", ceiling)):
+        part = questions.select(F.col("id").alias("query_id"), "split").join(hits.withColumn("hit", F.lit(1)), "query_id", "left")
+        part = part.groupBy("split").agg(F.lit(name).alias("measure"), F.count("*").alias("n"), F.count("hit").alias("hits"))
+        out = part if out is None else out.unionByName(part)
+    low, high = wilson(F.col("hits"), F.col("n"))
+    return out.select("split", "measure", "n", "hits", F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
+
+
+# --- evaluation ----------------------------------------------------------------------------
+
+
+def question_split(spark, sf):
+    q = _questions(spark, sf)
+    return q.groupBy("split").agg(
+        F.count("*").alias("questions"), F.sum(F.size("expect_files")).alias("files"), F.count_if(F.size("expect_symbols") > 0).alias("with_symbols")
+    )
+
+
+def _results(spark, sf):
+    index, q = _index(spark, sf), _questions(spark, sf)
+    hits = stage(search.search(_batch(q), index, CONFIG).select("query_id", "pos", "ord", "path"), "hits")
+    return evaluate.per_question(q, hits, index.chunks.select("ord", "name"))
+
+
+def eval_per_question(spark, sf):
+    return _results(spark, sf).select(
+        "question_id", "split", "set_name", "expected", "returned", "rank", "symbols_found", "found", F.round("coverage", 6).alias("coverage")
+    )
+
+
+def eval_report(spark, sf):
+    return evaluate.report(_results(spark, sf))
+
+
+def eval_by_split(spark, sf):
+    return evaluate.report(_results(spark, sf), ["split"])
+
+
+def eval_by_set(spark, sf):
+    return evaluate.report(_results(spark, sf), ["set_name"])
+
+
+def smoke_sample(spark, sf):
+    index = _index(spark, sf)
+    return evaluate.smoke_sample(index.chunks, index.weights(False))
+
+
+def smoke_test(spark, sf):
+    index = _index(spark, sf)
+    sample = stage(evaluate.smoke_sample(index.chunks, index.weights(False)), "sample")
+    q = sample.select(F.col("ord").cast("string").alias("query_id"), F.col("project_id").alias("scope"), F.col("name").alias("text"))
+    hits = search.search(q, index, CONFIG).join(index.chunks.select("ord", "location"), "ord")
+    return evaluate.smoke_report(sample, hits.select("query_id", "location"))
+
+
+# --- citations and answers -----------------------------------------------------------------
+
+
+def _cited(spark, sf):
+    docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), "text").filter("text is not null").distinct()
+    return citations.answer_citations(docs)
+
+
+def extract_citations(spark, sf):
+    return _cited(spark, sf).select(F.col("answer_id").alias("doc_id"), "n", "citation")
+
+
+def _files(chunks):
+    end = F.greatest(F.coalesce("end_line", "start_line"), F.col("start_line"))
+    return chunks.filter("path is not null").groupBy("path").agg(F.max(end).alias("n_lines"))
+
+
+def verify_citations(spark, sf):
+    files = _files(_chunks(spark, sf))
+    return citations.verify(_cited(spark, sf), files, files)
+
+
+def source_window(spark, sf):
+    """Source around the first line of every class."""
+    c = _chunks(spark, sf)
+    at = c.filter("kind = 'class' and start_line is not null").select("project_id", "path", F.col("start_line").alias("line")).distinct()
+    return citations.source_window(at, citations.source_lines(c)).select("project_id", "path", "line", "line_no", "text")
+
+
+def answer_metrics(spark, sf):
+    """Answers that cite the first line of each expected file, of all questions but those for tuning."""
+    q, files = _questions(spark, sf), _files(_chunks(spark, sf))
+    refs = q.filter("split <> 'dev'").select(F.col("id").alias("question_id"), F.explode("expect_files").alias("path"))
+    known = refs.join(files.select("path", F.lit(True).alias("there")), "path", "left").withColumn("citation", F.concat("path", F.lit(":1")))
+    answers = known.groupBy("question_id").agg(
+        F.collect_list("citation").alias("citations"), F.collect_list(F.when(F.col("there").isNull(), F.col("citation"))).alias("unverified")
+    )
+    return evaluate.answer_report(q, answers)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    fns = [
+        tokenize_terms, doc_term_counts, chunk_weight, content_hash, narrow_query, numbered_snippet, token_cost,
+        stats_by_kind, stats_top_files, stats_text_length, index_status, composition, language_signal, missing_vectors, cost_estimate,
+        grep_substring, chunk_lookup, cache_upsert, project_upsert, enrich_context_join,
+        bm25_topk, hash_embed_topk, blake_embed_topk, vector_topk, vector_label_recall, rrf_hybrid, rrf_weighted, search_bm25, expand_full,
+        expand_unseen_files, expand_sibling_dirs, expand_references, expand_imports, import_edges,
+        facet_query_terms, facet_search_within, facet_measure,
+        question_split, eval_per_question, eval_report, eval_by_split, eval_by_set, smoke_sample, smoke_test,
+        extract_citations, verify_citations, source_window, answer_metrics,
+    ]
+    return {f.__name__: f for f in fns} | {"facets": facet_clusters}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from corvane.plans.oracle import oracle_sql as sql
+
+    return sql()
