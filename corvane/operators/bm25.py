@@ -31,8 +31,14 @@ def terms(chunks: DataFrame) -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """``scope ord term tf``."""
-    return tokens.select("scope", "ord", F.explode("tokens").alias("term")).groupBy("scope", "ord", "term").agg(F.count("*").alias("tf"))
+    """``scope ord term dl tf``. Tokens partitioned by ``ord`` stay where they are."""
+    rows = tokens.select("scope", "ord", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return rows.groupBy("scope", "ord", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+def lengths(tokens: DataFrame) -> DataFrame:
+    """``scope ord dl``, documents without a term included."""
+    return tokens.select("scope", "ord", F.size("tokens").alias("dl"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -44,9 +50,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def idf(post: DataFrame, tokens: DataFrame, p: BM25) -> DataFrame:
+def idf(post: DataFrame, length: DataFrame, p: BM25) -> DataFrame:
     """``scope term idf`` with the floor for terms in more than half of the documents."""
-    size = tokens.groupBy("scope").agg(F.count("*").alias("n"))
+    size = length.groupBy("scope").agg(F.count("*").alias("n"))
     df = post.groupBy("scope", "term").agg(F.count("*").alias("df")).join(size, "scope")
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = df.withColumn("raw", raw)
@@ -54,15 +60,19 @@ def idf(post: DataFrame, tokens: DataFrame, p: BM25) -> DataFrame:
     return df.join(mean, "scope").select("scope", "term", F.when(F.col("raw") < 0, p.epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def search(queries: DataFrame, tokens: DataFrame, k: int, p: BM25 | None = None) -> DataFrame:
-    """``query_id ord score rank``: the best ``k`` with a positive score; ties go to the smaller ``ord``."""
+def search(
+    queries: DataFrame, tokens: DataFrame, k: int, p: BM25 | None = None, post: DataFrame | None = None, length: DataFrame | None = None
+) -> DataFrame:
+    """``query_id ord score rank``: the best ``k`` with a positive score; ties go to the smaller ``ord``.
+
+    ``post`` and ``length`` are the index tables made from ``tokens``, where they are there already.
+    """
     p = p or BM25()
-    post = postings(tokens)
-    weight = idf(post, tokens, p)
-    length = tokens.select("scope", "ord", F.size("tokens").alias("dl"))
+    post = postings(tokens) if post is None else post
+    length = lengths(tokens) if length is None else length
     mean = length.groupBy("scope").agg(F.avg("dl").alias("avgdl"))
-    wanted = query_terms(queries).join(weight, ["scope", "term"])
-    hit = post.join(wanted, ["scope", "term"]).join(length, ["scope", "ord"]).join(mean, "scope")
+    wanted = query_terms(queries).join(idf(post, length, p), ["scope", "term"]).join(mean, "scope")
+    hit = post.join(wanted, ["scope", "term"])
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
     scored = hit.groupBy("query_id", "ord").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")

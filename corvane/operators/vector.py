@@ -7,7 +7,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.bm25 import top
@@ -101,6 +101,8 @@ def blake_buckets(vocabulary: DataFrame) -> DataFrame:
 def hashed(term_counts: DataFrame, keys: list[str], provider: str = "md5") -> DataFrame:
     """Unit term-frequency vectors as sparse rows ``keys.. bucket w`` from ``keys.. term tf``.
 
+    Rows partitioned by ``keys`` are summed and normalised where they are.
+
     ``provider``: ``md5`` stays in the JVM; ``hash`` is the exchangeable BLAKE2b one, for which
     only the distinct vocabulary visits a Python worker.
     """
@@ -109,8 +111,8 @@ def hashed(term_counts: DataFrame, keys: list[str], provider: str = "md5") -> Da
     else:
         with_bucket = term_counts.join(blake_buckets(term_counts), "term")
     summed = with_bucket.groupBy(*keys, "bucket").agg(F.sum("tf").alias("tf"))
-    norm = summed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    return summed.join(norm, keys).select(*keys, "bucket", (F.col("tf") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(*keys)))
+    return summed.select(*keys, "bucket", (F.col("tf") / norm).alias("w"))
 
 
 def hashed_topk(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame:

@@ -39,9 +39,7 @@ def _batch(q: DataFrame) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> search.Index:
-    """Index over a staged copy of the clean chunks, which several steps read."""
-    names = ["ord", "project_id", "kind", "path", "name", "location", "start_line", "context", "text"]
-    return search.Index(stage(_chunks(spark, sf).select(*names), "chunks"))
+    return search.Index(_chunks(spark, sf))
 
 
 def _ranking(df: DataFrame) -> DataFrame:
@@ -161,18 +159,18 @@ def enrich_context_join(spark, sf):
 
 def bm25_topk(spark, sf):
     index = _index(spark, sf)
-    return _ranking(bm25.search(_batch(_questions(spark, sf)), index.tokens, 20))
+    return _ranking(index.bm25(_batch(_questions(spark, sf)), 20))
 
 
 def hash_embed_topk(spark, sf):
     index, q = _index(spark, sf), _batch(_questions(spark, sf))
-    return _ranking(vector.hashed_topk(index.hashed_queries(q), index.hashed_chunks(), 20))
+    return _ranking(index.hashed(q, 20))
 
 
 def blake_embed_topk(spark, sf):
     """As ``hash_embed_topk`` with the exchangeable BLAKE2b buckets."""
-    index, q = search.Index(_index(spark, sf).chunks, "hash"), _batch(_questions(spark, sf))
-    return _ranking(vector.hashed_topk(index.hashed_queries(q), index.hashed_chunks(), 20))
+    index, q = search.Index(_chunks(spark, sf), "hash"), _batch(_questions(spark, sf))
+    return _ranking(index.hashed(q, 20))
 
 
 def _embeddings(spark, sf):
@@ -200,11 +198,7 @@ def vector_label_recall(spark, sf):
 def _fused(spark, sf):
     index, q = _index(spark, sf), _batch(_questions(spark, sf))
     pool = CONFIG.pool_size
-    rankings = {
-        "bm25": bm25.search(q, index.tokens, pool),
-        "vector": vector.hashed_topk(index.hashed_queries(q), index.hashed_chunks(), pool),
-    }
-    return index, fusion.fuse(rankings, pool)
+    return index, fusion.fuse({"bm25": index.bm25(q, pool), "vector": index.hashed(q, pool)}, pool)
 
 
 def _with_sources(df):
@@ -217,7 +211,7 @@ def rrf_hybrid(spark, sf):
 
 def rrf_weighted(spark, sf):
     index, fused = _fused(spark, sf)
-    return _with_sources(fusion.reweigh(fused, index.weights(False)))
+    return _with_sources(fusion.reweigh(fused, index.weights()))
 
 
 def _hits_of(hits):
@@ -242,7 +236,7 @@ def _slots(df):
 def _ranked_paths(spark, sf):
     index = _index(spark, sf)
     ranked = stage(search.candidates(_batch(_questions(spark, sf)), index, CONFIG), "ranked")
-    return index, expand.with_paths(ranked, index.chunks)
+    return index, expand.with_paths(ranked, index.docs)
 
 
 def expand_unseen_files(spark, sf):
@@ -261,14 +255,14 @@ def _selected(r):
 
 def expand_references(spark, sf):
     index, r = _ranked_paths(spark, sf)
-    return _slots(expand.referencing_files(_selected(r), expand.import_edges(index.chunks), expand.module_chunks(index.chunks)))
+    return _slots(expand.referencing_files(_selected(r), index.edges, expand.module_chunks(index.docs)))
 
 
 def expand_imports(spark, sf):
     index, r = _ranked_paths(spark, sf)
     q = _batch(_questions(spark, sf))
-    close = vector.hashed_topk(index.hashed_queries(q), index.hashed_chunks(), 2**31 - 1).select("query_id", "ord", F.col("score").alias("cosine"))
-    return _slots(expand.imported_files(_selected(r), expand.import_edges(index.chunks), expand.module_chunks(index.chunks), close, index.shims(), 2))
+    close = index.hashed(q, 2**31 - 1).select("query_id", "ord", F.col("score").alias("cosine"))
+    return _slots(expand.imported_files(_selected(r), index.edges, expand.module_chunks(index.docs), close, index.shims(), 2))
 
 
 def import_edges(spark, sf):
@@ -284,7 +278,7 @@ def _facets(spark, sf, narrowed=False):
     if narrowed:
         q = questions.select(F.col("id").alias("query_id"), F.col("project_id").alias("scope"), T.narrow(F.col("question")).alias("text"))
     pool = stage(search.candidates(q, index, search.SearchConfig(k=K, pool=facets.POOL)), "pool")
-    return index, questions, q, pool, facets.facets(pool, index.chunks)
+    return index, questions, q, pool, facets.facets(pool, index.docs)
 
 
 def facet_clusters(spark, sf):
@@ -304,7 +298,7 @@ def facet_query_terms(spark, sf):
 def facet_search_within(spark, sf):
     index, _, _, pool, f = _facets(spark, sf)
     first = f.filter("facet_rank = 1").select("query_id", "directory")
-    return facets.within(pool, index.chunks, first, K).select("query_id", "ord", "pos")
+    return facets.within(pool, index.docs, first, K).select("query_id", "ord", "pos")
 
 
 def facet_measure(spark, sf):
@@ -343,7 +337,7 @@ def question_split(spark, sf):
 def _results(spark, sf):
     index, q = _index(spark, sf), _questions(spark, sf)
     hits = stage(search.search(_batch(q), index, CONFIG).select("query_id", "pos", "ord", "path"), "hits")
-    return evaluate.per_question(q, hits, index.chunks.select("ord", "name"))
+    return evaluate.per_question(q, hits, index.docs.select("ord", "name"))
 
 
 def eval_per_question(spark, sf):
@@ -366,14 +360,14 @@ def eval_by_set(spark, sf):
 
 def smoke_sample(spark, sf):
     index = _index(spark, sf)
-    return evaluate.smoke_sample(index.chunks, index.weights(False))
+    return evaluate.smoke_sample(index.docs.drop("weight"), index.weights())
 
 
 def smoke_test(spark, sf):
     index = _index(spark, sf)
-    sample = stage(evaluate.smoke_sample(index.chunks, index.weights(False)), "sample")
+    sample = stage(evaluate.smoke_sample(index.docs.drop("weight"), index.weights()), "sample")
     q = sample.select(F.col("ord").cast("string").alias("query_id"), F.col("project_id").alias("scope"), F.col("name").alias("text"))
-    hits = search.search(q, index, CONFIG).join(index.chunks.select("ord", "location"), "ord")
+    hits = search.search(q, index, CONFIG).join(index.docs.select("ord", "location"), "ord")
     return evaluate.smoke_report(sample, hits.select("query_id", "location"))
 
 

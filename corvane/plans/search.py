@@ -8,12 +8,13 @@ written once because three expansion steps read it.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import chunk_weight, is_reexport
+from corvane.functions.text import TYPE_ONLY_WEIGHT, chunk_weight, is_reexport
 from corvane.operators import bm25, expand, fusion, vector
 from corvane.session import stage
 
@@ -59,29 +60,60 @@ class SearchConfig:
 
 
 class Index:
-    """Derived tables of a clean chunk table (one row per ``ord``)."""
+    """Derived tables of a clean chunk table (one row per ``ord``).
+
+    ``docs``, ``postings`` and ``vectors`` are what a persisted index holds; each is written once,
+    when a step first asks for it. Texts are read for that and never again by a ranking.
+    """
 
     def __init__(self, chunks: DataFrame, provider: str = "md5"):
         self.chunks = chunks
         self.provider = provider
         self.tokens = bm25.terms(chunks)
 
-    def weights(self, demote: bool) -> DataFrame:
-        return self.chunks.select("ord", chunk_weight(F.col("kind"), F.col("text"), demote).alias("weight"))
-
-    def hashed_chunks(self) -> DataFrame:
+    @cached_property
+    def docs(self) -> DataFrame:
+        """The chunks without their texts, with lengths and weights."""
+        text = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("name", "context", "text")))
+        meta = self.chunks.select(
+            "ord", "project_id", "kind", "path", "name", "location", F.size(bm25.tokenize(text)).alias("dl"),
+            chunk_weight(F.col("kind"), F.col("text")).alias("weight"),
+            ((F.col("kind") == "module") & is_reexport(F.coalesce("text", F.lit("")))).alias("shim"),
+        )
+        return stage(meta, "docs")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return stage(bm25.postings(self.tokens), "postings")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
         """Hashed vectors over context, blank line and text, as embedded."""
         text = F.concat_ws("\n\n", F.coalesce("context", F.lit("")), F.coalesce("text", F.lit("")))
-        t = self.chunks.select(F.col("project_id").alias("scope"), "ord", F.explode(bm25.tokenize(text)).alias("term"))
-        return vector.hashed(t.groupBy("scope", "ord", "term").agg(F.count("*").alias("tf")), ["scope", "ord"], self.provider)
+        t = self.chunks.select(F.col("project_id").alias("scope"), "ord", bm25.tokenize(text).alias("t")).repartition("scope", "ord")
+        rows = t.select("scope", "ord", F.explode("t").alias("term"), F.lit(1).alias("tf"))
+        return stage(vector.hashed(rows, ["scope", "ord"], self.provider), "hashed")
+
+    def lengths(self) -> DataFrame:
+        return self.docs.select(F.col("project_id").alias("scope"), "ord", "dl")
 
-    def hashed_queries(self, queries: DataFrame) -> DataFrame:
+    def weights(self, demote: bool = False) -> DataFrame:
+        weight = F.when(F.col("shim"), TYPE_ONLY_WEIGHT).otherwise(F.col("weight")) if demote else F.col("weight")
+        return self.docs.select("ord", weight.alias("weight"))
+
+    def bm25(self, queries: DataFrame, k: int, p: bm25.BM25 | None = None) -> DataFrame:
+        return bm25.search(queries, self.tokens, k, p, self.postings, self.lengths())
+
+    def hashed(self, queries: DataFrame, k: int) -> DataFrame:
         t = bm25.query_terms(queries).withColumnRenamed("qtf", "tf")
-        return vector.hashed(t, ["query_id", "scope"], self.provider)
+        return vector.hashed_topk(vector.hashed(t, ["query_id", "scope"], self.provider), self.vectors, k)
 
     def shims(self) -> DataFrame:
-        m = self.chunks.filter((F.col("kind") == "module") & is_reexport(F.col("text")))
-        return m.select(F.col("project_id").alias("scope"), "path").distinct()
+        return self.docs.filter("shim").select(F.col("project_id").alias("scope"), "path").distinct()
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return stage(expand.import_edges(self.chunks), "edges")
 
 
 def candidates(queries: DataFrame, index: Index, config: SearchConfig) -> DataFrame:
@@ -90,9 +122,9 @@ def candidates(queries: DataFrame, index: Index, config: SearchConfig) -> DataFr
     pool = config.pool_size
     rankings: dict[str, DataFrame] = {}
     if mode in ("bm25", "hybrid"):
-        rankings["bm25"] = bm25.search(queries, index.tokens, pool, config.bm25)
+        rankings["bm25"] = index.bm25(queries, pool, config.bm25)
     if mode in ("vector", "hybrid"):
-        rankings["vector"] = vector.hashed_topk(index.hashed_queries(queries), index.hashed_chunks(), pool)
+        rankings["vector"] = index.hashed(queries, pool)
     fused = fusion.fuse(rankings, pool, config.weights)
     return fusion.reweigh(fused, index.weights(config.demote_reexports)) if config.weigh_chunks else fused
 
@@ -116,14 +148,14 @@ def rerank(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, reranker: R
 
 def expanded(ranked: DataFrame, index: Index, config: SearchConfig, closeness: DataFrame | None = None) -> DataFrame:
     """``query_id pos ord path score stage`` of the head and all expansion stages."""
-    r = expand.with_paths(ranked, index.chunks)
+    r = expand.with_paths(ranked, index.docs)
     stages = [expand.head(r, config.k)]
     if config.file_slots:
         stages.append(expand.unseen_files(r, config.k, config.file_slots))
     if config.directory_slots:
         stages.append(expand.sibling_files(r, expand.numbered(stages), config.directory_slots))
     if config.reference_slots or config.import_slots:
-        edges, modules = expand.import_edges(index.chunks), expand.module_chunks(index.chunks)
+        edges, modules = index.edges, expand.module_chunks(index.docs)
         if config.reference_slots:
             stages.append(expand.referencing_files(expand.numbered(stages), edges, modules, config.reference_slots))
         if config.import_slots and closeness is not None:
@@ -143,7 +175,7 @@ def search(queries: DataFrame, index: Index, config: SearchConfig | None = None,
         ranked = stage(rerank(queries, ranked, index.chunks, reranker), "reranked")
     closeness = None
     if config.import_slots:
-        every = vector.hashed_topk(index.hashed_queries(queries), index.hashed_chunks(), 2**31 - 1)
+        every = index.hashed(queries, 2**31 - 1)
         closeness = every.select("query_id", "ord", F.col("score").alias("cosine"))
     hits = expanded(ranked, index, config, closeness)
     known = ranked.select("query_id", "ord", "sources")
