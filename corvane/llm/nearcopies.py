@@ -100,18 +100,17 @@ def _records(batches: Iterator[pa.RecordBatch], min_words: int, trees: int) -> I
 
 
 def _branch(batches: Iterator[pa.RecordBatch], level: int, fan: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, rep, tokens, tag) -> (child, rep, tag), ``fan`` children each."""
+    """Rows (node, rep, tokens, tag, size) -> (child, rep, tag, node, size), ``fan`` children each."""
+    hashes = [_odd((level << 8) + k + 500) for k in range(fan)]
     for b in batches:
-        out_n, out_r, out_t = [], [], []
-        for node, rep, raw, tag in zip(*(b.column(i).to_pylist() for i in range(4))):
+        out = []
+        for node, rep, raw, tag, size in zip(*(b.column(i).to_pylist() for i in range(5))):
             t = np.frombuffer(raw, dtype=_U32)
-            for k in range(fan):
-                m, a, _ = _odd((level << 8) + k + 500)
+            for k, (m, a, _) in enumerate(hashes):
                 low = int((t * _U32(m) + _U32(a)).min())
-                out_n.append(xxhash.xxh3_64_intdigest(b"%d,%d,%d" % (node, k, low)) >> 1)
-                out_r.append(rep)
-                out_t.append(tag)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (out_n, out_r, out_t)], names=["node", "rep", "tag"])
+                out.append((xxhash.xxh3_64_intdigest(b"%d,%d,%d" % (node, k, low)) >> 1, rep, tag, node, size))
+        cols = zip(*out) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "rep", "tag", "parent", "parent_size"])
 
 
 class _Linker:
@@ -186,6 +185,9 @@ class _Linker:
             for s, e in zip(edges[:-1], edges[1:]):
                 if e - s < 2 or values[s] == 0xFFFFFFFF:
                     continue
+                if e - s > len(idx) // 2:
+                    self.compare(idx[order[s:e]])  # alike for the most part: branching wouldn't part them
+                    continue
                 token = (int(values[s]) - a) * inverse & 0xFFFFFFFF
                 self.solve(idx[order[s:e]], depth + 1, seed + 16 * (k + 1) + depth, (*path, token))
 
@@ -203,6 +205,8 @@ class _Linker:
         # a large node: each record against those of other groups only
         label = np.array([self.root(self.reps[i]) for i in idx.tolist()])
         for x in range(m - 1):
+            if x % 64 == 0 and (label[x:] == label[x]).all():
+                break  # the rest is one group already
             d = np.bitwise_count(own[x + 1 :] ^ own[x]).sum(axis=1, dtype=np.int32)
             near = x + 1 + np.flatnonzero((d <= self.far) & (label[x + 1 :] != label[x]))
             for y in near.tolist():
@@ -247,8 +251,18 @@ def links(
 ) -> DataFrame:
     """Verified links (a, b) between the representative records."""
     payload = records.select(F.col("ord").alias("rep"), F.xxhash64("set_id").alias("tag"), "tokens", "sketch")
-    rows = reps.select("rep", "tag", F.explode("sel").alias("node"))
-    ready = None
+    rows = reps.select("rep", "tag", F.explode("sel").alias("node"), F.lit(0).cast("bigint").alias("parent"), F.lit(None).cast("bigint").alias("parent_size"))
+    ready = before = None
+
+    def blocks(large: DataFrame) -> DataFrame:
+        """Blocks of large nodes, each pair of blocks as a node of its own."""
+        half = max(1, node_limit // 2)
+        parts = (F.col("size") / half).cast("int") + 1
+        own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+        pairs = large.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        key = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+        return pairs.select(key.alias("node"), "rep", "tag")
+
     for level in range(spark_levels + 1):
         size = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         kept = stage(rows.join(size, "node"), "nodes")
@@ -258,16 +272,17 @@ def links(
         if large.limit(1).count() == 0:
             break
         if level == spark_levels:
-            # no further branching: blocks of the node, each pair of blocks in a task of its own
-            half = max(1, node_limit // 2)
-            parts = (F.col("size") / half).cast("int") + 1
-            own = F.pmod(F.xxhash64("rep"), parts).cast("int")
-            pairs = large.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            key = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-            ready = ready.unionAll(pairs.select(key.alias("node"), "rep", "tag"))
+            ready = ready.unionAll(blocks(large))
             break
-        rows = large.select("node", "rep", "tag").join(payload.select("rep", "tag", "tokens"), ["rep", "tag"]).select("node", "rep", "tokens", "tag").mapInArrow(
-            partial(_branch, level=level, fan=fan), "node bigint, rep bigint, tag bigint"
+        if before is not None:
+            # a node whose child keeps most of it can't be branched apart: its records are alike
+            stuck = large.filter(F.col("size") > F.col("parent_size") / 2).select("parent").distinct()
+            ready = ready.unionAll(blocks(before.join(stuck.withColumnRenamed("parent", "node"), "node", "left_semi")))
+            large = large.join(stuck, "parent", "left_anti")
+        before = large
+        moving = large.select("node", "rep", "tag", "size").join(payload.select("rep", "tag", "tokens"), ["rep", "tag"])
+        rows = moving.select("node", "rep", "tokens", "tag", "size").mapInArrow(
+            partial(_branch, level=level, fan=fan), "node bigint, rep bigint, tag bigint, parent bigint, parent_size bigint"
         )
     # the tag names the version of a record: of several under one ord only the chosen one joins
     work = ready.join(payload, ["rep", "tag"]).select("node", "rep", "tokens", "sketch").repartition("node").sortWithinPartitions("node", "rep")
