@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokenize
+from corvane.session import stage
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,8 @@ def search(
     length = lengths(tokens) if length is None else length
     mean = length.groupBy("scope").agg(F.avg("dl").alias("avgdl"))
     wanted = query_terms(queries).join(idf(post, length, p), ["scope", "term"]).join(mean, "scope")
-    hit = post.join(wanted, ["scope", "term"])
+    # bounded by the batch of queries; written once, so its true size decides how it is joined
+    hit = post.join(stage(wanted, "query-terms"), ["scope", "term"])
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
     scored = hit.groupBy("query_id", "ord").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import ancestors, directory, facet_directory
+from corvane.session import stage
 
 POOL, MIN_CHUNKS, COVERAGE, LIMIT, SAMPLE = 300, 3, 0.25, 5, 3
 
@@ -20,8 +21,9 @@ def facets(pool: DataFrame, chunks: DataFrame, limit: int = LIMIT, coverage: flo
     rows = pool.join(chunks.select("ord", "location", "name"), "ord").select(
         "query_id", "ord", "rank", "name", facet_directory(F.col("location")).alias("dir")
     )
+    rows = stage(rows, "pool-rows")  # read three times below
     total = rows.groupBy("query_id").agg(F.count("*").alias("total"))
-    up = rows.select("query_id", "ord", "rank", F.explode(ancestors(F.col("dir"))).alias("node"))
+    up = rows.select("query_id", "ord", "rank", "name", "dir", F.explode(ancestors(F.col("dir"))).alias("node"))
     under = up.groupBy("query_id", "node").agg(F.count("*").alias("under"), F.min("rank").alias("best_rank"))
     parents = under.select("query_id", F.col("node").alias("parent"), F.col("under").alias("parent_under"))
     selected = (
@@ -31,9 +33,9 @@ def facets(pool: DataFrame, chunks: DataFrame, limit: int = LIMIT, coverage: flo
         .filter(F.col("parent_under").isNull() | (F.col("parent_under") > F.floor(F.col("total") * coverage)))
         .select("query_id", "node", "best_rank")
     )
+    selected = stage(selected, "facet-nodes")
     # every chunk goes to its deepest selected directory
-    own = up.join(selected, ["query_id", "node"]).groupBy("query_id", "ord", "rank").agg(F.max_by("node", F.length("node")).alias("node"))
-    own = own.join(rows.select("query_id", "ord", "name", "dir"), ["query_id", "ord"])
+    own = up.join(selected, ["query_id", "node"]).groupBy("query_id", "ord", "rank", "name", "dir").agg(F.max_by("node", F.length("node")).alias("node"))
     below = F.when(F.col("dir") != F.col("node"), F.split_part(F.expr("substring(dir, length(node) + 2)"), F.lit("/"), F.lit(1)))
     grouped = own.groupBy("query_id", "node").agg(
         F.count("*").alias("chunks"),

@@ -31,7 +31,7 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.clean_questions(_read(spark, sf, "questions"))
+    return stage(evaluate.clean_questions(_read(spark, sf, "questions")), "questions")
 
 
 def _batch(q: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _slots(df):
 def _ranked_paths(spark, sf):
     index = _index(spark, sf)
     ranked = stage(search.candidates(_batch(_questions(spark, sf)), index, CONFIG), "ranked")
-    return index, expand.with_paths(ranked, index.docs)
+    return index, stage(expand.with_paths(ranked, index.docs), "ranked-paths")
 
 
 def expand_unseen_files(spark, sf):
@@ -250,7 +250,7 @@ def expand_sibling_dirs(spark, sf):
 
 def _selected(r):
     first = [expand.head(r, K), expand.unseen_files(r, K)]
-    return expand.numbered([*first, expand.sibling_files(r, expand.numbered(first))])
+    return stage(expand.numbered([*first, expand.sibling_files(r, expand.numbered(first))]), "selected")
 
 
 def expand_references(spark, sf):
@@ -278,7 +278,7 @@ def _facets(spark, sf, narrowed=False):
     if narrowed:
         q = questions.select(F.col("id").alias("query_id"), F.col("project_id").alias("scope"), T.narrow(F.col("question")).alias("text"))
     pool = stage(search.candidates(q, index, search.SearchConfig(k=K, pool=facets.POOL)), "pool")
-    return index, questions, q, pool, facets.facets(pool, index.docs)
+    return index, questions, q, pool, stage(facets.facets(pool, index.docs), "facets")
 
 
 def facet_clusters(spark, sf):
@@ -304,7 +304,6 @@ def facet_search_within(spark, sf):
 def facet_measure(spark, sf):
     """Narrowed questions: found as they are, by a facet that covers a file, by the best refined query."""
     index, questions, q, _, f = _facets(spark, sf, narrowed=True)
-    f = stage(f, "facets")
     j = evaluate.judgments(questions).withColumnRenamed("question_id", "query_id")
     plain = search.search(q, index, CONFIG).join(j, ["query_id", "path"], "left_semi").select("query_id").distinct()
     # a facet covers a file if it is one of the file's directories

@@ -106,7 +106,8 @@ class Index:
 
     def hashed(self, queries: DataFrame, k: int) -> DataFrame:
         t = bm25.query_terms(queries).withColumnRenamed("qtf", "tf")
-        return vector.hashed_topk(vector.hashed(t, ["query_id", "scope"], self.provider), self.vectors, k)
+        q = stage(vector.hashed(t, ["query_id", "scope"], self.provider), "query-vectors")
+        return vector.hashed_topk(q, self.vectors, k)
 
     def shims(self) -> DataFrame:
         return self.docs.filter("shim").select(F.col("project_id").alias("scope"), "path").distinct()
@@ -147,19 +148,25 @@ def rerank(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, reranker: R
 
 
 def expanded(ranked: DataFrame, index: Index, config: SearchConfig, closeness: DataFrame | None = None) -> DataFrame:
-    """``query_id pos ord path score stage`` of the head and all expansion stages."""
-    r = expand.with_paths(ranked, index.docs)
+    """``query_id pos ord path score stage`` of the head and all expansion stages.
+
+    What one stage selects is read by the next ones, and is small: it is written in between.
+    """
+    r = stage(expand.with_paths(ranked.filter(F.col("rank") <= max(config.k, expand.SCAN)), index.docs), "ranked-paths")
     stages = [expand.head(r, config.k)]
     if config.file_slots:
         stages.append(expand.unseen_files(r, config.k, config.file_slots))
     if config.directory_slots:
-        stages.append(expand.sibling_files(r, expand.numbered(stages), config.directory_slots))
+        stages = [stage(expand.numbered(stages), "selected")]
+        stages.append(expand.sibling_files(r, stages[0], config.directory_slots))
     if config.reference_slots or config.import_slots:
-        edges, modules = index.edges, expand.module_chunks(index.docs)
+        modules = expand.module_chunks(index.docs)
+        stages = [stage(expand.numbered(stages), "selected")]
         if config.reference_slots:
-            stages.append(expand.referencing_files(expand.numbered(stages), edges, modules, config.reference_slots))
+            stages.append(expand.referencing_files(stages[0], index.edges, modules, config.reference_slots))
         if config.import_slots and closeness is not None:
-            stages.append(expand.imported_files(expand.numbered(stages), edges, modules, closeness, index.shims(), config.import_slots))
+            chosen = expand.numbered(stages) if len(stages) > 1 else stages[0]
+            stages.append(expand.imported_files(chosen, index.edges, modules, closeness, index.shims(), config.import_slots))
     return expand.numbered(stages)
 
 

@@ -56,8 +56,8 @@ def test_python_chunks(spark):
         "class Box(Base, metaclass=M):", '    """Holds."""', "    # alanlar:", "    size: int = 1", '    """How many."""', "    # metotlar:",
         "    def full(self) -> bool:", "    async def wait(self):",
     ]
-    assert full.parent == "Box" and full.start_line == 23 and wait.signature == "async def wait(self):"
-    assert full.location == "pkg/o.py:23"
+    assert full.parent == "Box" and full.start_line == 24 and wait.signature == "async def wait(self):"
+    assert full.location == "pkg/o.py:24"
 
 
 def test_bad_files_are_errors(spark):

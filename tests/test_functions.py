@@ -97,7 +97,7 @@ def test_wilson(spark, s, n, low, high):
 
 
 def test_mean_interval(spark):
-    df = spark.createDataFrame([(x,) for x in (1, 0.5, 1, 0.5, 1)], "x double")
+    df = spark.createDataFrame([(x,) for x in (1.0, 0.5, 1.0, 0.5, 1.0)], "x double")
     a = df.agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.count("*").alias("n"))
     low, high = mean_interval(F.col("m"), F.col("v"), F.col("n"))
     row = a.select(low.alias("a"), high.alias("b")).first()

@@ -235,7 +235,7 @@ def test_end_to_end_and_rerank(spark):
             (4, "mail/types.py", "class", "Invoice", "class Invoice:\n    total: int"),
         ],
     )
-    q = spark.createDataFrame([("q", "p", "charge payment card")], "query_id string, scope string, text string")
+    q = spark.createDataFrame([("q", "p", "charge payment card order email")], "query_id string, scope string, text string")
     index = search.Index(c)
     hits = search.search(q, index, search.SearchConfig(k=2)).orderBy("pos").collect()
     assert hits[0].ord == 2 and hits[0].sources == ["bm25", "vector"]
