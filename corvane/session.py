@@ -12,11 +12,14 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT = "spark.checkpoint.dir"
 _own_root: list[str] = []
+_shipped: set[str] = set()
 
 
 def session(app: str = "corvane", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -55,3 +58,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_root(spark)}/corvane/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application.
+
+    Functions travel by reference, so workers must be able to import the package wherever the
+    driver found it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="corvane-package-")
+    target = Path(folder, "corvane.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    _shipped.add(context.applicationId)
