@@ -44,6 +44,7 @@ _PACKED = re.compile(r"\b(?:exec|eval)\s*\(.{0,80}(?:decompress|b64decode|b85dec
 _HEX = re.compile(r"0x[0-9A-Fa-f]{6,}")
 _ATOM = r"(?:[rbuRBU]?\"[^\"]*\"|[rbuRBU]?'[^']*'|[-+]?\d[\w.]*|None|True|False|null|true|false)"
 _DATA_LINE = re.compile(rf"[\s\[\]{{}}(),:]*(?:{_ATOM}[\s\[\]{{}}(),:]+)*{_ATOM}?[\s\[\]{{}}(),:]*\Z")
+_ASSIGNED = re.compile(r"^\s*\w+\s*(?::[^=]{1,80})?=\s*(?=[\[({\"'])")
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|;|--|<!--)")
 
 CHUNK = (
@@ -77,11 +78,16 @@ def leading_text(text: str, most: int = 40) -> str:
     return "\n".join(out)
 
 
+def is_dense(line: str) -> bool:
+    """Whether a long line holds many statements, or nearly no white space; a long pattern or sentence doesn't."""
+    return line.count(";") >= len(line) / 150 or len(line) >= 1000 and line.count(" ") < 0.03 * len(line)
+
+
 def features(text: str, kind: str | None) -> tuple:
     """Evidence of one chunk, in the order of ``CHUNK`` from ``chars`` on."""
     lines = text.split("\n")
-    long_chars = sum(len(x) for x in lines if len(x) > _LONG_LINE)
-    data = sum(len(x) for x in lines if len(x) <= 4 * _LONG_LINE and len(x) > 2 and _DATA_LINE.match(x))
+    long_chars = sum(len(x) for x in lines if len(x) > _LONG_LINE and is_dense(x))
+    data = sum(len(x) for x in lines if len(x) > 2 and _DATA_LINE.match(_ASSIGNED.sub("", x, count=1)))
     head = leading_text(text) if kind in ("module", "section", None) else ""
     # lines long enough to be told from anyone else's; imports and constants of a module aren't
     solid = {x for x in map(str.strip, lines) if len(x) >= _SOLID_LINE} if kind != "module" else ()
