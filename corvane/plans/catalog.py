@@ -38,8 +38,23 @@ def _batch(q: DataFrame) -> DataFrame:
     return q.select(F.col("id").alias("query_id"), F.col("project_id").alias("scope"), F.col("question").alias("text"))
 
 
+_indexes: dict[tuple[str, str], search.Index] = {}
+
+
 def _index(spark: SparkSession, sf: str) -> search.Index:
-    return search.Index(_chunks(spark, sf))
+    """The index of a directory: built once in an application and searched many times."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        _indexes[key] = search.Index(_chunks(spark, sf))
+    return _indexes[key]
+
+
+def index_build(spark, sf):
+    """Builds the index of a directory anew; rows per table."""
+    _indexes.pop((spark.sparkContext.applicationId, sf), None)
+    index = _index(spark, sf)
+    count = lambda df, name: df.agg(F.lit(name).alias("part"), F.count("*").alias("entries"))
+    return count(index.docs, "docs").unionAll(count(index.postings, "postings")).unionAll(count(index.vectors, "vectors")).unionAll(count(index.edges, "edges"))
 
 
 def _ranking(df: DataFrame) -> DataFrame:
@@ -415,7 +430,7 @@ def queries() -> dict[str, Query]:
         tokenize_terms, doc_term_counts, chunk_weight, content_hash, narrow_query, numbered_snippet, token_cost,
         stats_by_kind, stats_top_files, stats_text_length, index_status, composition, language_signal, missing_vectors, cost_estimate,
         grep_substring, chunk_lookup, cache_upsert, project_upsert, enrich_context_join,
-        bm25_topk, hash_embed_topk, blake_embed_topk, vector_topk, vector_label_recall, rrf_hybrid, rrf_weighted, search_bm25, expand_full,
+        index_build, bm25_topk, hash_embed_topk, blake_embed_topk, vector_topk, vector_label_recall, rrf_hybrid, rrf_weighted, search_bm25, expand_full,
         expand_unseen_files, expand_sibling_dirs, expand_references, expand_imports, import_edges,
         facet_query_terms, facet_search_within, facet_measure,
         question_split, eval_per_question, eval_report, eval_by_split, eval_by_set, smoke_sample, smoke_test,

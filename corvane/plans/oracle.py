@@ -208,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
         "tokenize_terms": _with([C, T], "SELECT ord, array_to_string(tokens,' ') terms, len(tokens)::INT n FROM t"),
         "doc_term_counts": _with([C, *INDEX[:2]], "SELECT scope, term, count(*) df, sum(tf)::BIGINT tf FROM post GROUP BY ALL"),
         "chunk_weight": _with([C, HASHED[2]], "SELECT ord, weight::DOUBLE weight FROM cw"),
+        "index_build": _with([C, *INDEX, *HASHED, *EDGES], "SELECT 'docs' part, count(*) entries FROM c UNION ALL SELECT 'postings', count(*) FROM post UNION ALL SELECT 'vectors', count(*) FROM hv UNION ALL SELECT 'edges', count(*) FROM edges"),
         "bm25_topk": _with([C, Q, *INDEX, QUESTIONS, *_bm25("a", 20)], "SELECT query_id, ord, round(score,6) score, rank::INT rank FROM a_bm"),
         "hash_embed_topk": _with([C, Q, *INDEX[:1], *HASHED, QUESTIONS, _bm25("a", 20)[0], *_hash("a", 20)], "SELECT query_id, ord, round(score,6) score, rank::INT rank FROM a_hm"),
         "vector_topk": """SELECT query_id, ord, round(score,6) score, rank::INT rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) rank FROM

@@ -52,10 +52,20 @@ def staging_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/corvane/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all staged tables of this application; nothing built on them can be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader over the files."""
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    path = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

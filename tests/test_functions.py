@@ -102,3 +102,16 @@ def test_mean_interval(spark):
     low, high = mean_interval(F.col("m"), F.col("v"), F.col("n"))
     row = a.select(low.alias("a"), high.alias("b")).first()
     assert (row.a, row.b) == (pytest.approx(0.55995, abs=1e-5), 1)
+
+
+def test_stage_and_release(spark):
+    import os
+
+    from corvane.session import _application_folder, release, stage
+
+    df = stage(spark.createDataFrame([(1, "a")], "x int, y string"), "t")
+    assert [tuple(r) for r in df.collect()] == [(1, "a")]
+    folder = _application_folder(spark)
+    assert any(n.startswith("t-") for n in os.listdir(folder))
+    release(spark)
+    assert not os.path.exists(folder)
