@@ -152,3 +152,14 @@ def test_pack(spark):
     assert out[out.doc_id.isin([901, 902])].container_id.isna().all()
     assert full.container_id.nunique() == first_fit_sizes(full.n_tokens.tolist(), 128)
     assert pack(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("gap", [" " * 50, " " * 45 + "\n" + " " * 8, "\n" + " " * 60])
+def test_sentences_far_apart(gap):
+    text = "One is here now." + gap + "Two comes after that."
+    assert [text[s:e] for s, e in sentences(text)] == ["One is here now.", "Two comes after that."]
+
+
+def test_sentences_punctuation_behind_opening_marks():
+    text = "Use **bold **. Then more words here."
+    assert "".join(text[s:e] for s, e in sentences(text)).replace(" ", "") == text.replace(" ", "")
