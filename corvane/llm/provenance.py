@@ -54,11 +54,11 @@ CHUNK = (
 _LONG_LINE, _SOLID_LINE = 300, 30
 
 
-def leading_text(text: str, most: int = 40) -> str:
+def leading_text(text: str) -> str:
     """The comment lines and the docstring above the first line of code."""
     out: list[str] = []
     quote = ""
-    for line in text.lstrip("﻿").split("\n")[:most]:
+    for line in text.lstrip("﻿").split("\n"):
         bare = line.strip()
         if quote:
             out.append(bare)

@@ -1,7 +1,7 @@
 import pytest
 
 from corvane.llm.docpairs import lex, pair_documentation, says_something
-from corvane.llm.provenance import classify_files, glob_to_regex, parse_attributes
+from corvane.llm.provenance import classify_files, features, glob_to_regex, parse_attributes
 
 CHUNK = "ord bigint, kind string, name string, signature string, docstring string, text string, pos int, delta string"
 
@@ -139,3 +139,11 @@ def test_mined_patterns(spark):
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], FILES)
     got = {(r.project_id, r.path): r.reason for r in classify_files(df, spark.createDataFrame([], PROJECTS)).collect()}
     assert got == {(f"p{p}", f"src/stubs/m{i}.py"): "generated" if i else "pattern" for p in range(4) for i in range(4)}
+
+
+@pytest.mark.parametrize("above", ["# licence text\n" * 60, '"""Change log.\n' + "- entry\n" * 60])
+def test_mark_below_a_long_header(above):
+    end = '"""\n' if above.startswith('"') else ""
+    assert features(above + "# Code generated by protoc. DO NOT EDIT.\n" + end + "x = 1\n", "module")[5]
+    assert features(above + "Copied from https://example.org 1.2\n" * bool(end) + "# vendored copy of lib\n" + end + "x = 1\n", "module")[6]
+    assert not features(above + end + "x = 1\n# Code generated by protoc. DO NOT EDIT.\n", "module")[5]
