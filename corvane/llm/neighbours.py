@@ -208,8 +208,8 @@ def nearest(
     *,
     k: int = 5,
     min_cosine: float = -1.0,
-    lists: int = 6,
-    ratio: float = 1.15,
+    lists: int = 16,
+    ratio: float = 1.5,
     target: int = 256,
     block: int = 8_192,
 ) -> DataFrame:

@@ -44,7 +44,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    near = neighbours.nearest(_table(spark, sf, "vectors"), min_cosine=0.8)
+    near = neighbours.nearest(_table(spark, sf, "vectors"), min_cosine=0.8, lists=6, ratio=1.15)
     pair = [F.least("content_hash", "neighbour").alias("hash_a"), F.greatest("content_hash", "neighbour").alias("hash_b")]
     return near.select("provider", *pair).distinct()
 

@@ -39,6 +39,12 @@ def test_small_is_exact_without_floor(spark):
     assert all(1 <= r["rank"] <= 5 for r in rows)
 
 
+def test_recall_without_floor_over_many_centroids(spark):
+    x = clustered(3000, 24, 6)
+    got = {(int(r.content_hash[1:]), int(r.neighbour[1:])) for r in nearest(table(spark, x), k=5, target=20).collect()}
+    assert len(got & brute(x, 5)) / (5 * len(x)) >= 0.98
+
+
 def test_unusable_and_repeated_rows(spark):
     x = clustered(30, 8, 3)
     rows = [("a", f"h{i}", v.tolist(), "r", 0) for i, v in enumerate(x)]
