@@ -4,8 +4,9 @@ Chosen-path set similarity join: each record is the set of its pairs of neighbou
 every tree a record follows the minwise token of its set, so records alike meet with a
 probability of at least their similarity; nodes of up to ``leaf`` records are compared
 exhaustively (a one-bit minwise sketch first, then the sets themselves), larger ones branch
-again on several minwise tokens that the path hasn't used. Independent trees are repeated until
-a pair at the threshold is met with the target recall.
+again on several minwise tokens that the path hasn't used, each node by hashes of its own.
+Independent trees are repeated until a pair at the threshold is met with the target recall,
+branching included.
 
 Records with equal sets are one record from the start, so a group of copies costs one row. The
 first level runs as a count over (tree, token) rows without any text; only records that share
@@ -46,9 +47,21 @@ def _odd(seed: int) -> tuple[int, int, int]:
 _SKETCH = np.array([_odd(10_000 + i)[:2] for i in range(_BITS)], dtype=np.uint32)
 
 
-def trees_for(threshold: float, recall: float) -> int:
-    """Trees after which a pair at the threshold has met with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold))
+def _seed(*path: int) -> int:
+    """Seed of the hashes that branch the node at ``path``, so that no two nodes branch alike."""
+    return xxhash.xxh3_64_intdigest(",".join(map(str, path)))
+
+
+def trees_for(threshold: float, recall: float, fan: int = 0, levels: int = 0) -> int:
+    """Trees after which a pair at the threshold has met with probability ``recall``.
+
+    With ``levels`` of branching by ``fan`` hashes below a tree's first token, a pair must also
+    stay together in a child of every level.
+    """
+    stays = 1.0
+    for _ in range(levels):
+        stays = 1 - (1 - threshold * stays) ** fan
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold * stays))
 
 
 class _Words(dict):
@@ -99,14 +112,16 @@ def _records(batches: Iterator[pa.RecordBatch], min_words: int, trees: int) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
-def _branch(batches: Iterator[pa.RecordBatch], level: int, fan: int) -> Iterator[pa.RecordBatch]:
+def _branch(batches: Iterator[pa.RecordBatch], fan: int) -> Iterator[pa.RecordBatch]:
     """Rows (node, rep, tokens, tag, size) -> (child, rep, tag, node, size), ``fan`` children each."""
-    hashes = [_odd((level << 8) + k + 500) for k in range(fan)]
+    known: dict[int, list[tuple[int, int, int]]] = {}
     for b in batches:
         out = []
         for node, rep, raw, tag, size in zip(*(b.column(i).to_pylist() for i in range(5))):
             t = np.frombuffer(raw, dtype=_U32)
-            for k, (m, a, _) in enumerate(hashes):
+            if node not in known:
+                known[node] = [_odd(_seed(node, k)) for k in range(fan)]
+            for k, (m, a, _) in enumerate(known[node]):
                 low = int((t * _U32(m) + _U32(a)).min())
                 out.append((xxhash.xxh3_64_intdigest(b"%d,%d,%d" % (node, k, low)) >> 1, rep, tag, node, size))
         cols = zip(*out) if out else [[]] * 5
@@ -152,7 +167,7 @@ class _Linker:
             self.parent[max(a, b)] = min(a, b)
             self.links.append((int(self.reps[i]), int(self.reps[j])))
 
-    def node(self, reps: list[int], raw: list[bytes], sketches: list[bytes]) -> None:
+    def node(self, key: int, reps: list[int], raw: list[bytes], sketches: list[bytes]) -> None:
         self.reps = reps
         self.sets = {}
         self.tokens = np.frombuffer(b"".join(raw), dtype=_U32)
@@ -162,7 +177,7 @@ class _Linker:
                 self.link(0, 1)
             return
         self.sketches = np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(reps), -1)
-        self.solve(np.arange(len(reps)), 0, 1_000, ())
+        self.solve(np.arange(len(reps)), 0, _seed(key), ())
 
     def solve(self, idx: np.ndarray, depth: int, seed: int, path: tuple[int, ...]) -> None:
         if len(idx) <= self.leaf or depth >= self.depth:
@@ -174,7 +189,7 @@ class _Linker:
         tokens = self.tokens[where]
         used = np.isin(tokens, np.array(path, dtype=_U32)) if path else None
         for k in range(self.fan):
-            m, a, inverse = _odd(seed + k)
+            m, a, inverse = _odd(_seed(seed, k))
             h = tokens * _U32(m) + _U32(a)
             if used is not None:
                 h[used] = _U32(0xFFFFFFFF)
@@ -189,7 +204,7 @@ class _Linker:
                     self.compare(idx[order[s:e]])  # alike for the most part: branching wouldn't part them
                     continue
                 token = (int(values[s]) - a) * inverse & 0xFFFFFFFF
-                self.solve(idx[order[s:e]], depth + 1, seed + 16 * (k + 1) + depth, (*path, token))
+                self.solve(idx[order[s:e]], depth + 1, _seed(seed, k, token), (*path, token))
 
     def compare(self, idx: np.ndarray) -> None:
         m = len(idx)
@@ -222,7 +237,7 @@ def _compare_nodes(batches: Iterator[pa.RecordBatch], threshold: float, leaf: in
 
     def done() -> None:
         if len(group) > 1:
-            linker.node(list(group), [g[0] for g in group.values()], [g[1] for g in group.values()])
+            linker.node(now, list(group), [g[0] for g in group.values()], [g[1] for g in group.values()])
 
     for b in batches:
         for node, rep, tokens, sk in zip(*(b.column(i).to_pylist() for i in range(4))):
@@ -282,7 +297,7 @@ def links(
         before = large
         moving = large.select("node", "rep", "tag", "size").join(payload.select("rep", "tag", "tokens"), ["rep", "tag"])
         rows = moving.select("node", "rep", "tokens", "tag", "size").mapInArrow(
-            partial(_branch, level=level, fan=fan), "node bigint, rep bigint, tag bigint, parent bigint, parent_size bigint"
+            partial(_branch, fan=fan), "node bigint, rep bigint, tag bigint, parent bigint, parent_size bigint"
         )
     # the tag names the version of a record: of several under one ord only the chosen one joins
     work = ready.join(payload, ["rep", "tag"]).select("node", "rep", "tokens", "sketch").repartition("node").sortWithinPartitions("node", "rep")
@@ -314,7 +329,8 @@ def near_copy_groups(
     src = chunks.filter((F.col("source") == "code") & F.col("ord").isNotNull() & F.col("text").isNotNull()).select(
         F.col("ord").cast("bigint").alias("ord"), F.coalesce(F.unix_micros(seen), F.lit(0)).alias("seen"), "text"
     )
-    records = stage(src.mapInArrow(partial(_records, min_words=min_words, trees=trees_for(threshold, recall)), RECORDS), "sets")
+    trees = trees_for(threshold, recall, fan, spark_levels + depth)
+    records = stage(src.mapInArrow(partial(_records, min_words=min_words, trees=trees), RECORDS), "sets")
     members = records.groupBy("ord").agg(F.max(F.struct("seen", "set_id")).alias("m")).select("ord", "m.set_id")
     classes = members.groupBy("set_id").agg(F.min("ord").alias("rep"), F.count("*").alias("copies"))
     chosen = records.select("ord", "set_id", "sel").join(classes.select("set_id", F.col("rep").alias("ord")), ["set_id", "ord"])

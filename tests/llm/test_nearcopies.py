@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm.components import connected_components
-from corvane.llm.nearcopies import near_copy_groups, trees_for
+from corvane.llm.nearcopies import _branch, _compare_nodes, _odd, near_copy_groups, sketch, trees_for
 
 SCHEMA = "ord bigint, source string, text string, indexed_at timestamp, rep bigint, node string"
 
@@ -102,3 +104,41 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r.node: r.root for r in got} == {x: root(x) for x in parent} and len(got) == len(parent)
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_recall_of_pairs_at_the_threshold_in_large_nodes():
+    # pairs at J = 0.6 out of one pool, so that hundreds of records share a node and no child keeps half of it
+    rng = np.random.default_rng(11)
+    pool = rng.choice(1 << 32, 355, replace=False).astype(np.uint32)
+    sets = []
+    for _ in range(400):
+        t = rng.permutation(pool)[:200]
+        sets += [np.sort(t[:160]), np.sort(np.concatenate((t[:120], t[160:])))]
+    met = set()
+    rows = []
+    for i in range(trees_for(0.6, 0.999, 3, 11)):
+        m, a, _ = _odd(i)
+        rows += [((i << 32) + int((t * np.uint32(m) + np.uint32(a)).min()), r, t.tobytes(), sketch(t)) for r, t in enumerate(sets)]
+    rows.sort(key=lambda x: x[:2])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "rep", "tokens", "sketch"])
+    for b in _compare_nodes(iter([batch]), 0.6, 96, 3, 8):
+        met |= {(min(x), max(x)) for x in zip(*b.to_pydict().values())}
+    assert met <= {(r, r + 1) for r in range(0, len(sets), 2)}
+    assert len(met) >= 0.99 * len(sets) / 2
+
+
+def test_every_node_branches_by_its_own_hashes():
+    rng = np.random.default_rng(12)
+    t = rng.choice(1 << 32, 200, replace=False).astype(np.uint32)
+    pair = [t[:160].tobytes(), np.concatenate((t[:120], t[160:])).tobytes()]
+    rows = [(node, rep, pair[rep], 0, 2) for node in range(500) for rep in (0, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["node", "rep", "tokens", "tag", "size"])
+    children = [set(), set()]
+    for b in _branch(iter([batch]), fan=3):
+        for x in b.to_pylist():
+            children[x["rep"]].add((x["parent"], x["node"]))
+    assert 0.88 < len({p for p, _ in children[0] & children[1]}) / 500 < 0.98
+
+
+def test_trees_count_branching():
+    assert trees_for(0.6, 0.999, 3, 11) == 9 and trees_for(0.6, 0.999, 3, 1) == 9 and trees_for(0.6, 0.999, 3, 0) == 8
