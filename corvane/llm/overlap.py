@@ -1,67 +1,133 @@
 """Problem 2: records of evaluation splits that the training split already holds.
 
-Content-defined chunks: every record is normalised to the sequence of its distinct words in
-one order that all records share, a rolling hash over the characters runs along it and cuts
-after a word where its low bits are zero, and the chunks' digests are joined across splits;
-the lengths of shared chunks, summed, give the overlap fraction of each record.
-
-``divisor`` is the mean number of words of a chunk. With 1 every word is a chunk of its own
-and the fractions are exact, which the 60 % of distinct words of ``find_overlaps`` needs:
-longer chunks would be broken by each differing word. Larger divisors serve the report on
-long records. The join is restricted to what can reach the threshold: of a record's chunks,
-taken from the rarest to the most common, those are joined without which the threshold is out
-of reach (an exact prefix filter), so a chunk shared by a third of all rows joins nothing.
+Content-defined chunks: a record is normalised to its distinct words in the order in which they
+come, a hash rolls over the characters of that text, across the borders of words, and cuts it
+behind a word where its value says so; the chunks' digests are joined across splits and the
+lengths of shared chunks, summed, give the overlap fraction of each record.
+
+Records as short as questions give few chunks, and an edit breaks the chunk it falls into, so a
+record is cut several times: each chunking reads other bits of the same rolling hash. A pair
+at the threshold is missed only if it shares no chunk in any of them; ``chunkings_for`` gives
+the number for a target recall. What the join finds is checked on the whole sets of words.
+
+Not every chunk is a key of the join. A pair that shares enough of its words must share one of
+the rarest words of either side (the prefix of a set-similarity join); only chunks that hold one
+are keys. A phrase that a third of all rows share, "which function decides whether", so joins
+nothing unless it is most of the record, and then the pairs are results. Keys that are frequent
+on both sides are split over several tasks.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.wordfold import words
+from corvane.session import stage
 
 _MASK = (1 << 64) - 1
-_WINDOW = 16
-
-_CHUNKS = "id string, n_words int, chunks array<struct<digest:bigint,words:int>>"
-
-
-def cut(distinct: list[str], divisor: int) -> list[tuple[int, int]]:
-    """(digest, words) of each chunk of a normalised record."""
-    out, first, h = [], 0, 0
-    digest = 0xCBF29CE484222325
-    for i, w in enumerate(distinct):
-        h = 0  # the window never reaches into the word before: equal words cut alike everywhere
-        for c in w[-_WINDOW:]:
-            h = (h * 0x100000001B3 + ord(c) + 1) & _MASK
-        for c in w:
-            digest = ((digest ^ ord(c)) * 0x100000001B3) & _MASK
-        digest = ((digest ^ 32) * 0x100000001B3) & _MASK
-        if ((h ^ (h >> 31)) % divisor) == 0 or i + 1 == len(distinct):
-            out.append((digest - (1 << 64) if digest >> 63 else digest, i + 1 - first))
-            first, digest = i + 1, 0xCBF29CE484222325
+_BASE = 0x100000001B3
+_ODD = 0x9E3779B97F4A7C15
+WINDOW = 6  #: characters the rolling hash sees
+MEAN_WORDS = 2  #: words of a chunk, on average
+_DROP = pow(_BASE, WINDOW, 1 << 64)
+_TASK_PAIRS = 250_000  #: pairs of one key that one task joins
+
+RECORDS = "id string, split string, set_name string, files array<string>, words array<string>, class_id binary"
+
+
+def chunkings_for(recall: float, mean_words: int = MEAN_WORDS) -> int:
+    """Chunkings after which one shared word has stood in a chunk of its own with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - mean_words**-2.0))
+
+
+def rolling(distinct: list[str]) -> list[int]:
+    """The rolling hash over the last ``WINDOW`` characters behind each word of the record."""
+    out, h, at = [], 0, 0
+    text = " ".join(distinct) + " "
+    for w in distinct:
+        for i in range(at, at + len(w) + 1):
+            h = (h * _BASE + ord(text[i]) + 1) & _MASK
+            if i >= WINDOW:
+                h = (h - (ord(text[i - WINDOW]) + 1) * _DROP) & _MASK
+        at += len(w) + 1
+        x = (h ^ (h >> 29)) * _ODD & _MASK
+        out.append(x ^ (x >> 32))
     return out
 
 
-def _cut_batches(divisor: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("digest", pa.int64()), ("words", pa.int32())]))
-        for b in batches:
-            ids, counts, chunks = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                distinct = sorted(set(words(unicodedata.normalize("NFC", t or ""))))
-                ids.append(i)
-                counts.append(len(distinct))
-                chunks.append([{"digest": d, "words": n} for d, n in cut(distinct, divisor)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(counts, pa.int32()), pa.array(chunks, kind)], names=["id", "n_words", "chunks"]
-            )
+def cut(distinct: list[str], chunking: int = 0, mean_words: int = MEAN_WORDS, hashes: list[int] | None = None) -> list[tuple[int, int]]:
+    """(first word, end) of the chunks of a normalised record: cut where the rolling hash says so."""
+    out, first = [], 0
+    seed = (chunking + 1) * _ODD & _MASK
+    for i, h in enumerate(rolling(distinct) if hashes is None else hashes):
+        h = (h ^ seed) * 0xD6E8FEB86659FD93 & _MASK
+        if i + 1 == len(distinct) or (h >> 33) % mean_words == 0:
+            out.append((first, i + 1))
+            first = i + 1
+    return out
+
 
-    return run
+def digests(distinct: list[str], chunkings: int, mean_words: int = MEAN_WORDS) -> list[dict[int, tuple[int, int]]]:
+    """{digest: (first word, end)} of the chunks of each chunking."""
+    hashes = rolling(distinct)
+    return [
+        {xxhash.xxh3_64_intdigest(" ".join(distinct[s:e])) - (1 << 63): (s, e) for s, e in cut(distinct, c, mean_words, hashes)}
+        for c in range(chunkings)
+    ]
+
+
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = pa.list_(pa.string())
+    types = [pa.string(), pa.string(), pa.string(), texts, texts, pa.binary()]
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+    for b in batches:
+        rows = []
+        for i, split, source, files, t in zip(*(b.column(k).to_pylist() for k in range(5))):
+            own = list(dict.fromkeys(words(unicodedata.normalize("NFC", t or ""))))
+            same = "\x00".join(["\x01".join(own), *(files or [])])
+            rows.append((i, split, source, files, own, xxhash.xxh3_128_digest(same.encode("utf-8", "surrogatepass"))))
+        cols = zip(*rows) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], chunkings: int, mean_words: int) -> Iterator[pa.RecordBatch]:
+    """(class_id, n, words, rare positions) -> (class_id, n, digests of the chunks that hold a rare word)."""
+    for b in batches:
+        rows = []
+        for i, n, own, rare in zip(*(b.column(k).to_pylist() for k in range(4))):
+            found = {d for one in digests(own, chunkings, mean_words) for d, (s, e) in one.items() if any(s <= r < e for r in rare)}
+            rows.append((i, n, sorted(found)))
+        cols = zip(*rows) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.list_(pa.int64())))], names=["class_id", "n_words", "digests"]
+        )
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch], threshold: float, chunkings: int, mean_words: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs with their words -> those that reach the threshold, with both measures."""
+    chunks = lru_cache(maxsize=4096)(lambda own: digests(list(own), chunkings, mean_words))
+    names = ["ca", "cb", "shared_words", "jaccard", "eval_overlap", "chunk_overlap"]
+    types = [pa.binary(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+    for b in batches:
+        rows = []
+        for ca, cb, wa, wb in zip(*(b.column(k).to_pylist() for k in range(4))):
+            shared = len(set(wa).intersection(wb))
+            if shared < threshold * (len(wa) + len(wb) - shared) - 1e-9:
+                continue
+            both = 0
+            for one, two in zip(chunks(tuple(wa)), chunks(tuple(wb))):
+                both += sum(e - s for d, (s, e) in two.items() if d in one)
+            rows.append((ca, cb, shared, shared / (len(wa) + len(wb) - shared), shared / len(wb), both / (chunkings * len(wb))))
+        cols = zip(*rows) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
 def normal_split(split: Column) -> Column:
@@ -76,82 +142,89 @@ def normal_files(files: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(one, lambda f: f.isNotNull() & (f != ""))))
 
 
-def records(questions: DataFrame, divisor: int = 1) -> DataFrame:
-    """One row per distinct (id, text, files, split, source), with its chunks.
+def records(questions: DataFrame) -> DataFrame:
+    """One row per distinct (id, text, files, split, source), normalised, as in ``RECORDS``.
 
     Needs ``id question expect_files split set_name``; further columns are ignored.
     """
     base = questions.select(
         F.col("id").cast("string").alias("id"),
-        F.col("question").cast("string").alias("question"),
-        normal_files(F.col("expect_files")).alias("files"),
         normal_split(F.col("split")).alias("split"),
-        F.col("set_name").alias("set_name"),
-    ).filter(F.col("id").isNotNull()).distinct()
-    texts = base.select(F.col("question").alias("id")).filter("id is not null").distinct()
-    chunks = texts.select("id", F.col("id").alias("text")).mapInArrow(_cut_batches(divisor), _CHUNKS)
-    return base.join(chunks.withColumnRenamed("id", "question"), "question", "left").drop("question")
+        F.col("set_name").cast("string").alias("set_name"),
+        normal_files(F.col("expect_files")).alias("files"),
+        F.col("question").cast("string").alias("question"),
+    )
+    return base.filter(F.col("id").isNotNull()).distinct().mapInArrow(_normalised, RECORDS)
+
+
+def candidates(classes: DataFrame, threshold: float, chunkings: int, mean_words: int) -> DataFrame:
+    """Pairs (ca, cb) of a training and an evaluation class that share a file and the digest of a chunk."""
+    common = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    by_word = classes.select("class_id", F.posexplode("words").alias("pos", "word")).join(common, "word")
+    need = F.ceil(threshold * F.count("*") - 1e-9)
+    rare = by_word.groupBy("class_id").agg(
+        F.array_sort(F.collect_list(F.struct("df", "word", "pos"))).alias("r"), (F.count("*") - need + 1).cast("int").alias("prefix")
+    )
+    rare = rare.select("class_id", F.expr("transform(slice(r, 1, prefix), x -> x.pos)").alias("rare"))
+    src = classes.join(rare, "class_id").select("class_id", F.size("words").alias("n_words"), "words", "rare")
+    cutter = partial(_keys, chunkings=chunkings, mean_words=mean_words)
+    keys = src.mapInArrow(cutter, "class_id binary, n_words int, digests array<bigint>").withColumn("digest", F.explode("digests"))
+    keys = keys.select("class_id", "n_words", "digest").join(classes.select("class_id", "train", "eval", F.explode("files").alias("file")), "class_id")
+    keys = stage(keys, "overlap-keys")
+    both = keys.groupBy("digest", "file").agg(F.count_if("train").alias("nt"), F.count_if("eval").alias("ne")).filter("nt > 0 and ne > 0")
+    # the pairs of a frequent key are split by their evaluation side
+    parts = F.ceil(F.col("nt") * F.col("ne") / F.lit(_TASK_PAIRS)).cast("int")
+    met = keys.join(both.select("digest", "file", parts.alias("parts")), ["digest", "file"])
+    a = met.filter("train").select(
+        F.col("class_id").alias("ca"), F.col("n_words").alias("na"), "digest", "file", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    b = met.filter("eval").select(
+        F.col("class_id").alias("cb"), F.col("n_words").alias("nb"), "digest", "file", F.pmod(F.xxhash64("class_id"), "parts").cast("int").alias("part")
+    )
+    met = a.join(b, ["digest", "file", "part"]).filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    return met.select("ca", "cb").distinct()
 
 
 def find_overlaps(
     questions: DataFrame,
     *,
     threshold: float = 0.6,
-    divisor: int = 1,
+    recall: float = 0.99,
+    mean_words: int = MEAN_WORDS,
+    chunkings: int | None = None,
     train: str = "dev",
     evaluation: tuple[str, ...] = ("test", "holdout"),
 ) -> DataFrame:
-    """Pairs of an evaluation record and a training record that share a file and enough chunks.
-
-    Columns ``eval_id train_id eval_split set_name shared_words jaccard eval_overlap``. A pair is
-    kept where shared words / all distinct words of both >= ``threshold``. Null or wordless
-    questions, null ids and records without a file overlap with nothing; repeated rows count
-    once; splits other than ``train`` and ``evaluation`` are ignored; empty tables give no rows.
-    Records equal in words and files are joined as one class and expanded at the end, so copies
-    cost the rows they must yield and nothing before.
+    """Pairs of an evaluation record and a training record that share a file and enough words.
+
+    Columns ``eval_id train_id eval_split set_name shared_words jaccard eval_overlap
+    chunk_overlap``. Pairs come from the join of chunk digests and are kept where shared words /
+    all distinct words of both >= ``threshold``; ``eval_overlap`` is the share of the evaluation
+    record's words that the other holds, ``chunk_overlap`` the share that its shared chunks sum
+    up to, on average over the chunkings. Null or wordless questions, null ids and records
+    without a file overlap with nothing; repeated rows count once; splits other than ``train``
+    and ``evaluation`` are ignored; empty tables give no rows. Records equal in words and files
+    are joined as one class and expanded at the end, so copies cost the rows they must yield and
+    nothing before.
     """
-    rec = records(questions, divisor).filter((F.col("n_words") > 0) & (F.size("files") > 0))
-    rec = rec.withColumn("side", F.when(F.col("split") == train, 0).when(F.col("split").isin(*evaluation), 1))
-    rec = rec.filter(F.col("side").isNotNull()).withColumn("class_id", F.xxhash64("chunks", "files"))
-    classes = rec.groupBy("class_id", "side").agg(*(F.first(c).alias(c) for c in ("n_words", "chunks", "files")))
-    common = (
-        classes.select(F.explode("chunks.digest").alias("digest")).groupBy("digest").agg(F.count("*").alias("df"))
-    )
-    exploded = classes.select("class_id", "side", "n_words", F.explode("chunks").alias("c")).select(
-        "class_id", "side", "n_words", "c.digest", "c.words"
-    )
-    # rarest first; a record needs shared words >= threshold * its own words
-    ranked = exploded.join(common, "digest").groupBy("class_id", "side", "n_words").agg(
-        F.array_sort(F.collect_list(F.struct("df", "digest", "words"))).alias("r")
-    )
-    bare = ranked.select(
-        "class_id",
-        "side",
-        F.expr(
-            f"""aggregate(r, named_struct('left', n_words, 'keys', cast(array() as array<bigint>)),
-                (a, x) -> named_struct('left', a.left - x.words,
-                  'keys', if(a.left >= ceil({threshold} * n_words - 1e-9), array_append(a['keys'], x.digest), a['keys'])))['keys']"""
-        ).alias("keys"),
+    side = F.when(F.col("split") == train, 0).when(F.col("split").isin(*evaluation), 1)
+    rec = records(questions).withColumn("side", side).filter(F.col("side").isNotNull() & (F.size("words") > 0) & (F.size("files") > 0))
+    rec = stage(rec, "overlap-records")
+    chunkings = chunkings or chunkings_for(recall, mean_words)
+    classes = rec.groupBy("class_id").agg(
+        F.first("words").alias("words"), F.first("files").alias("files"), F.max(F.col("side") == 0).alias("train"), F.max(F.col("side") == 1).alias("eval")
     )
-    keyed = bare.join(classes.select("class_id", "side", "files"), ["class_id", "side"]).select(
-        "class_id", "side", F.explode("keys").alias("digest"), "files"
-    ).select("class_id", "side", "digest", F.explode("files").alias("file"))
-    a = keyed.filter("side = 0").select(F.col("class_id").alias("ca"), "digest", "file")
-    b = keyed.filter("side = 1").select(F.col("class_id").alias("cb"), "digest", "file")
-    pairs = a.join(b, ["digest", "file"]).select("ca", "cb").distinct()
-    left = classes.filter("side = 0").select(F.col("class_id").alias("ca"), F.col("chunks").alias("chunks_a"), F.col("n_words").alias("n_a"))
-    right = classes.filter("side = 1").select(F.col("class_id").alias("cb"), F.col("chunks").alias("chunks_b"), F.col("n_words").alias("n_b"))
-    scored = (
-        pairs.join(left, "ca")
-        .join(right, "cb")
-        .withColumn("shared_words", F.expr("aggregate(array_intersect(chunks_a, chunks_b), 0, (s, x) -> s + x.words)"))
-        .withColumn("jaccard", F.col("shared_words") / (F.col("n_a") + F.col("n_b") - F.col("shared_words")))
-        .filter(F.col("jaccard") >= threshold - 1e-9)
-        .select("ca", "cb", "shared_words", "jaccard", (F.col("shared_words") / F.col("n_b")).alias("eval_overlap"))
+    classes = stage(classes, "overlap-classes")
+    pairs = candidates(classes, threshold, chunkings, mean_words)
+    texts = classes.select("class_id", "words")
+    pairs = pairs.join(texts.select(F.col("class_id").alias("ca"), F.col("words").alias("wa")), "ca")
+    pairs = pairs.join(texts.select(F.col("class_id").alias("cb"), F.col("words").alias("wb")), "cb")
+    scored = pairs.select("ca", "cb", "wa", "wb").mapInArrow(
+        partial(_overlaps, threshold=threshold, chunkings=chunkings, mean_words=mean_words),
+        "ca binary, cb binary, shared_words int, jaccard double, eval_overlap double, chunk_overlap double",
     )
-    members = rec.select("id", "side", "class_id", "split", "set_name").distinct()
-    t = members.filter("side = 0").select(F.col("id").alias("train_id"), F.col("class_id").alias("ca")).distinct()
-    e = members.filter("side = 1").select(F.col("id").alias("eval_id"), F.col("class_id").alias("cb"), F.col("split").alias("eval_split"), "set_name")
+    t = rec.filter("side = 0").select(F.col("id").alias("train_id"), F.col("class_id").alias("ca")).distinct()
+    e = rec.filter("side = 1").select(F.col("id").alias("eval_id"), F.col("class_id").alias("cb"), F.col("split").alias("eval_split"), "set_name").distinct()
     return scored.join(t, "ca").join(e, "cb").drop("ca", "cb")
 
 

@@ -20,10 +20,24 @@ def test_words():
 def test_cut_is_content_defined():
     a = [f"w{i}" for i in range(200)]
     b = a[:90] + ["extra"] + a[90:]
-    ca, cb = overlap.cut(a, 6), overlap.cut(b, 6)
-    assert sum(n for _, n in ca) == 200 and len(ca) < 100
-    assert sum(n for d, n in ca if d in {x for x, _ in cb}) > 150
-    assert [n for _, n in overlap.cut(a, 1)] == [1] * 200
+    for chunking in range(3):
+        ca, cb = overlap.cut(a, chunking), overlap.cut(b, chunking)
+        assert [s for s, _ in ca[1:]] == [e for _, e in ca[:-1]] and ca[0][0] == 0 and ca[-1][1] == 200
+        assert 60 < len(ca) < 140, "two words a chunk on average"
+        da, db = (overlap.digests(x, chunking + 1)[chunking] for x in (a, b))
+        assert sum(e - s for d, (s, e) in da.items() if d in db) > 185
+    assert overlap.cut(a, 0) != overlap.cut(a, 1)
+    # the window reaches into the word before a short word
+    assert overlap.rolling(["alpha", "a"])[1] != overlap.rolling(["omega", "a"])[1]
+    assert overlap.rolling(["alpha", "considerably"])[1] == overlap.rolling(["omega", "considerably"])[1]
+
+
+def test_chunks_decide_the_pairs(spark, monkeypatch):
+    rows = [("a", "one two three four five six", ["f"], "dev", "s", "p", 1, "x"), ("b", "six five four three two one", ["f"], "test", "s", "p", 1, "x")]
+    df = spark.createDataFrame(rows, Q)
+    assert overlap.find_overlaps(df).count() == 1
+    # without a cut a reversed record shares no chunk
+    assert overlap.find_overlaps(df, chunkings=3, mean_words=10**9).count() == 0
 
 
 def brute(rows, threshold=0.6):
