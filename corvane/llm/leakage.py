@@ -6,7 +6,8 @@ edits share at least ``L + 1 - q * (1 + e)`` q-grams in diagonals that differ by
 ``min_words`` equal words is an equal character region whatever stands between the words.
 Every q-gram of every document is looked up among the q-grams of the passages; hits are
 counted in overlapping diagonal bands per (document, passage); bands that reach the bound
-are verified by an alignment of the words within the band.
+are verified by an edit alignment within the band: the longest stretch of the passage that the
+region holds with at most ``edits`` characters inserted, deleted or replaced.
 """
 
 from __future__ import annotations
@@ -59,23 +60,23 @@ class PassageIndex:
     """Q-grams of one block of passages, in arrays that are cheap to send to workers."""
 
     def __init__(self, rows: list[tuple[int, str]], q: int, min_words: int, edits: int):
-        self.q, self.min_words, self.edits = q, min_words, edits
+        self.min_words, self.edits = min_words, edits
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         codes, _, start = fold([r[1] for r in rows])
         hashes, owner, offset = [], [], []
-        self.words: list[list[str]] = []
-        self.spaces: list[np.ndarray] = []
-        self.bound = np.zeros(len(rows), dtype=np.int64)
-        for i in range(len(rows)):
-            own = codes[start[i] : start[i + 1] - 1]
+        self.codes = [codes[start[i] : start[i + 1] - 1] for i in range(len(rows))]
+        #: characters of the shortest run of ``min_words`` words with the blanks around it, 0 where there is none
+        shortest = np.zeros(len(rows), dtype=np.int64)
+        for i, own in enumerate(self.codes):
             spaces = np.flatnonzero(own == SPACE)
-            self.words.append("".join(map(chr, own)).split())
-            self.spaces.append(spaces)
-            if len(spaces) <= min_words:
-                continue
-            shortest = int((spaces[min_words:] - spaces[:-min_words]).min()) + 1
-            self.bound[i] = max(1, shortest + 1 - q * (1 + edits))
-            h = qgram_hashes(own, q)
+            if len(spaces) > min_words:
+                shortest[i] = int((spaces[min_words:] - spaces[:-min_words]).min()) + 1
+        # q-grams short enough that the edits can't break all of a region
+        least = int(shortest[shortest > 0].min()) if (shortest > 0).any() else q
+        self.q = q = max(1, min(q, least // (1 + edits)))
+        self.bound = np.maximum(1, shortest + 1 - q * (1 + edits))
+        for i in np.flatnonzero(shortest):
+            h = qgram_hashes(self.codes[i], q)
             hashes.append(h)
             owner.append(np.full(len(h), i, dtype=np.int32))
             offset.append(np.arange(len(h), dtype=np.int32))
@@ -89,19 +90,53 @@ class PassageIndex:
         self.seen[h >> np.uint64(64 - _BITS)] = True
 
 
-def _longest_run(a: list[str], b: list[str], lo: int, hi: int) -> tuple[int, int]:
-    """Longest run of equal words with ``lo <= i_a - i_b <= hi``: (length, end in a)."""
-    best, end = 0, 0
-    previous: dict[int, int] = {}
-    for i, w in enumerate(a):
-        now: dict[int, int] = {}
-        for j in range(max(0, i - hi), min(len(b), i - lo + 1)):
-            if b[j] == w:
-                now[j] = n = previous.get(j - 1, 0) + 1
-                if n > best:
-                    best, end = n, i + 1
-        previous = now
-    return best, end
+def align(region: np.ndarray, passage: np.ndarray, low: int, width: int, edits: int) -> tuple[int, int, int]:
+    """Best alignment in the diagonals ``low .. low + width - 1``: (whole words, first, end in ``region``).
+
+    Of the stretches of ``passage`` that ``region`` holds with at most ``edits`` edits, the one
+    with most whole words, blanks around it included. Layer ``k`` holds, for every cell of the
+    band, the longest stretch that ends there with ``k`` edits: an edit enters it from the layer
+    before, equal characters carry it on along the diagonal.
+    """
+    n = len(region)
+    diagonal = low + np.arange(width)[:, None]
+    j = np.arange(-1, n)[None, :] - diagonal
+    inside = (j >= 0) & (j < len(passage))
+    inside[:, 0] = False
+    equal = inside.copy()
+    own = np.concatenate(([0], region))
+    equal[inside] = np.broadcast_to(own, inside.shape)[inside] == passage[j[inside]]
+    # a cell's value is length * unit + the diagonal on which the stretch began
+    unit = width + 1
+    steps = np.arange(n + 1, dtype=np.int64)[None, :] * unit
+    span = np.int64(4 * unit * (n + 2))
+    segment = np.cumsum(~equal, axis=1) * span
+
+    def carried(x: np.ndarray) -> np.ndarray:
+        return np.maximum.accumulate(x - steps + segment, axis=1) - segment + steps
+
+    begin = np.broadcast_to(np.arange(width, dtype=np.int64)[:, None], equal.shape)
+    best = carried(begin)
+    for _ in range(edits):
+        x = best.copy()
+        before = np.where(inside[:, 1:], best[:, :-1] + unit, begin[:, 1:])
+        x[:, 1:] = np.maximum(x[:, 1:], before)  # replaced
+        x[1:, 1:] = np.maximum(x[1:, 1:], best[:-1, :-1])  # only in the region
+        x[:-1] = np.maximum(x[:-1], np.where(inside[:-1], best[1:] + unit, begin[:-1]))  # only in the passage
+        best = carried(np.maximum(x, begin))
+    length, start = best // unit, best % unit
+    blanks = np.concatenate(([0], np.cumsum(passage == SPACE)))
+    end = np.where(inside, j, -1)
+    first = np.maximum(end - length + 1, 0)
+    whole = np.where(inside, blanks[end + 1] - blanks[first] - 1, -1)
+    at = int(np.argmax(whole.T))  # the earliest end of the best
+    i, d = divmod(at, width)
+    if whole[d, i] <= 0:
+        return 0, 0, 0
+    p0, p1 = int(first[d, i]), int(end[d, i])
+    spaces = p0 + np.flatnonzero(passage[p0 : p1 + 1] == SPACE)
+    r0 = i - int(length[d, i]) - (d - int(start[d, i]))
+    return int(whole[d, i]), max(0, r0 + int(spaces[0]) - p0), min(n, i - (p1 - int(spaces[-1])))
 
 
 def _scan_slice(ids: list[int], texts: list[str], index: PassageIndex) -> list[tuple]:
@@ -134,29 +169,22 @@ def _scan_slice(ids: list[int], texts: list[str], index: PassageIndex) -> list[t
             where = doc_at[key[s:e]]
             entry = found.setdefault((int(d[s]), int(o[s])), [])
             first = int(where.min())
-            entry.append((first, int(where.max()), int(count[b]), first - (int(c[s]) * 2 - shift) * band))
+            entry.append((first, int(where.max()), int(count[b]), (int(c[s]) * 2 - shift) * band))
     out = []
     for (d, o), regions in found.items():
         best = (0, 0, 0, 0)
-        passage = index.words[o]
-        for first, last, count, offset in regions:
-            # the region's words, widened by what a band may shift it
-            s, e = max(first - 2 * band, int(start[d])), last + q + 2 * band
+        passage = index.codes[o]
+        # what edits at a region's ends may hide of it from the q-grams
+        margin = 2 * band + (q + 1) * index.edits
+        for first, last, count, low in regions:
+            s, e = max(first - margin, int(start[d])), last + q + margin
             own = codes[s:e]
             stop = np.flatnonzero(own == BREAK)
             own = own[: stop[0]] if len(stop) else own
-            spaces = np.flatnonzero(own == SPACE)
-            if len(spaces) < 2:
-                continue
-            own, s = own[spaces[0] : spaces[-1]], s + int(spaces[0])
-            region = "".join(map(chr, own)).split()
-            before = int(np.searchsorted(index.spaces[o], offset))
-            run, end = _longest_run(region, passage, -before - 2 * band - 1, -before + 2 * band + 1)
+            run, begin, finish = align(own, passage, low - s - index.edits, 2 * band + 2 * index.edits, index.edits)
             if run > best[0]:
-                edges = np.flatnonzero(own == SPACE)
-                begin = s + int(edges[end - run]) + 1
-                finish = s + (int(edges[end]) if end < len(edges) else len(own)) - 1
-                best = (run, count, int(pos[begin]), int(pos[finish]) + 1)
+                inner = begin + np.flatnonzero(own[begin:finish] != SPACE)
+                best = (run, count, int(pos[s + int(inner[0])]), int(pos[s + int(inner[-1])]) + 1)
         if best[0] >= index.min_words:
             out.append((ids[d], int(index.ids[o]), *best))
     return out
@@ -190,16 +218,21 @@ def find_leaks(
     min_words: int = 12,
     q: int = 16,
     edits: int = 0,
-    block_bytes: int = 32_000_000,
+    block_bytes: int = 8_000_000,
 ) -> DataFrame:
     """Each (document, passage) that share ``min_words`` consecutive words, once.
 
+    ``edits`` is the number of characters of the folded text that may be inserted, deleted or
+    replaced over the whole stretch; with 0 the words are equal. Q-grams shrink with it, so that
+    the lemma's bound stays above zero.
+
     docs: ``doc_id``, ``text``; passages: ``passage_id``, ``text``; further columns are ignored.
-    Passages are indexed in blocks of at most about ``block_bytes`` of text, one pass over the
-    documents for each, so no broadcast grows with the test set. Rows with a null key or a null
+    Passages are indexed in blocks of at most about ``block_bytes`` of text (an index takes about
+    16 bytes a character), one pass over the documents for each, so no broadcast grows with the
+    test set. Rows with a null key or a null
     or blank text hold nothing; a passage of fewer than ``min_words`` words can't leak; repeated
     rows give the pair once, with its longest run; empty tables give no rows. Positions are in
-    code points of the text as delivered. ``edits`` widens the bands for the filter's bound.
+    code points of the text as delivered.
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -124,3 +124,50 @@ def test_leaks_empty(spark):
     one = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     assert leakage.find_leaks(d, p).count() == 0 and leakage.find_leaks(one, p).count() == 0
     assert leakage.find_leaks(d, one.withColumnRenamed("doc_id", "passage_id")).count() == 0
+
+
+def edit_run(a: str, b: str, edits: int) -> int:
+    """Most whole words of ``b`` in a stretch that ``a`` holds with at most ``edits`` edits, by a plain table."""
+    best = 0
+    for j0 in range(len(b)):
+        if b[j0] != " ":
+            continue
+        row = [0] * (len(a) + 1)  # the stretch may begin anywhere in a
+        for j in range(j0, len(b)):
+            new = [row[0] + 1]
+            for i in range(1, len(a) + 1):
+                new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (a[i - 1] != b[j])))
+            row = new
+            if min(row) <= edits and b[j] == " ":
+                best = max(best, b[j0 : j + 1].count(" ") - 1)
+    return best
+
+
+def test_edit_alignment_equals_plain_table():
+    rnd = random.Random(8)
+    codes = lambda t: fold([t])[0][2:-2]
+    for _ in range(60):
+        b = [rnd.choice(["ab", "ba", "abc", "c", "bcaa"]) for _ in range(rnd.randrange(1, 9))]
+        a = [w if rnd.random() < 0.8 else rnd.choice(["ab", "acb", "c"]) for w in b]
+        if rnd.random() < 0.3:
+            a.insert(rnd.randrange(len(a) + 1), "b")
+        x, y = codes(" ".join(a)), codes(" ".join(b))
+        s, t = ("".join(map(chr, v)) for v in (x, y))
+        for edits in (0, 1, 3):
+            got, begin, end = leakage.align(x, y, -len(y), len(x) + len(y), edits)
+            assert got == edit_run(s, t, edits), (s, t, edits)
+            assert 0 <= begin <= end <= len(x)
+
+
+def test_edits_find_changed_words(spark):
+    words_ = [f"passage{chr(97 + i)}{chr(105 + i)}" for i in range(18)]
+    changed = [*words_[:8], "passagexy", *words_[9:]]
+    longer = [*words_[:9], "a", *words_[9:]]
+    docs = [(1, "before " + " ".join(changed) + " behind"), (2, " ".join(longer)), (3, " ".join(words_)), (4, "nothing at all")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    p = spark.createDataFrame([(7, " ".join(words_))], "passage_id bigint, text string")
+    found = lambda e: {r.doc_id: r for r in leakage.find_leaks(d, p, edits=e).collect()}
+    assert set(found(0)) == {3}
+    two = found(2)
+    assert set(two) == {1, 2, 3} and all(r.run_words == 18 for r in two.values())
+    assert docs[0][1][two[1].start_pos : two[1].end_pos] == " ".join(changed)
