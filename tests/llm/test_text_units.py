@@ -1,10 +1,11 @@
 import random
+import time
 
 import pytest
 
 from corvane.llm.packing import RoomTree, encoding, pack, pieces, plan
 from corvane.llm.segments import boundaries, natural_boundaries, split, split_oversized
-from corvane.llm.sentences import sentences, split_sentences
+from corvane.llm.sentences import fit, fitted, sentences, split_sentences
 
 
 def cut(text):
@@ -163,3 +164,28 @@ def test_sentences_far_apart(gap):
 def test_sentences_punctuation_behind_opening_marks():
     text = "Use **bold **. Then more words here."
     assert "".join(text[s:e] for s, e in sentences(text)).replace(" ", "") == text.replace(" ", "")
+
+
+def test_fitted_words_and_joint_spans():
+    text = "Tardó aproxi. 5 segundos en total. Luego paró del todo."
+    assert len(sentences(text)) == 3
+    model = fitted([("close", "aproxi", 0, 50), ("close", "total", 20, 0)])
+    assert [text[s:e] for s, e in sentences(text, model)] == ["Tardó aproxi. 5 segundos en total.", "Luego paró del todo."]
+    # a pair ends a span of its own only where it opens it
+    assert cut("It is kept here (see the note.) Then more of it follows.") == ["It is kept here (see the note.) Then more of it follows."]
+    assert cut("It is kept here. (See the note there.) Then more of it follows.")[1] == "(See the note there.)"
+    # what lies within a pair is never cut, however good the border
+    assert len(cut('He wrote "Stop it now. Then start again." in the log there.')) == 1
+
+
+def test_model_learns_from_blocks(spark):
+    rows = [(i, f"# Titulo {i}\n\nTardó aproxi. cinco segundos. Luego paró.\n\n- Luego sigue otra frase completa aquí.\n") for i in range(40)]
+    model = fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert model.close["aproxi"] < -2 and model.close["aquí"] > 0 and model.opening["Luego"] > 0
+
+
+@pytest.mark.parametrize("text", ["((. " * 20_000, "„a. " * 30_000, "`a. " * 30_000, "word. " * 30_000, "x" * 200_000, "!!! " * 40_000])
+def test_linear_in_odd_texts(text):
+    begin = time.perf_counter()
+    sentences(text)
+    assert time.perf_counter() - begin < 4
