@@ -1,22 +1,24 @@
 """Problem 1: files that nobody of the project wrote by hand.
 
 Attribute files (``.gitattributes``) that mark paths as generated or vendored are parsed and
-resolved as git does: the file in the deepest directory wins, within a file the last line. For
-what no attribute declares, equivalent patterns are used: a short list of well-known ones, and
-those mined from the collection, that is directory names and name endings whose files mostly
-show evidence in their content (a generator's header, minified or packed text, data saved as
-code, machine idioms, text equal to third-party code). A well-known pattern that the content of
-the collection contradicts is dropped.
+resolved as git does: the file in the deepest directory wins, within a file the last line. What
+no attribute declares is decided by equivalent patterns of paths, directory names and name
+endings, mined from the whole collection: those whose files are mostly declared by the attribute
+files of other projects or show evidence in their content (a generator's header, minified or
+packed text, data saved as code, machine idioms, text equal to third-party code). Well-known
+patterns need no support, but one for generated files that the collection contradicts is dropped.
+Only files that no pattern decides are decided by the evidence of their own content.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.session import stage
@@ -48,10 +50,11 @@ _ASSIGNED = re.compile(r"^\s*\w+\s*(?::[^=]{1,80})?=\s*(?=[\[({\"'])")
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|;|--|<!--)")
 
 CHUNK = (
-    "project_id string, path string, code boolean, chars bigint, long_chars bigint, data_chars bigint, digits bigint, hexes bigint, "
+    "ord bigint, seen bigint, project_id string, path string, code boolean, chars bigint, long_chars bigint, data_chars bigint, digits bigint, hexes bigint, "
     "generated boolean, taken boolean, packed boolean, lines array<bigint>"
 )
 _LONG_LINE, _SOLID_LINE = 300, 30
+_NO_PROJECT = "\x00"  #: stands for a null project_id
 
 
 def leading_text(text: str) -> str:
@@ -106,18 +109,18 @@ def features(text: str, kind: str | None) -> tuple:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in CHUNK.split(", ")]
-    types = [pa.string(), pa.string(), pa.bool_()] + [pa.int64()] * 5 + [pa.bool_()] * 3 + [pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()] + [pa.int64()] * 5 + [pa.bool_()] * 3 + [pa.list_(pa.int64())]
     for b in batches:
         rows = [
-            (p, path, source != "doc", *features(text or "", kind))
-            for p, path, source, kind, text in zip(*(b.column(i).to_pylist() for i in range(5)))
+            (o, seen, p, path, source != "doc", *features(text or "", kind))
+            for o, seen, p, path, source, kind, text in zip(*(b.column(i).to_pylist() for i in range(7)))
         ]
         cols = zip(*rows) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
 def glob_to_regex(glob: str) -> str | None:
-    """Java regex for a path below the attribute file's directory, or None for what git ignores."""
+    """Regex for a path below the attribute file's directory, or None for what git ignores."""
     if not glob or glob.startswith("!") or glob.endswith("/"):
         return None  # negative patterns and directories are not allowed there
     anchored = "/" in glob
@@ -136,20 +139,25 @@ def glob_to_regex(glob: str) -> str | None:
         elif c == "?":
             out, i = out + "[^/]", i + 1
         elif c == "[" and (end := glob.find("]", i + 2)) > 0:
-            body = glob[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            body = glob[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[")
             out, i = out + "[" + ("^" + body[1:] if body[0] in "!^" else body) + "]", end + 1
         else:
             if c == "\\" and i + 1 < len(glob):
                 i, c = i + 1, glob[i + 1]
-            out, i = out + (c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}"), i + 1
+            out, i = out + re.escape(c), i + 1
     return "^" + ("" if anchored else "(?:.*/)?") + out + "$"
 
 
-RULES = "project_id string, directory string, line int, regex string, generated boolean, vendored boolean"
+#: what the last line that names an attribute says of it
+UNSPECIFIED, UNSET, SET = -1, 0, 1
 
 
-def parse_attributes(text: str) -> list[tuple[int, str, bool | None, bool | None]]:
-    """(line number, regex, generated, vendored) of the lines that set either; macros expand."""
+def parse_attributes(text: str) -> list[tuple[int, str, int | None, int | None]]:
+    """(line number, regex, generated, vendored) of the lines that name either; macros expand.
+
+    The values are ``SET``, ``UNSET`` (``-name``, ``name=false``) or ``UNSPECIFIED`` (``!name``,
+    which takes back what other lines said); None where the line doesn't name the attribute.
+    """
     out, macros = [], {}
     for n, line in enumerate(text.splitlines()):
         line = line.strip()
@@ -162,42 +170,68 @@ def parse_attributes(text: str) -> list[tuple[int, str, bool | None, bool | None
         if glob.startswith("[attr]"):
             macros[glob[6:]] = rest
             continue
-        attrs = [a for r in rest for a in (macros.get(r, []) + [r])]
-        value: dict[str, bool | None] = {}
-        for a in attrs:
+        value: dict[str, int] = {}
+        for a in (a for r in rest for a in (*macros.get(r, []), r)):
             name, _, set_to = a.lstrip("-!").partition("=")
-            if name in ("linguist-generated", "linguist-vendored"):
-                value[name] = None if a[0] == "!" else not (a[0] == "-" or set_to.lower() in ("false", "0", "no"))
+            off = a[0] == "-" or set_to.lower() in ("false", "0", "no")
+            value[name] = UNSPECIFIED if a[0] == "!" else UNSET if off else SET
         regex = glob_to_regex(glob)
-        if value and regex:
-            out.append((n, regex, value.get("linguist-generated"), value.get("linguist-vendored")))
+        generated, vendored = value.get("linguist-generated"), value.get("linguist-vendored")
+        if regex and (generated is not None or vendored is not None):
+            out.append((n, regex, generated, vendored))
+    return out
+
+
+@lru_cache(maxsize=256)
+def _compiled(text: str) -> list[tuple[re.Pattern, int | None, int | None]]:
+    """The rules of an attribute file, the last line first; a pattern that is none matches nothing."""
+    out = []
+    for _, regex, generated, vendored in reversed(parse_attributes(text)):
+        try:
+            out.append((re.compile(regex), generated, vendored))
+        except re.error:
+            continue
     return out
 
 
-def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
-    names = [x.split()[0] for x in RULES.split(", ")]
+DECLARED = "project_id string, path string, depth int, generated int, vendored int"
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(project, path, directory, text of the attribute file there) -> what that file says of the path."""
+    types = [pa.string(), pa.string()] + [pa.int32()] * 3
+    names = [x.split()[0] for x in DECLARED.split(", ")]
     for b in batches:
         rows = []
-        for p, path, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-            rows += [(p, path.rpartition("/")[0], *r) for r in parse_attributes(text or "")]
+        for p, path, directory, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+            below = path[len(directory) + 1 :] if directory else path
+            said: list[int | None] = [None, None]
+            for regex, *values in _compiled(text):
+                if None in said and regex.match(below):
+                    said = [old if old is not None else new for old, new in zip(said, values)]
+            if said != [None, None]:
+                rows.append((p, path, len(directory), *said))
         cols = zip(*rows) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
-def declared(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """``project_id path declared_generated declared_vendored`` of the files that a rule decides."""
-    attributes = chunks.filter(F.col("path").rlike(r"(^|/)\.gitattributes$") & F.col("text").isNotNull())
-    rules = attributes.select("project_id", "path", "text").distinct().mapInArrow(_rules, RULES)
-    below = F.when(F.col("directory") == "", F.col("path")).when(
-        F.startswith("path", F.concat("directory", F.lit("/"))), F.expr("substring(path, length(directory) + 2)")
-    )
-    hit = files.select("project_id", "path").join(rules, "project_id").withColumn("below", below)
-    hit = hit.filter(F.col("below").isNotNull()).filter(F.expr("below rlike regex"))
-    rank = F.struct(F.length("directory").alias("d"), "line")
-    return hit.groupBy("project_id", "path").agg(
-        *(F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"declared_{c}") for c in ("generated", "vendored"))
+def declared(attributes: DataFrame, files: DataFrame) -> DataFrame:
+    """``project_id path declared_generated declared_vendored`` of the files that a rule decides.
+
+    ``attributes``: ``project_id path text`` of attribute files. A file meets the attribute files
+    of its own directories only, each once with all its lines.
+    """
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
+    rules = attributes.groupBy("project_id", F.regexp_replace("path", r"/?[^/]*$", "").alias("directory")).agg(text.alias("text"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    met = files.select("project_id", "path", F.explode(above).alias("directory")).join(rules, ["project_id", "directory"])
+    said = met.select("project_id", "path", "directory", "text").mapInArrow(_resolve, DECLARED)
+    last = said.groupBy("project_id", "path").agg(
+        *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c) for c in ("generated", "vendored"))
     )
+    value = lambda c: F.when(F.col(c) >= UNSET, F.col(c) == SET).alias(f"declared_{c}")
+    return last.select("project_id", "path", value("generated"), value("vendored"))
 
 
 def _vendored(path: Column) -> Column:
@@ -208,6 +242,7 @@ def _vendored(path: Column) -> Column:
 def classify_files(
     chunks: DataFrame,
     projects: DataFrame,
+    attributes: DataFrame | None = None,
     *,
     min_support: int = 5,
     min_projects: int = 3,
@@ -216,19 +251,36 @@ def classify_files(
 ) -> DataFrame:
     """``project_id path reason`` of the files that no one of the project wrote by hand.
 
-    Needs ``project_id path source kind text`` of chunks and ``id repo`` of projects; further
-    columns are ignored. ``reason`` is one of ``declared project vendored generated minified
-    packed data machine copied pattern``. Rows with a null path belong to no file; a null text
-    is an empty one; a null ``project_id`` is a project without a registration; chunks without a
-    registered project are judged without ``repo``; repeated rows count as often as they come,
-    which changes no share; empty tables give no rows.
+    Needs ``project_id path source kind text`` of chunks and ``id repo`` of projects (and takes
+    the latest row of an ``ord`` where ``ord`` and ``indexed_at`` are there); further columns are
+    ignored. Attribute files are those among the chunks and those of ``attributes``
+    (``project_id path text``), as ``sources.tree.attribute_files`` reads them. ``reason`` is one
+    of ``declared project pattern generated minified packed data machine copied``. Rows with a
+    null path belong to no file; a null text is an empty one; null ``project_id`` is one project
+    without a registration; chunks without a registered project are judged without ``repo``;
+    repeated rows of an ``ord`` count once; empty tables give no rows.
     """
-    src = chunks.filter(F.col("path").isNotNull()).select("project_id", "path", "source", "kind", F.col("text").cast("string").alias("text"))
-    facts = stage(src.mapInArrow(_features, CHUNK), "provenance")
+    project = F.coalesce(F.col("project_id").cast("string"), F.lit(_NO_PROJECT)).alias("project_id")
+    has = set(chunks.columns)
+    order = F.col("ord").cast("bigint") if "ord" in has else F.lit(None).cast("bigint")
+    seen = F.unix_micros(F.col("indexed_at").cast("timestamp")) if "indexed_at" in has else F.lit(None).cast("bigint")
+    src = chunks.filter(F.col("path").isNotNull()).select(
+        order.alias("ord"), seen.alias("seen"), project, "path", "source", "kind", F.col("text").cast("string").alias("text")
+    )
+    facts = src.mapInArrow(_features, CHUNK)
+    if "ord" in has:
+        # the latest row of an ord; rows without one are each their own
+        same = F.coalesce("ord", -F.abs(F.xxhash64("project_id", "path", "chars", "lines")) - 1)
+        newest = Window.partitionBy(same).orderBy(F.desc_nulls_last("seen"), "project_id", "path", "chars", F.xxhash64("lines"))
+        facts = facts.withColumn("rn", F.row_number().over(newest)).filter("rn = 1").drop("rn")
+    facts = stage(facts.drop("ord", "seen"), "provenance")
+    rules = src.filter(F.col("path").rlike(r"(^|/)\.gitattributes$") & F.col("text").isNotNull()).select(project, "path", "text", "ord").distinct()
+    if attributes is not None:
+        rules = rules.unionByName(attributes.filter("path is not null and text is not null").select(project, "path", "text", F.lit(0).cast("bigint").alias("ord")))
 
     # the whole project is someone else's if every registration stands in a vendored place
     place = F.concat(F.regexp_replace("repo", r"\\", "/"), F.lit("/"))
-    foreign = projects.filter(F.col("repo").isNotNull()).groupBy(F.col("id").alias("project_id")).agg(F.min(_vendored(place)).alias("foreign"))
+    foreign = projects.filter(F.col("repo").isNotNull()).groupBy(F.col("id").cast("string").alias("project_id")).agg(F.min(_vendored(place)).alias("foreign"))
     name = F.lower(F.regexp_replace("project_id", "-", "_"))
     root = F.lower(F.regexp_extract("path", r"^(?:src/|lib/|python/)?([^/]+)/", 1))
 
@@ -267,37 +319,46 @@ def classify_files(
     )
     files = stage(files.withColumn("content", content), "files")
 
-    # patterns: each directory name, and what follows the last separator of the file's name
+    # patterns: each directory name, pairs of them, and what follows the last separator of the file's name
+    said = declared(rules, files)
+    files = files.join(said, ["project_id", "path"], "left")
+    yes = F.coalesce("declared_generated", F.lit(False)) | F.coalesce("declared_vendored", F.lit(False))
+    no = F.coalesce((F.col("declared_generated") == False) | (F.col("declared_vendored") == False), F.lit(False))  # noqa: E712
     parts = F.split("path", "/")
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
     ending = F.regexp_extract(stem, r"[^._-]([._-][^._-]+)$", 1)
-    keys = F.array_union(
-        F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: F.concat(F.lit("dir "), d)),
-        F.when(ending != "", F.array(F.concat(F.lit("end "), ending))).otherwise(F.array().cast("array<string>")),
+    dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    pairs = F.zip_with(dirs, F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda a, b: F.concat(F.lit("dir "), a, F.lit("/"), b))
+    keys = F.array_distinct(
+        F.concat(
+            F.transform(dirs, lambda d: F.concat(F.lit("dir "), d)),
+            F.filter(pairs, lambda x: x.isNotNull()),
+            F.when(ending != "", F.array(F.concat(F.lit("end "), ending))).otherwise(F.array().cast("array<string>")),
+        )
     )
-    free = files.filter(F.col("code") & ~F.col("own") & ~F.col("foreign")).select("project_id", "path", "content", F.explode(keys).alias("key"))
+    shown = F.when(yes | (F.col("content").isNotNull() & ~no), F.lit(1))
+    free = files.filter(F.col("code") & ~F.col("own") & ~F.col("foreign")).select("project_id", "path", shown.alias("shown"), F.explode(keys).alias("key"))
     score = free.groupBy("key").agg(
-        F.count("*").alias("n"), F.count("content").alias("hits"), F.approx_count_distinct(F.when(F.col("content").isNotNull(), F.col("project_id"))).alias("where_")
+        F.count("*").alias("n"), F.count("shown").alias("hits"), F.approx_count_distinct(F.when(F.col("shown") == 1, F.col("project_id"))).alias("where_")
     )
-    known = [f"dir {d}" for d in GENERATED_DIRS] + [f"end {e}" for e in GENERATED_ENDINGS]
+    generated = [f"dir {d}" for d in GENERATED_DIRS] + [f"end {e}" for e in GENERATED_ENDINGS]
+    vendored = [f"dir {d}" for d in [*VENDORED_DIRS, *VENDORED_PATHS]]
     rate = (F.col("hits") + 1) / (F.col("n") + 2)
     mined = (F.col("hits") >= min_support) & (F.col("where_") >= min_projects) & (rate >= precision)
-    listed = F.col("key").isin(known) & ~((F.col("n") >= 10) & (rate < 0.3))
-    patterns = score.filter(mined | listed).select("key")
-    by_pattern = (
-        files.filter(~F.col("own")).select("project_id", "path", F.explode(keys).alias("key")).join(patterns, "key").select("project_id", "path").distinct()
-        .withColumn("pattern", F.lit(True))
-    )
-
-    out = files.join(by_pattern, ["project_id", "path"], "left").join(declared(chunks, files), ["project_id", "path"], "left")
-    yes = F.coalesce("declared_generated", F.lit(False)) | F.coalesce("declared_vendored", F.lit(False))
-    no = (F.col("declared_generated") == False) | (F.col("declared_vendored") == False)  # noqa: E712
+    listed = F.col("key").isin(vendored) | (F.col("key").isin(generated) & ~((F.col("n") >= 10) & (rate < 0.3)))
+    # documents are foreign in vendored places too, other patterns are about code
+    every = files.filter(~F.col("own")).select("project_id", "path", "code", F.explode(keys).alias("key"))
+    patterns = score.filter(mined | listed).select("key").unionAll(every.filter(F.col("key").isin(vendored)).select("key")).distinct()
+    by_pattern = every.join(patterns, "key").filter(F.col("code") | F.col("key").isin(vendored))
+    by_pattern = by_pattern.select("project_id", "path").distinct().withColumn("pattern", F.lit(True))
+
+    out = files.join(by_pattern, ["project_id", "path"], "left")
     reason = (
         F.when(yes, "declared")
-        .when(F.coalesce(no, F.lit(False)), None)
+        .when(no, None)
         .when(F.col("foreign"), "project")
-        .when(F.col("vendored"), "vendored")
-        .when(F.col("content").isNotNull(), F.col("content"))
         .when(F.col("pattern"), "pattern")
+        .when(F.col("content").isNotNull(), F.col("content"))
     )
-    return out.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("project_id", "path", "reason")
+    out = out.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return out.select(F.nullif("project_id", F.lit(_NO_PROJECT)).alias("project_id"), "path", "reason")

@@ -1,3 +1,6 @@
+import datetime
+import re
+
 import pytest
 
 from corvane.llm.docpairs import lex, pair_documentation, says_something
@@ -77,13 +80,13 @@ def test_pairs(spark):
         ("**/gen/*.py", "x/y/gen/a.py", True), ("a[!b]c.py", "adc.py", True), ("a[!b]c.py", "abc.py", False), ("a?c.py", "a/c.py", False), ("a\\*.py", "a*.py", True), ("x.+y", "x.+y", True),
     ],
 )
-def test_globs(spark, glob, path, hit):
-    assert spark.range(1).selectExpr(f"'{path}' rlike r\"{glob_to_regex(glob)}\"").first()[0] is hit
+def test_globs(glob, path, hit):
+    assert bool(re.match(glob_to_regex(glob), path)) is hit
 
 
 def test_parse_attributes():
     text = '# c\n*.py linguist-generated\n"a b.py" -linguist-vendored\n[attr]mine linguist-vendored\nlib/** mine\nx text\ny linguist-generated=false\nz !linguist-generated\n!n linguist-generated'
-    assert [(n, g, v) for n, _, g, v in parse_attributes(text)] == [(1, True, None), (2, None, False), (4, None, True), (6, False, None), (7, None, None)]
+    assert [(n, g, v) for n, _, g, v in parse_attributes(text)] == [(1, 1, None), (2, None, 0), (4, None, 1), (6, 0, None), (7, -1, None)]
 
 
 FILES = "project_id string, path string, source string, kind string, text string, content string, reason int"
@@ -122,8 +125,8 @@ def test_classify(spark):
     )
     got = {(r.project_id, r.path): r.reason for r in classify_files(df, projects).collect()}
     assert got == {
-        ("app", "src/gen.py"): "generated", ("app", "src/tr.py"): "generated", ("app", "a.min.py"): "minified", ("app", "plain.py"): "minified",
-        ("app", "table.py"): "data", ("app", "third_party/lib/x.py"): "vendored", ("app", "src/copy.py"): "copied", ("lib", "vendor/other/z.py"): "vendored",
+        ("app", "src/gen.py"): "generated", ("app", "src/tr.py"): "generated", ("app", "a.min.py"): "pattern", ("app", "plain.py"): "minified",
+        ("app", "table.py"): "data", ("app", "third_party/lib/x.py"): "pattern", ("app", "src/copy.py"): "copied", ("lib", "vendor/other/z.py"): "pattern",
         ("mirror", "any/where.py"): "project", ("app", "declared/d.py"): "declared", ("app", "declared/.gitattributes"): "declared",
         (None, "n.py"): "generated", ("ghost", "packed.py"): "packed",
     } or got == {k: v for k, v in got.items() if k != ("app", "declared/.gitattributes")}
@@ -138,7 +141,7 @@ def test_mined_patterns(spark):
             rows.append((f"p{p}", f"src/hand/m{i}.py", "code", "module", "x = 1"))
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], FILES)
     got = {(r.project_id, r.path): r.reason for r in classify_files(df, spark.createDataFrame([], PROJECTS)).collect()}
-    assert got == {(f"p{p}", f"src/stubs/m{i}.py"): "generated" if i else "pattern" for p in range(4) for i in range(4)}
+    assert got == {(f"p{p}", f"src/stubs/m{i}.py"): "pattern" for p in range(4) for i in range(4)}
 
 
 @pytest.mark.parametrize("above", ["# licence text\n" * 60, '"""Change log.\n' + "- entry\n" * 60])
@@ -147,3 +150,33 @@ def test_mark_below_a_long_header(above):
     assert features(above + "# Code generated by protoc. DO NOT EDIT.\n" + end + "x = 1\n", "module")[5]
     assert features(above + "Copied from https://example.org 1.2\n" * bool(end) + "# vendored copy of lib\n" + end + "x = 1\n", "module")[6]
     assert not features(above + end + "x = 1\n# Code generated by protoc. DO NOT EDIT.\n", "module")[5]
+
+
+def test_attribute_files_decide(spark):
+    """Declared files, what a deeper file takes back, and patterns mined from them for other projects."""
+    rows = [(f"p{p}", f"a{p}/stubs/m{i}.py", "code", "module", f"x = {i}") for p in range(3) for i in range(3)]
+    rows += [(f"p{p}", f"a{p}/hand/m{i}.py", "code", "module", f"y = {i}") for p in range(3) for i in range(3)]
+    rows += [("other", "deep/stubs/q.py", "code", "module", "z = 1"), ("other", "gen/q.py", "code", "module", "z = 2"), (None, "b/stubs/n.py", "code", "module", "z = 3")]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], FILES)
+    files = [(f"p{p}", ".gitattributes", "*.py linguist-generated\n") for p in range(3)]
+    files += [(f"p{p}", f"a{p}/hand/.gitattributes", "*.py !linguist-generated\n[bad\n") for p in range(3)]
+    files += [("other", "gen/.gitattributes", "q.py -linguist-generated\n*.md linguist-generated"), (None, ".gitattributes", "*.txt linguist-vendored"), ("p0", None, "x"), ("p1", "x/.gitattributes", None)]
+    attributes = spark.createDataFrame(files, "project_id string, path string, text string")
+    none = spark.createDataFrame([], PROJECTS)
+    got = {(r.project_id, r.path): r.reason for r in classify_files(df, none, attributes).collect()}
+    want = {(f"p{p}", f"a{p}/stubs/m{i}.py"): "declared" for p in range(3) for i in range(3)}
+    assert got == want | {("other", "deep/stubs/q.py"): "pattern", (None, "b/stubs/n.py"): "pattern"}
+    # without the attribute files nothing shows
+    assert classify_files(df, none).count() == 0
+
+
+def test_latest_row_of_an_ord(spark):
+    data = "T = {\n" + "\n".join(f"    {i}: 'name-{i}'," for i in range(60)) + "\n}"
+    hand = "\n".join(f"    value_{i} = other({i}).strip()" for i in range(50))
+    kind = "ord long, project_id string, path string, source string, kind string, text string, indexed_at timestamp"
+    at = lambda d: datetime.datetime(2026, 1, d)
+    rows = [(1, "p", "f.py", "code", "module", data, at(1)), (1, "p", "f.py", "code", "module", "x = 1", at(2)), (2, "p", "f.py", "code", "function", hand, at(1))]
+    # repeated rows change no share
+    rows += [(3, "p", "g.py", "code", "module", data, at(1))] + [(4, "p", "g.py", "code", "function", "def f():\n" + hand[:300], at(1))] * 9
+    got = [(r.path, r.reason) for r in classify_files(spark.createDataFrame(rows, kind), spark.createDataFrame([], PROJECTS)).collect()]
+    assert got == [("g.py", "data")]
