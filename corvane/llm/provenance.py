@@ -298,13 +298,14 @@ def classify_files(
     # a project that is foreign as a whole holds much that isn't a library's, so it is no source
     where = files.select("project_id", "path", F.col("vendored").alias("there"), "own")
     solid = facts.select("project_id", "path", F.explode("lines").alias("digest"))
-    owned = facts.join(where.filter("there or own"), ["project_id", "path"]).select("project_id", "there", "own", F.explode("lines").alias("digest"))
+    owned = facts.join(where.filter("there or own").hint("merge"), ["project_id", "path"]).select("project_id", "there", "own", F.explode("lines").alias("digest"))
     owner = F.when(F.col("own"), F.col("project_id"))
     # vendored text counts wherever it is met again, a library's own outside its project
     third = owned.groupBy("digest").agg(F.max("there").alias("there"), F.min(owner).alias("p1"), F.max(owner).alias("p2"))
-    met = solid.join(third, "digest").filter(F.col("there") | ~(F.col("project_id").eqNullSafe(F.col("p1")) & F.col("project_id").eqNullSafe(F.col("p2"))))
+    met = solid.join(third.hint("merge"), "digest").filter(F.col("there") | ~(F.col("project_id").eqNullSafe(F.col("p1")) & F.col("project_id").eqNullSafe(F.col("p2"))))
     shared = met.groupBy("project_id", "path").agg(F.count("*").alias("shared_lines"))
-    files = files.join(shared, ["project_id", "path"], "left")
+    # tables of files grow with the collection: none of them is broadcast
+    files = files.join(shared.hint("merge"), ["project_id", "path"], "left")
 
     share = lambda c: F.try_divide(F.col(c), F.col("chars"))
     code = F.col("code") & (F.col("chars") > 0)
@@ -319,9 +320,9 @@ def classify_files(
     )
     files = stage(files.withColumn("content", content), "files")
 
-    # patterns: each directory name, pairs of them, and what follows the last separator of the file's name
+    # patterns: each directory name, well-known pairs of them, and what follows the last separator of the file's name
     said = declared(rules, files)
-    files = files.join(said, ["project_id", "path"], "left")
+    files = files.join(said.hint("merge"), ["project_id", "path"], "left")
     yes = F.coalesce("declared_generated", F.lit(False)) | F.coalesce("declared_vendored", F.lit(False))
     no = F.coalesce((F.col("declared_generated") == False) | (F.col("declared_vendored") == False), F.lit(False))  # noqa: E712
     parts = F.split("path", "/")
@@ -332,7 +333,7 @@ def classify_files(
     keys = F.array_distinct(
         F.concat(
             F.transform(dirs, lambda d: F.concat(F.lit("dir "), d)),
-            F.filter(pairs, lambda x: x.isNotNull()),
+            F.filter(pairs, lambda x: x.isin([f"dir {d}" for d in VENDORED_PATHS])),
             F.when(ending != "", F.array(F.concat(F.lit("end "), ending))).otherwise(F.array().cast("array<string>")),
         )
     )
@@ -352,7 +353,7 @@ def classify_files(
     by_pattern = every.join(patterns, "key").filter(F.col("code") | F.col("key").isin(vendored))
     by_pattern = by_pattern.select("project_id", "path").distinct().withColumn("pattern", F.lit(True))
 
-    out = files.join(by_pattern, ["project_id", "path"], "left")
+    out = files.join(by_pattern.hint("merge"), ["project_id", "path"], "left")
     reason = (
         F.when(yes, "declared")
         .when(no, None)
