@@ -62,17 +62,23 @@ def idf(post: DataFrame, length: DataFrame, p: BM25) -> DataFrame:
 
 
 def search(
-    queries: DataFrame, tokens: DataFrame, k: int, p: BM25 | None = None, post: DataFrame | None = None, length: DataFrame | None = None
+    queries: DataFrame,
+    tokens: DataFrame,
+    k: int,
+    p: BM25 | None = None,
+    post: DataFrame | None = None,
+    length: DataFrame | None = None,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id ord score rank``: the best ``k`` with a positive score; ties go to the smaller ``ord``.
 
-    ``post`` and ``length`` are the index tables made from ``tokens``, where they are there already.
+    ``post``, ``length`` and ``weights`` (see ``idf``) are the index tables made from ``tokens``, where they are there already.
     """
     p = p or BM25()
     post = postings(tokens) if post is None else post
     length = lengths(tokens) if length is None else length
     mean = length.groupBy("scope").agg(F.avg("dl").alias("avgdl"))
-    wanted = query_terms(queries).join(idf(post, length, p), ["scope", "term"]).join(mean, "scope")
+    wanted = query_terms(queries).join(idf(post, length, p) if weights is None else weights, ["scope", "term"]).join(mean, "scope")
     # bounded by the batch of queries; written once, so its true size decides how it is joined
     hit = post.join(stage(wanted, "query-terms"), ["scope", "term"])
     tf = F.col("tf")

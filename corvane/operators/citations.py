@@ -11,34 +11,46 @@ BEFORE, AFTER, MAX_LINES = 6, 12, 400
 
 
 def answer_citations(answers: DataFrame) -> DataFrame:
-    """``answer_id n citation path line`` of the distinct citations of every answer, in order."""
-    rows = answers.select("answer_id", F.posexplode(citations(F.col("text"))).alias("n", "citation"))
+    """``answer_id scope n citation path line`` of the distinct citations of every answer, in order.
+
+    ``answers``: ``answer_id scope text``; the scope is the code base that an answer is about.
+    """
+    rows = answers.select("answer_id", "scope", F.posexplode(citations(F.col("text"))).alias("n", "citation"))
     path = F.regexp_replace("citation", ":[^:]*$", "")
     return rows.withColumn("path", path).withColumn("line", F.expr("try_cast(regexp_extract(citation, '([0-9]+)$', 1) as bigint)"))
 
 
+def tails(path: Column) -> Column:
+    """A path and all its endings behind a slash."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def verify(cited: DataFrame, files: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Adds ``target`` and ``verified`` to citations.
+    """Adds ``target`` and ``verified`` to citations; an answer meets the files of its scope only.
 
-    ``files``: ``path n_lines`` of every file; ``indexed``: ``path`` of those in the index. A path
-    is taken as it stands if there is such a file; else as the only indexed path that ends with
-    it; of several, as the only one that the same answer spells out. The line must exist.
+    ``files``: ``scope path n_lines`` of every file; ``indexed``: ``scope path`` of those in the
+    index. A path is taken as it stands if there is such a file; else as the only indexed path
+    that ends with it; of several, as the only one that the same answer spells out. The line must
+    exist. An ending that many paths share is one row with their number, so that a common file
+    name multiplies nothing; the paths themselves are met only where an answer spells them out.
     """
-    key = ["answer_id", "n"]
-    exact = cited.join(files.select("path", F.col("n_lines").alias("exact_lines")), "path", "left")
-    # suffix matches as an equi-join on the indexed paths' own suffixes
-    parts = F.split("path", "/")
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))
-    ends = indexed.select("path").distinct().select(F.col("path").alias("candidate"), suffix.alias("tail"))
+    key = ["answer_id", "scope", "n"]
+    exact = cited.join(files.select("scope", "path", F.col("n_lines").alias("exact_lines")), ["scope", "path"], "left")
+    known = indexed.select("scope", "path").distinct()
+    ends = known.select("scope", "path", F.explode(tails(F.col("path"))).alias("tail")).groupBy("scope", "tail").agg(
+        F.count("*").alias("all"), F.min("path").alias("one")
+    )
     open_ = exact.filter("exact_lines is null").select(*key, F.regexp_replace("path", "^/+", "").alias("tail"))
-    matched = open_.join(ends, "tail").select(*key, "candidate")
-    spelled = cited.filter(F.col("path").contains("/")).select("answer_id", F.col("path").alias("candidate")).distinct().withColumn("spelled", F.lit(1))
-    narrowed = matched.join(spelled, ["answer_id", "candidate"], "left").groupBy(*key).agg(
-        F.count("*").alias("all"), F.count("spelled").alias("few"), F.min("candidate").alias("one"), F.min(F.when(F.col("spelled") == 1, F.col("candidate"))).alias("named")
+    matched = open_.join(ends, ["scope", "tail"])
+    spelled = cited.filter(F.col("path").contains("/")).select("answer_id", "scope", "path").distinct().join(known, ["scope", "path"], "left_semi")
+    named = spelled.select("answer_id", "scope", "path", F.explode(tails(F.col("path"))).alias("tail")).groupBy("answer_id", "scope", "tail").agg(
+        F.count("*").alias("few"), F.min("path").alias("named")
     )
+    matched = matched.join(named, ["answer_id", "scope", "tail"], "left")
     target = F.when(F.col("all") == 1, F.col("one")).when(F.col("few") == 1, F.col("named"))
-    resolved = narrowed.select(*key, target.alias("by_suffix")).join(
-        files.select(F.col("path").alias("by_suffix"), F.col("n_lines").alias("suffix_lines")), "by_suffix", "left"
+    resolved = matched.select(*key, target.alias("by_suffix")).join(
+        files.select("scope", F.col("path").alias("by_suffix"), F.col("n_lines").alias("suffix_lines")), ["scope", "by_suffix"], "left"
     )
     out = exact.join(resolved, key, "left")
     out = out.withColumn("target", F.when(F.col("exact_lines").isNotNull(), F.col("path")).when(F.col("suffix_lines").isNotNull(), F.col("by_suffix")))

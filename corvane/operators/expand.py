@@ -8,10 +8,13 @@ carried as ``scope``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import RELATIVE_IMPORT, directory, resolve_relative_import
+from corvane.session import stage
 
 SCAN, FILE_SLOTS, DIRECTORY_SLOTS, REFERENCE_SLOTS, MAX_USERS, HUB_USERS, STRONG_FILES = 60, 4, 2, 2, 5, 25, 2
 
@@ -81,17 +84,27 @@ def referencing_files(selected: DataFrame, edges: DataFrame, modules: DataFrame,
 
 
 def imported_files(
-    selected: DataFrame, edges: DataFrame, modules: DataFrame, closeness: DataFrame, shims: DataFrame, slots: int, hub_users: int = HUB_USERS
+    selected: DataFrame,
+    edges: DataFrame,
+    modules: DataFrame,
+    closeness: DataFrame | Callable[[DataFrame], DataFrame],
+    shims: DataFrame,
+    slots: int,
+    hub_users: int = HUB_USERS,
 ) -> DataFrame:
     """Files that selected files import, without hubs and re-export modules, closest first.
 
-    ``closeness``: ``query_id ord cosine``; ``shims``: ``scope path`` of re-export modules.
+    ``closeness``: ``query_id ord cosine``, or what gives it for the pairs that are in question; ``shims``: ``scope path`` of re-export modules.
     """
     hubs = edges.groupBy("scope", "target").agg(F.count("*").alias("users")).filter(F.col("users") > hub_users).select("scope", F.col("target").alias("path"))
     chosen = selected.select("query_id", "scope", "path").distinct()
     hit = chosen.join(edges.withColumnRenamed("importer", "path"), ["scope", "path"]).select("query_id", "scope", F.col("target").alias("path")).distinct()
     hit = hit.join(chosen, ["query_id", "scope", "path"], "left_anti").join(hubs, ["scope", "path"], "left_anti").join(shims, ["scope", "path"], "left_anti")
-    new = hit.join(modules, ["scope", "path"]).join(closeness, ["query_id", "ord"], "left")
+    new = hit.join(modules, ["scope", "path"])
+    if callable(closeness):
+        new = stage(new, "imported")
+        closeness = closeness(new.select("query_id", "ord"))
+    new = new.join(closeness, ["query_id", "ord"], "left")
     new = _first(new, ["query_id"], [F.desc_nulls_last("cosine"), "path"], slots)
     return new.select("query_id", "scope", "ord", "path", F.lit(0.0).alias("score"), F.lit(4).alias("stage"), F.col("slot").alias("at"))
 

@@ -54,7 +54,12 @@ def ask(queries: DataFrame, hits: DataFrame, chunks: DataFrame, model: Model) ->
 
 
 def checked(answers: DataFrame, files: DataFrame, indexed: DataFrame) -> DataFrame:
-    """``question_id citations unverified`` of every answer, in the order of citation."""
+    """``question_id citations unverified`` of every answer, in the order of citation.
+
+    Tables without a ``scope`` are about one code base.
+    """
+    one = lambda df: df if "scope" in df.columns else df.withColumn("scope", F.lit(""))
+    answers, files, indexed = one(answers), one(files), one(indexed)
     v = verify(answer_citations(answers), files, indexed)
     pick = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["citation"])
     grouped = v.groupBy("answer_id").agg(

@@ -7,6 +7,7 @@ the code base they belong to, all of them in one job.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from corvane.functions import text as T
 from corvane.functions.stats import wilson
 from corvane.operators import bm25, chunks as chunk_ops, citations, evaluate, expand, facets, fusion, vector
 from corvane.plans import answer, search
-from corvane.session import stage
+from corvane.session import fingerprint, on_release, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 8
@@ -38,23 +39,33 @@ def _batch(q: DataFrame) -> DataFrame:
     return q.select(F.col("id").alias("query_id"), F.col("project_id").alias("scope"), F.col("question").alias("text"))
 
 
-_indexes: dict[tuple[str, str], search.Index] = {}
+_indexes: dict[tuple[str, str, str, str], search.Index] = {}
+on_release(lambda spark: [_indexes.pop(k) for k in list(_indexes) if k[0] == spark.sparkContext.applicationId])
 
 
-def _index(spark: SparkSession, sf: str) -> search.Index:
-    """The index of a directory: built once in an application and searched many times."""
-    key = (spark.sparkContext.applicationId, sf)
+def _index(spark: SparkSession, sf: str, name: str = "chunks", chunks: Query = _chunks) -> search.Index:
+    """The index of a directory's chunks: built once in an application for the files that are there, searched many times."""
+    now = fingerprint(spark, f"{sf}/chunks.parquet")
+    key = (spark.sparkContext.applicationId, sf, name, now)
     if key not in _indexes:
-        _indexes[key] = search.Index(_chunks(spark, sf))
+        for old in [k for k in _indexes if k[:3] == key[:3]]:
+            del _indexes[old]
+        _indexes[key] = search.Index(chunks(spark, sf))
     return _indexes[key]
 
 
 def index_build(spark, sf):
     """Builds the index of a directory anew; rows per table."""
-    _indexes.pop((spark.sparkContext.applicationId, sf), None)
+    for key in [k for k in _indexes if k[:3] == (spark.sparkContext.applicationId, sf, "chunks")]:
+        del _indexes[key]
     index = _index(spark, sf)
-    count = lambda df, name: df.agg(F.lit(name).alias("part"), F.count("*").alias("entries"))
-    return count(index.docs, "docs").unionAll(count(index.postings, "postings")).unionAll(count(index.vectors, "vectors")).unionAll(count(index.edges, "edges"))
+    count = lambda df, name, n=F.count("*"): df.agg(F.lit(name).alias("part"), n.alias("entries"))
+    parts = [count(index.docs, "docs"), count(index.postings, "postings"), count(index.idf, "terms")]
+    parts += [count(index.vectors, "vectors", F.sum(F.size("buckets"))), count(index.edges, "edges")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
 
 
 def _ranking(df: DataFrame) -> DataFrame:
@@ -126,11 +137,23 @@ def language_signal(spark, sf):
 
 
 def missing_vectors(spark, sf):
-    return chunk_ops.missing_vectors(_chunks(spark, sf), _read(spark, sf, "vectors"), "lokal")
+    """Contents without a vector, for every provider."""
+    c, v = _chunks(spark, sf), _read(spark, sf, "vectors")
+    return _per_provider(v, lambda p: chunk_ops.missing_vectors(c, v, p).select(F.lit(p).alias("provider"), "content_hash"))
 
 
 def cost_estimate(spark, sf):
-    return chunk_ops.embedding_cost(_chunks(spark, sf), _read(spark, sf, "vectors"), "lokal")
+    """What embedding the missing chunks takes, for every provider."""
+    c, v = _chunks(spark, sf), _read(spark, sf, "vectors")
+    return _per_provider(v, lambda p: chunk_ops.embedding_cost(c, v, p).withColumn("provider", F.lit(p)))
+
+
+def _per_provider(vectors, part):
+    """Union over the names of the providers, of which there are few."""
+    out = None
+    for p in sorted(r[0] for r in vectors.select("provider").filter("provider is not null").distinct().collect()):
+        out = part(p) if out is None else out.unionByName(part(p))
+    return out
 
 
 def grep_substring(spark, sf):
@@ -138,11 +161,9 @@ def grep_substring(spark, sf):
 
 
 def chunk_lookup(spark, sf):
-    """First chunk of every location in a file that some question expects."""
+    """First chunk of every location."""
     c = _chunks(spark, sf).filter("location is not null")
-    asked = _read(spark, sf, "questions").select("project_id", F.explode("expect_files").alias("path")).distinct()
-    wanted = c.select("project_id", "location", F.split_part("location", F.lit(":"), F.lit(1)).alias("path")).join(asked, ["project_id", "path"], "left_semi")
-    return chunk_ops.lookup(c, wanted.select("project_id", "location")).select("project_id", "location", "ord", "name")
+    return chunk_ops.lookup(c, c.select("project_id", "location")).select("project_id", "location", "ord", "name")
 
 
 def cache_upsert(spark, sf):
@@ -210,6 +231,47 @@ def vector_label_recall(spark, sf):
     return both.groupBy("label").agg(F.count("*").alias("hits"), F.round(F.avg((F.col("label") == F.col("hit_label")).cast("int")), 6).alias("same_label"))
 
 
+def _embedded(spark, sf, provider):
+    """The chunks with a usable vector of the provider: those that its searches can run over."""
+    have = vector.usable(_read(spark, sf, "vectors"), provider).select("content_hash")
+    return _chunks(spark, sf).join(have, "content_hash", "left_semi")
+
+
+def _dense_search(spark, sf, provider="lokal"):
+    """Index over stored vectors, and every hundredth chunk as a query with its name and vector."""
+    index = search.Index(stage(_embedded(spark, sf, provider), "embedded"), provider, _read(spark, sf, "vectors"))
+    asked = index.dense.filter("ord % 100 = 0").select("ord", "vec").join(index.docs.select("ord", "project_id", "name"), "ord")
+    q = asked.select(F.col("ord").cast("string").alias("query_id"), F.col("project_id").alias("scope"), F.coalesce("name", F.lit("")).alias("text"), "vec")
+    return index, stage(q, "dense-queries")
+
+
+def dense_topk(spark, sf):
+    index, q = _dense_search(spark, sf)
+    return _ranking(index.nearest(q, 20))
+
+
+def search_dense(spark, sf):
+    """The whole search in the mode that stored vectors resolve to."""
+    index, q = _dense_search(spark, sf)
+    return _hits_of(search.search(q, index, search.SearchConfig(k=5, mode=None)))
+
+
+def search_dense_hybrid(spark, sf):
+    index, q = _dense_search(spark, sf)
+    return _hits_of(search.search(q, index, search.SearchConfig(k=5, mode="hybrid", weights={"bm25": 0.5})))
+
+
+def dense_refusals(spark, sf):
+    """Per provider and project: contents that keep a search over stored vectors from running."""
+    c, v = _chunks(spark, sf), _read(spark, sf, "vectors")
+
+    def one(p):
+        rows = vector.stored(c, v, p).groupBy(F.col("scope").alias("project_id"))
+        return rows.agg(F.count_distinct("content_hash").alias("contents"), F.count_distinct(F.when(F.col("vec").isNull(), F.col("content_hash"))).alias("missing")).withColumn("provider", F.lit(p))
+
+    return _per_provider(v, one)
+
+
 def _fused(spark, sf):
     index, q = _index(spark, sf), _batch(_questions(spark, sf))
     pool = CONFIG.pool_size
@@ -248,8 +310,28 @@ def _slots(df):
     return df.select("query_id", "ord", "path", F.col("at").alias("slot"))
 
 
+def _linked(spark, sf):
+    """The chunks in fewer directories, their modules importing one another.
+
+    The tables' own relative imports lead nowhere and their files seldom share a directory. Here a
+    file keeps its first directory and its name, and each module imports the next one of its
+    directory and the first one, so that there are siblings, users and hubs.
+    """
+    c = _chunks(spark, sf).withColumn("path", F.regexp_replace("path", "^([^/]+)/(?:.*/)?([^/]+)$", "$1/$2"))
+    stem = F.regexp_extract("path", r"([^/]+)\.py$", 1)
+    by = Window.partitionBy("project_id", T.directory(F.col("path")), F.col("kind")).orderBy("path", "ord")
+    c = c.withColumn("following", F.lead(stem).over(by)).withColumn("hub", F.first(stem).over(by))
+    line = lambda name: F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit("\nfrom ."), name, F.lit(" import x"))).otherwise("")
+    text = F.concat(F.coalesce("text", F.lit("")), line(F.col("following")), line(F.col("hub")))
+    return c.withColumn("text", F.when(F.col("kind") == "module", text).otherwise(F.col("text"))).drop("following", "hub")
+
+
+def _linked_index(spark, sf):
+    return _index(spark, sf, "linked", _linked)
+
+
 def _ranked_paths(spark, sf):
-    index = _index(spark, sf)
+    index = _linked_index(spark, sf)
     ranked = stage(search.candidates(_batch(_questions(spark, sf)), index, CONFIG), "ranked")
     return index, stage(expand.with_paths(ranked, index.docs), "ranked-paths")
 
@@ -276,12 +358,18 @@ def expand_references(spark, sf):
 def expand_imports(spark, sf):
     index, r = _ranked_paths(spark, sf)
     q = _batch(_questions(spark, sf))
-    close = index.hashed(q, 2**31 - 1).select("query_id", "ord", F.col("score").alias("cosine"))
+    close = partial(index.closeness, q)
     return _slots(expand.imported_files(_selected(r), index.edges, expand.module_chunks(index.docs), close, index.shims(), 2))
 
 
+def expand_linked(spark, sf):
+    """The whole search with all expansion steps, imported files among them, over linked modules."""
+    config = search.SearchConfig(k=K, import_slots=2)
+    return _hits_of(search.search(_batch(_questions(spark, sf)), _linked_index(spark, sf), config))
+
+
 def import_edges(spark, sf):
-    return expand.import_edges(_chunks(spark, sf))
+    return expand.import_edges(_linked(spark, sf))
 
 
 # --- facets --------------------------------------------------------------------------------
@@ -324,10 +412,10 @@ def facet_measure(spark, sf):
     # a facet covers a file if it is one of the file's directories
     above = j.select("query_id", F.explode(T.ancestors(T.directory(F.col("path")))).alias("directory"))
     menu = f.join(above, ["query_id", "directory"], "left_semi").select("query_id").distinct()
-    refined = f.join(q, "query_id").select(
-        F.concat_ws("#", "query_id", F.col("facet_rank").cast("string")).alias("query_id"), "scope", facets.refined_query(F.col("text")).alias("text")
-    )
-    again = search.search(refined, index, CONFIG).select(F.split_part("query_id", F.lit("#"), F.lit(1)).alias("query_id"), "path")
+    key = F.concat_ws("#", "query_id", F.col("facet_rank").cast("string")).alias("key")
+    refined = stage(f.join(q, "query_id").select("query_id", key, "scope", facets.refined_query(F.col("text")).alias("text")), "refined")
+    again = search.search(refined.select(F.col("key").alias("query_id"), "scope", "text"), index, CONFIG).select(F.col("query_id").alias("key"), "path")
+    again = again.join(refined.select("key", "query_id"), "key").select("query_id", "path")
     ceiling = again.join(j, ["query_id", "path"], "left_semi").select("query_id").union(plain).distinct()
     out = None
     for name, hits in (("plain", plain), ("menu", menu), ("ceiling", ceiling)):
@@ -389,8 +477,8 @@ def smoke_test(spark, sf):
 
 
 def _cited(spark, sf):
-    docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), "text").filter("text is not null").distinct()
-    return citations.answer_citations(docs)
+    docs = _read(spark, sf, "documents").filter("text is not null")
+    return citations.answer_citations(docs.select(F.col("doc_id").alias("answer_id"), F.col("source").alias("scope"), "text").distinct())
 
 
 def extract_citations(spark, sf):
@@ -399,26 +487,27 @@ def extract_citations(spark, sf):
 
 def _files(chunks):
     end = F.greatest(F.coalesce("end_line", "start_line"), F.col("start_line"))
-    return chunks.filter("path is not null").groupBy("path").agg(F.max(end).alias("n_lines"))
+    return chunks.filter("path is not null").groupBy(F.col("project_id").alias("scope"), "path").agg(F.max(end).alias("n_lines"))
 
 
 def verify_citations(spark, sf):
+    """The documents' citations against the files of the project they are about."""
     files = _files(_chunks(spark, sf))
-    return citations.verify(_cited(spark, sf), files, files)
+    return citations.verify(_cited(spark, sf), files, files).drop("scope")
 
 
 def source_window(spark, sf):
-    """Source around the first line of every class."""
+    """Source around the first line of every chunk."""
     c = _chunks(spark, sf)
-    at = c.filter("kind = 'class' and start_line is not null").select("project_id", "path", F.col("start_line").alias("line")).distinct()
+    at = c.filter("start_line is not null").select("project_id", "path", F.col("start_line").alias("line")).distinct()
     return citations.source_window(at, citations.source_lines(c)).select("project_id", "path", "line", "line_no", "text")
 
 
 def answer_metrics(spark, sf):
-    """Answers that cite the first line of each expected file, of all questions but those for tuning."""
+    """Answers that cite the first line of each expected file of their project."""
     q, files = _questions(spark, sf), _files(_chunks(spark, sf))
-    refs = q.filter("split <> 'dev'").select(F.col("id").alias("question_id"), F.explode("expect_files").alias("path"))
-    known = refs.join(files.select("path", F.lit(True).alias("there")), "path", "left").withColumn("citation", F.concat("path", F.lit(":1")))
+    refs = q.select(F.col("id").alias("question_id"), F.col("project_id").alias("scope"), F.explode("expect_files").alias("path"))
+    known = refs.join(files.select("scope", "path", F.lit(True).alias("there")), ["scope", "path"], "left").withColumn("citation", F.concat("path", F.lit(":1")))
     answers = known.groupBy("question_id").agg(
         F.collect_list("citation").alias("citations"), F.collect_list(F.when(F.col("there").isNull(), F.col("citation"))).alias("unverified")
     )
@@ -430,8 +519,8 @@ def queries() -> dict[str, Query]:
         tokenize_terms, doc_term_counts, chunk_weight, content_hash, narrow_query, numbered_snippet, token_cost,
         stats_by_kind, stats_top_files, stats_text_length, index_status, composition, language_signal, missing_vectors, cost_estimate,
         grep_substring, chunk_lookup, cache_upsert, project_upsert, enrich_context_join,
-        index_build, bm25_topk, hash_embed_topk, blake_embed_topk, vector_topk, vector_label_recall, rrf_hybrid, rrf_weighted, search_bm25, expand_full,
-        expand_unseen_files, expand_sibling_dirs, expand_references, expand_imports, import_edges,
+        index_build, bm25_topk, hash_embed_topk, blake_embed_topk, vector_topk, vector_label_recall, dense_topk, search_dense, search_dense_hybrid, dense_refusals, rrf_hybrid, rrf_weighted, search_bm25, expand_full,
+        expand_unseen_files, expand_sibling_dirs, expand_references, expand_imports, expand_linked, import_edges,
         facet_query_terms, facet_search_within, facet_measure,
         question_split, eval_per_question, eval_report, eval_by_split, eval_by_set, smoke_sample, smoke_test,
         extract_citations, verify_citations, source_window, answer_metrics,

@@ -72,14 +72,14 @@ def _hash(p: str, k: int) -> list[str]:
     ]
 
 
-def _candidates(p: str, pool: int, mode: str = "hybrid") -> list[str]:
+def _candidates(p: str, pool: int, mode: str = "hybrid", dense: bool = False, bm25_weight: float = 1.0) -> list[str]:
     bm = _bm25(p, pool)
     parts = {"bm25": f"SELECT query_id, ord, 0 pos, 'bm25' m, rank FROM {p}_bm", "vector": f"SELECT query_id, ord, 1 pos, 'vector' m, rank FROM {p}_hm"}
     union = " UNION ALL ".join(parts.values()) if mode == "hybrid" else parts[mode]
     return [
         *bm,
-        *(_hash(p, pool) if mode != "bm25" else []),
-        f"{p}_u AS (SELECT query_id, ord, sum(1.0/(60+rank)) score, min((pos, rank)) first, string_agg(m, ',' ORDER BY pos) sources FROM ({union}) GROUP BY ALL)",
+        *(_dense(p, pool) if dense else _hash(p, pool) if mode != "bm25" else []),
+        f"{p}_u AS (SELECT query_id, ord, sum(CASE WHEN m='bm25' THEN {bm25_weight} ELSE 1.0 END/(60+rank)) score, min((pos, rank)) first, string_agg(m, ',' ORDER BY pos) sources FROM ({union}) GROUP BY ALL)",
         f"{p}_fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,12) DESC, first) frank FROM {p}_u) WHERE frank<={pool})",
         f"""{p}_ranked AS MATERIALIZED (SELECT query_id, ord, score*weight score, sources, row_number() OVER (PARTITION BY query_id ORDER BY round(score*weight,12) DESC, frank) rank
  FROM {p}_fused JOIN cw USING (ord))""",
@@ -189,15 +189,66 @@ FULL = [*SEARCH, *EDGES, *_hits("a", 8)]
 TEST = r"(^|/)(tests?|testing)(/|$)|(^|/)test_[^/]*$|_test\.[a-z]+$"
 CITE = r"`?([\p{L}\p{N}_./\\-]+\.[A-Za-z]{1,6}):(\d+)`?"
 CITED = [
-    f"""dx AS (SELECT doc_id, list_transform(list_zip(regexp_extract_all(text,'{CITE}',1), regexp_extract_all(text,'{CITE}',2)), lambda z: replace(z[1],'\\','/')||':'||z[2]) refs
- FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL))""",
-    "dy AS (SELECT doc_id, i, refs[i] citation FROM (SELECT *, unnest(range(1,len(refs)+1)) i FROM dx))",
-    "cited AS MATERIALIZED (SELECT doc_id answer_id, citation, (row_number() OVER (PARTITION BY doc_id ORDER BY min(i)))-1 n FROM dy GROUP BY doc_id, citation)",
+    f"""dx AS (SELECT doc_id, source, list_transform(list_zip(regexp_extract_all(text,'{CITE}',1), regexp_extract_all(text,'{CITE}',2)), lambda z: replace(z[1],'\\','/')||':'||z[2]) refs
+ FROM (SELECT DISTINCT doc_id, source, text FROM documents WHERE text IS NOT NULL))""",
+    "dy AS (SELECT doc_id, source, i, refs[i] citation FROM (SELECT *, unnest(range(1,len(refs)+1)) i FROM dx))",
+    "cited AS MATERIALIZED (SELECT doc_id answer_id, source scope, citation, (row_number() OVER (PARTITION BY doc_id, source ORDER BY min(i)))-1 n FROM dy GROUP BY doc_id, source, citation)",
+]
+FILES = "files AS (SELECT project_id scope, path, max(greatest(coalesce(end_line,start_line),start_line)) n_lines FROM c WHERE path IS NOT NULL GROUP BY ALL)"
+#: the chunks in fewer directories, each module importing the next and the first of its directory
+LINKED = [
+    C.replace("c AS", "c0 AS", 1),
+    r"""c1 AS (SELECT * EXCLUDE path, CASE WHEN regexp_matches(path,'^[^/]+/.*[^/]$') THEN regexp_extract(path,'^[^/]+')||'/'||regexp_extract(path,'[^/]+$') ELSE path END path FROM c0)""",
+    rf"""c2 AS (SELECT *, lead(regexp_extract(path,'([^/]+)\.py$',1)) OVER z following, first_value(regexp_extract(path,'([^/]+)\.py$',1)) OVER z hub FROM c1
+ WINDOW z AS (PARTITION BY project_id, {_dir("path")}, kind ORDER BY path, ord))""",
+    r"""c AS MATERIALIZED (SELECT * EXCLUDE (text, following, hub), CASE WHEN kind='module' THEN coalesce(text,'')||CASE WHEN following<>'' THEN chr(10)||'from .'||following||' import x' ELSE '' END
+ ||CASE WHEN hub<>'' THEN chr(10)||'from .'||hub||' import x' ELSE '' END ELSE text END AS text FROM c2)""",
+]
+#: usable stored vectors of a provider, the chunks that have one, and every hundredth of them as a query
+DENSE = [
+    C.replace("c AS", "c0 AS", 1),
+    "v0 AS (SELECT content_hash, vec::DOUBLE[] v FROM vectors WHERE provider='lokal' AND content_hash IS NOT NULL AND vec IS NOT NULL)",
+    "vd AS (SELECT len(v) d FROM v0 WHERE len(v)>0 GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)",
+    "vu AS MATERIALIZED (SELECT content_hash, min(v) v FROM v0 WHERE len(v)=(SELECT d FROM vd) AND len(list_filter(v, lambda x: NOT isfinite(x)))=0 AND list_max(list_transform(v, lambda x: abs(x)))>0 GROUP BY 1)",
+    "c AS MATERIALIZED (SELECT * FROM c0 WHERE content_hash IN (SELECT content_hash FROM vu))",
+    "a_q AS (SELECT ord::VARCHAR query_id, project_id scope, coalesce(name,'') AS text, v FROM c JOIN vu USING (content_hash) WHERE ord%100=0)",
+    "a_hs AS (SELECT query_id, c.ord, round(list_cosine_similarity(a_q.v, vu.v),9) score FROM a_q JOIN c ON c.project_id=a_q.scope JOIN vu USING (content_hash))",
+]
+
+
+def _dense(p: str, k: int) -> list[str]:
+    return [f"{p}_hm AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) rank FROM {p}_hs WHERE score>0) WHERE rank<={k})"]
+
+
+PROVIDERS = "pv AS (SELECT DISTINCT provider FROM vectors WHERE provider IS NOT NULL)"
+HITS = "SELECT query_id, pos::INT pos, ord, path, round(score,6) score, stage FROM a_hits"
+
+
+def _forward(p: str, chosen: str, out: str) -> list[str]:
+    """Files that the files of ``chosen`` import, closest first, as ``out``."""
+    return [
+        f"""{out}_f AS (SELECT DISTINCT b.query_id, b.scope, e.target path FROM {chosen} b JOIN edges e ON e.scope=b.scope AND e.importer=b.path
+ WHERE (b.scope, e.target) NOT IN (SELECT (scope, target) FROM hub) AND (b.scope, e.target) NOT IN (SELECT (scope, path) FROM shim)
+ AND NOT EXISTS (SELECT 1 FROM {chosen} o WHERE o.query_id=b.query_id AND o.scope=b.scope AND o.path=e.target))""",
+        f"""{out} AS (SELECT query_id, scope, ord, path, 0.0 score, 4 stage, slot AS nth_at FROM (SELECT f.query_id, f.scope, m.ord, f.path,
+ row_number() OVER (PARTITION BY f.query_id ORDER BY cosine DESC NULLS LAST, f.path) slot FROM {out}_f f JOIN mods m USING (scope, path)
+ LEFT JOIN allh h ON h.query_id=f.query_id AND h.ord=m.ord) WHERE slot<=2)""",
+    ]
+
+
+IMPORTED = [
+    "allh AS (SELECT query_id, ord, score cosine FROM a_hs WHERE score>0)",
+    "hub AS (SELECT scope, target FROM edges GROUP BY ALL HAVING count(*)>25)",
+    f"""shim AS (SELECT DISTINCT project_id scope, path FROM c WHERE kind='module' AND NOT contains(text,'def ') AND NOT contains(text,'class ')
+ AND len(list_filter({_lines("text")}, lambda x: NOT regexp_matches(x,'^\\s*(import |from |__all__\\s*=|#|\"\"\"|$)') AND NOT regexp_matches(trim(x),'^[\\p{{L}}\\p{{N}}_]+(\\s*:[^=]+)?\\s*=\\s*[A-Za-z_][\\p{{L}}\\p{{N}}_.]*\\s*$')))=0)""",
+    *_forward("a", "a_b", "a_s4"),
+    "a_b3 AS (SELECT * FROM a_b UNION ALL SELECT * FROM a_s3)",
+    *_forward("a", "a_b3", "a_s5"),
 ]
-FILES = "files AS (SELECT path, max(greatest(coalesce(end_line,start_line),start_line)) n_lines FROM c WHERE path IS NOT NULL GROUP BY path)"
 
 
 def oracle_sql() -> dict[str, str]:
+    linked = [*LINKED, Q, *INDEX, *HASHED, QUESTIONS, *_candidates("a", 60), *EDGES, *_hits("a", 8)]
     sample = [
         "sm0 AS (SELECT project_id, ord, name, location, count(*) OVER (PARTITION BY project_id, name) same FROM c JOIN cw USING (ord) WHERE kind IN ('function','method','class') AND weight=1.0)",
         "sm1 AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY location, ord) rn, count(*) OVER (PARTITION BY project_id) n FROM sm0 WHERE same=1)",
@@ -208,7 +259,7 @@ def oracle_sql() -> dict[str, str]:
         "tokenize_terms": _with([C, T], "SELECT ord, array_to_string(tokens,' ') terms, len(tokens)::INT n FROM t"),
         "doc_term_counts": _with([C, *INDEX[:2]], "SELECT scope, term, count(*) df, sum(tf)::BIGINT tf FROM post GROUP BY ALL"),
         "chunk_weight": _with([C, HASHED[2]], "SELECT ord, weight::DOUBLE weight FROM cw"),
-        "index_build": _with([C, *INDEX, *HASHED, *EDGES], "SELECT 'docs' part, count(*) entries FROM c UNION ALL SELECT 'postings', count(*) FROM post UNION ALL SELECT 'vectors', count(*) FROM hv UNION ALL SELECT 'edges', count(*) FROM edges"),
+        "index_build": _with([C, *INDEX, *HASHED, *EDGES], "SELECT 'docs' part, count(*) entries FROM c UNION ALL SELECT 'postings', count(*) FROM post UNION ALL SELECT 'terms', count(*) FROM w UNION ALL SELECT 'vectors', count(*) FROM hv UNION ALL SELECT 'edges', count(*) FROM edges"),
         "bm25_topk": _with([C, Q, *INDEX, QUESTIONS, *_bm25("a", 20)], "SELECT query_id, ord, round(score,6) score, rank::INT rank FROM a_bm"),
         "hash_embed_topk": _with([C, Q, *INDEX[:1], *HASHED, QUESTIONS, _bm25("a", 20)[0], *_hash("a", 20)], "SELECT query_id, ord, round(score,6) score, rank::INT rank FROM a_hm"),
         "vector_topk": """SELECT query_id, ord, round(score,6) score, rank::INT rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) rank FROM
@@ -218,19 +269,26 @@ def oracle_sql() -> dict[str, str]:
         "rrf_hybrid": _with(SEARCH, "SELECT query_id, ord, round(score,6) score, sources, frank::INT rank FROM a_fused"),
         "rrf_weighted": _with(SEARCH, "SELECT query_id, ord, round(score,6) score, sources, rank::INT rank FROM a_ranked"),
         "search_bm25": _with([C, Q, *INDEX, *HASHED, QUESTIONS, *_candidates("a", 60, "bm25"), *EDGES, *_hits("a", 5)], "SELECT query_id, pos::INT pos, ord, path, round(score,6) score, stage FROM a_hits"),
-        "import_edges": _with([C, *EDGES], "SELECT scope, importer, target FROM edges"),
-        "expand_unseen_files": _with(FULL, "SELECT query_id, ord, path, nth_at::INT slot FROM a_s1"),
-        "expand_sibling_dirs": _with(FULL, "SELECT query_id, ord, path, nth_at::INT slot FROM a_s2"),
-        "expand_references": _with(FULL, "SELECT query_id, ord, path, nth_at::INT slot FROM a_s3"),
+        "import_edges": _with([*LINKED, *EDGES], "SELECT scope, importer, target FROM edges"),
+        "expand_unseen_files": _with(linked, "SELECT query_id, ord, path, nth_at::INT slot FROM a_s1"),
+        "expand_sibling_dirs": _with(linked, "SELECT query_id, ord, path, nth_at::INT slot FROM a_s2"),
+        "expand_references": _with(linked, "SELECT query_id, ord, path, nth_at::INT slot FROM a_s3"),
         "expand_full": _with(FULL, "SELECT query_id, pos::INT pos, ord, path, round(score,6) score, stage FROM a_hits"),
-        "expand_imports": _with(
-            [*FULL, *_bm25("b", 1)[:0], f"allh AS (SELECT query_id, ord, score cosine FROM a_hs WHERE score>0)",
-             "hub AS (SELECT scope, target FROM edges GROUP BY ALL HAVING count(*)>25)",
-             f"""shim AS (SELECT DISTINCT project_id scope, path FROM c WHERE kind='module' AND NOT contains(text,'def ') AND NOT contains(text,'class ')
- AND len(list_filter({_lines("text")}, lambda x: NOT regexp_matches(x,'^\\s*(import |from |__all__\\s*=|#|\"\"\"|$)') AND NOT regexp_matches(trim(x),'^[\\p{{L}}\\p{{N}}_]+(\\s*:[^=]+)?\\s*=\\s*[A-Za-z_][\\p{{L}}\\p{{N}}_.]*\\s*$')))=0)""",
-             "fwd AS (SELECT DISTINCT b.query_id, b.scope, e.target path FROM a_b b JOIN edges e ON e.scope=b.scope AND e.importer=b.path WHERE (b.scope, e.target) NOT IN (SELECT (scope, target) FROM hub) AND (b.scope, e.target) NOT IN (SELECT (scope, path) FROM shim) AND NOT EXISTS (SELECT 1 FROM a_b o WHERE o.query_id=b.query_id AND o.scope=b.scope AND o.path=e.target))"],
-            "SELECT query_id, ord, path, slot::INT slot FROM (SELECT f.query_id, m.ord, f.path, row_number() OVER (PARTITION BY f.query_id ORDER BY cosine DESC NULLS LAST, f.path) slot FROM fwd f JOIN mods m USING (scope, path) LEFT JOIN allh h ON h.query_id=f.query_id AND h.ord=m.ord) WHERE slot<=2",
+        "expand_imports": _with([*linked, *IMPORTED], "SELECT query_id, ord, path, nth_at::INT slot FROM a_s4"),
+        "expand_linked": _with(
+            [*linked, *IMPORTED],
+            """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, nth_at)::INT pos, ord, path, round(score,6) score, stage FROM
+ (SELECT * FROM a_b UNION ALL SELECT * FROM a_s3 UNION ALL SELECT * FROM a_s5)""",
         ),
+        "dense_topk": _with([*DENSE, *_dense("a", 20)], "SELECT query_id, ord, round(score,6) score, rank::INT rank FROM a_hm"),
+        "search_dense": _with([*DENSE, *INDEX, HASHED[2], *_candidates("a", 60, "vector", dense=True), *EDGES, *_hits("a", 5)], HITS),
+        "search_dense_hybrid": _with([*DENSE, *INDEX, HASHED[2], *_candidates("a", 60, "hybrid", dense=True, bm25_weight=0.5), *EDGES, *_hits("a", 5)], HITS),
+        "dense_refusals": _with(
+            [C, "pv AS (SELECT DISTINCT provider FROM vectors WHERE provider IS NOT NULL)",
+             "v0 AS (SELECT provider, content_hash, vec::DOUBLE[] v FROM vectors WHERE content_hash IS NOT NULL AND vec IS NOT NULL)",
+             "vd AS (SELECT provider, arg_max(d, (n, d)) d FROM (SELECT provider, len(v) d, count(*) n FROM v0 WHERE len(v)>0 GROUP BY ALL) GROUP BY provider)",
+             "vu AS (SELECT DISTINCT provider, content_hash FROM v0 JOIN vd USING (provider) WHERE len(v)=d AND len(list_filter(v, lambda x: NOT isfinite(x)))=0 AND list_max(list_transform(v, lambda x: abs(x)))>0)"],
+            "SELECT pv.provider, c.project_id, count(DISTINCT c.content_hash) contents, count(DISTINCT c.content_hash) FILTER (vu.content_hash IS NULL) missing FROM c CROSS JOIN pv LEFT JOIN vu ON vu.provider=pv.provider AND vu.content_hash=c.content_hash GROUP BY ALL"),
         "narrow_query": _with([Q], f"SELECT id, {NARROW} narrowed FROM q"),
         "facets": _with([C, Q, *INDEX, *HASHED, QUESTIONS, *_candidates("a", 300), *_facets("a")],
             "SELECT query_id, directory, chunks, best_rank::INT best_rank, array_to_string(list_slice(symbols,1,3),',') symbols, array_to_string(list_slice(children,1,3),',') children, len(children)::INT children_total, facet_rank::INT facet_rank, directory||' · '||chunks||' parça'||CASE WHEN len(children)>0 THEN ' — '||array_to_string(list_slice(children,1,3),', ')||CASE WHEN len(children)>3 THEN ' +'||(len(children)-3) ELSE '' END WHEN len(symbols)>0 THEN ' — '||array_to_string(list_slice(symbols,1,3),', ') ELSE '' END AS label FROM a_facets"),
@@ -244,13 +302,13 @@ def oracle_sql() -> dict[str, str]:
              "j AS (SELECT id query_id, unnest(expect_files) path FROM q)",
              "pl AS (SELECT DISTINCT query_id FROM b_hits JOIN j USING (query_id, path))",
              "mn AS (SELECT DISTINCT f.query_id FROM a_facets f JOIN j ON j.query_id=f.query_id AND (j.path=f.directory OR starts_with(j.path, f.directory||'/')))",
-             "ce AS (SELECT DISTINCT j.query_id FROM d_hits d JOIN j ON j.query_id=split_part(d.query_id,'#',1) AND j.path=d.path UNION SELECT query_id FROM pl)",
+             "ce AS (SELECT DISTINCT j.query_id FROM d_hits d JOIN a_refined r ON r.query_id||'#'||r.facet_rank=d.query_id JOIN j ON j.query_id=r.query_id AND j.path=d.path UNION SELECT query_id FROM pl)",
              "x AS (SELECT q.id, q.id IN (SELECT query_id FROM pl) p, q.id IN (SELECT query_id FROM mn) m, q.id IN (SELECT query_id FROM ce) e, split FROM q)",
              "y AS (SELECT split, unnest([{'measure':'plain','hit':p},{'measure':'menu','hit':m},{'measure':'ceiling','hit':e}]) z FROM x)",
              "v AS (SELECT split, z.measure measure, count(*) n, sum(z.hit::INT)::BIGINT hits FROM y GROUP BY ALL)"],
             f"SELECT split, measure, n, hits, round({_wilson('hits', 'n')[0]},4) low, round({_wilson('hits', 'n')[1]},4) high FROM v"),
         "grep_substring": _with([C], "SELECT ord, location FROM c WHERE contains(lower(name),'ledger') OR contains(lower(text),'ledger')"),
-        "chunk_lookup": _with([C], "SELECT project_id, location, ord, name FROM (SELECT *, row_number() OVER (PARTITION BY project_id, location ORDER BY ord) rn FROM c WHERE (project_id, split_part(location,':',1)) IN (SELECT (project_id, unnest(expect_files)) FROM questions) AND location IS NOT NULL) WHERE rn=1"),
+        "chunk_lookup": _with([C], "SELECT project_id, location, ord, name FROM (SELECT *, row_number() OVER (PARTITION BY project_id, location ORDER BY ord) rn FROM c WHERE location IS NOT NULL AND project_id IS NOT NULL) WHERE rn=1"),
         "stats_by_kind": _with([C], "SELECT kind, count(*) chunks FROM c GROUP BY kind"),
         "stats_top_files": _with([C], "SELECT project_id, path, count(*) chunks, min(ord) first_ord FROM c GROUP BY ALL ORDER BY chunks DESC, first_ord LIMIT 10"),
         "stats_text_length": _with([C], "SELECT count(*) chunks, (coalesce(sum(length(text)),0)//greatest(count(*),1))::BIGINT mean_chars, coalesce(sum(length(text)),0)::BIGINT chars FROM c"),
@@ -258,9 +316,10 @@ def oracle_sql() -> dict[str, str]:
         "composition": _with([C], f"SELECT project_id, total, code, test, doc, round_even(100*code/total,0)::INT code_pct, round_even(100*test/total,0)::INT test_pct, round_even(100*doc/total,0)::INT doc_pct FROM (SELECT project_id, count(*) total, count(*) FILTER (role='code') code, count(*) FILTER (role='test') test, count(*) FILTER (role='doc') doc FROM (SELECT project_id, CASE WHEN kind='section' OR ends_with(lower(path),'.md') THEN 'doc' WHEN regexp_matches(path,'{TEST}') THEN 'test' ELSE 'code' END role FROM c) GROUP BY ALL)"),
         "language_signal": _with([C], "SELECT project_id, p turkish_pct, CASE WHEN p>=20 THEN 'hybrid' ELSE 'vector' END suggested_mode FROM (SELECT project_id, round_even(100*count(*) FILTER (regexp_matches(text,'[ğĞşŞıİçÇöÖüÜ]'))/count(*),0)::INT p FROM c GROUP BY ALL)"),
         "content_hash": _with([C], "SELECT ord, substr(sha256(coalesce(context,'')||chr(10)||chr(10)||coalesce(text,'')),1,16) computed, content_hash IS NOT DISTINCT FROM substr(sha256(coalesce(context,'')||chr(10)||chr(10)||coalesce(text,'')),1,16) same FROM c"),
-        "missing_vectors": _with([C], "SELECT DISTINCT content_hash FROM c WHERE content_hash NOT IN (SELECT content_hash FROM vectors WHERE provider='lokal' AND vec IS NOT NULL AND content_hash IS NOT NULL)"),
-        "cost_estimate": _with([C, "e AS (SELECT content_hash, max(length(text)+length(coalesce(context,''))) s FROM c GROUP BY ALL)", "h AS (SELECT DISTINCT content_hash FROM vectors WHERE provider='lokal' AND vec IS NOT NULL)", "x AS (SELECT e.*, h.content_hash IS NOT NULL there FROM e LEFT JOIN h ON h.content_hash=e.content_hash)"],
-            "SELECT count(*) total, count(*) FILTER (there) cached, count(*) FILTER (NOT there) missing, coalesce(sum(s) FILTER (NOT there),0)::BIGINT characters, round_even(coalesce(sum(s) FILTER (NOT there),0)/4,0)::BIGINT tokens, round_even(coalesce(sum(s) FILTER (NOT there),0)/4/1e6*0.18,4) cost FROM x"),
+        "missing_vectors": _with([C, PROVIDERS, "h AS (SELECT DISTINCT provider, content_hash FROM vectors WHERE vec IS NOT NULL AND content_hash IS NOT NULL)"],
+            "SELECT DISTINCT pv.provider, c.content_hash FROM c CROSS JOIN pv WHERE (pv.provider, c.content_hash) NOT IN (SELECT (provider, content_hash) FROM h)"),
+        "cost_estimate": _with([C, PROVIDERS, "e AS (SELECT content_hash, max(length(text)+length(coalesce(context,''))) s FROM c GROUP BY ALL)", "h AS (SELECT DISTINCT provider, content_hash FROM vectors WHERE vec IS NOT NULL)", "x AS (SELECT pv.provider, e.*, h.content_hash IS NOT NULL there FROM e CROSS JOIN pv LEFT JOIN h ON h.provider=pv.provider AND h.content_hash=e.content_hash)"],
+            "SELECT provider, count(*) total, count(*) FILTER (there) cached, count(*) FILTER (NOT there) missing, coalesce(sum(s) FILTER (NOT there),0)::BIGINT characters, round_even(coalesce(sum(s) FILTER (NOT there),0)/4,0)::BIGINT tokens, round_even(coalesce(sum(s) FILTER (NOT there),0)/4/1e6*0.18,4) cost FROM x GROUP BY provider"),
         "cache_upsert": "WITH old AS (SELECT content_hash, max(len(vec)) d FROM vectors WHERE provider='hash' AND content_hash IS NOT NULL GROUP BY ALL), new AS (SELECT content_hash, max(len(vec)) d FROM vectors WHERE provider='lokal' AND content_hash IS NOT NULL GROUP BY ALL) SELECT content_hash, d FROM new UNION ALL SELECT content_hash, d FROM old WHERE content_hash NOT IN (SELECT content_hash FROM new)",
         "project_upsert": r"""WITH p AS (SELECT *, regexp_replace(regexp_replace(lower(name),'[^a-z0-9]+','-','g'),'^-+|-+$','','g') slug, row_number() OVER (PARTITION BY id ORDER BY chunks DESC NULLS LAST, added DESC NULLS LAST, repo) rn FROM projects)
  SELECT id, CASE WHEN slug='' THEN 'proje' ELSE slug END slug, repo, chunks, files, CASE WHEN mode IN ('bm25','vector','hybrid') THEN mode WHEN provider='hash' THEN 'hybrid' ELSE 'vector' END AS mode FROM p WHERE rn=1""",
@@ -276,18 +335,18 @@ def oracle_sql() -> dict[str, str]:
         "extract_citations": _with(CITED, "SELECT answer_id doc_id, n::INT n, citation FROM cited"),
         "verify_citations": _with([C, *CITED, FILES,
             "ci AS (SELECT *, regexp_replace(citation,':[^:]*$','') path, try_cast(regexp_extract(citation,'([0-9]+)$',1) AS BIGINT) line FROM cited)",
-            "ex AS (SELECT ci.*, f.n_lines exact_lines FROM ci LEFT JOIN files f USING (path))",
-            "tails AS (SELECT path candidate, array_to_string(list_slice(string_split(path,'/'),i,len(string_split(path,'/'))),'/') tail FROM (SELECT path, unnest(range(1,len(string_split(path,'/'))+1)) i FROM files))",
-            "ma AS (SELECT e.answer_id, e.n, t.candidate, EXISTS (SELECT 1 FROM ci s WHERE s.answer_id=e.answer_id AND contains(s.path,'/') AND s.path=t.candidate) spelled FROM ex e JOIN tails t ON t.tail=regexp_replace(e.path,'^/+','') WHERE e.exact_lines IS NULL)",
-            "na AS (SELECT answer_id, n, CASE WHEN count(*)=1 THEN min(candidate) WHEN count(*) FILTER (spelled)=1 THEN min(candidate) FILTER (spelled) END t FROM ma GROUP BY ALL)"],
-            "SELECT e.answer_id, e.n::INT n, e.citation, CASE WHEN exact_lines IS NOT NULL THEN e.path ELSE f.path END target, coalesce(e.line BETWEEN 1 AND coalesce(exact_lines, f.n_lines), false) verified FROM ex e LEFT JOIN na ON na.answer_id=e.answer_id AND na.n=e.n LEFT JOIN files f ON f.path=na.t"),
+            "ex AS (SELECT ci.*, f.n_lines exact_lines FROM ci LEFT JOIN files f ON f.scope=ci.scope AND f.path=ci.path)",
+            "tails AS (SELECT scope, path candidate, array_to_string(list_slice(string_split(path,'/'),i,len(string_split(path,'/'))),'/') tail FROM (SELECT scope, path, unnest(range(1,len(string_split(path,'/'))+1)) i FROM files))",
+            "ma AS (SELECT e.answer_id, e.scope, e.n, t.candidate, EXISTS (SELECT 1 FROM ci s WHERE s.answer_id=e.answer_id AND contains(s.path,'/') AND s.path=t.candidate) spelled FROM ex e JOIN tails t ON t.scope=e.scope AND t.tail=regexp_replace(e.path,'^/+','') WHERE e.exact_lines IS NULL)",
+            "na AS (SELECT answer_id, scope, n, CASE WHEN count(*)=1 THEN min(candidate) WHEN count(*) FILTER (spelled)=1 THEN min(candidate) FILTER (spelled) END t FROM ma GROUP BY ALL)"],
+            "SELECT e.answer_id, e.n::INT n, e.citation, CASE WHEN exact_lines IS NOT NULL THEN e.path ELSE f.path END target, coalesce(e.line BETWEEN 1 AND coalesce(exact_lines, f.n_lines), false) verified FROM ex e LEFT JOIN na ON na.answer_id=e.answer_id AND na.scope=e.scope AND na.n=e.n LEFT JOIN files f ON f.scope=na.scope AND f.path=na.t"),
         "source_window": _with([C, f"""ls AS (SELECT project_id, path, coalesce(start_line,1)+i-1 line_no, min(x[i]) text FROM (SELECT project_id, path, start_line, x, unnest(range(1,len(x)+1)) i FROM
  (SELECT project_id, path, start_line, regexp_split_to_array(text,'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') x FROM c WHERE text IS NOT NULL)) GROUP BY ALL)""",
-            "ct AS (SELECT DISTINCT project_id, path, start_line line FROM c WHERE kind='class' AND start_line IS NOT NULL)"],
+            "ct AS (SELECT DISTINCT project_id, path, start_line line FROM c WHERE start_line IS NOT NULL)"],
             "SELECT ct.project_id, ct.path, ct.line, line_no, ls.text FROM ct JOIN ls ON ls.project_id=ct.project_id AND ls.path=ct.path AND ls.line_no BETWEEN greatest(1,ct.line-6) AND ct.line+12"),
         "numbered_snippet": _with([C], f"SELECT ord, array_to_string(list_transform({_lines('text')}, lambda x, i: lpad((start_line+i-1)::VARCHAR, greatest(5,length((start_line+i-1)::VARCHAR))::INT, ' ')||' | '||x), chr(10)) body, CASE WHEN len({_lines('text')})>40 THEN array_to_string(list_slice({_lines('text')},1,40),chr(10))||chr(10)||'... ('||(len({_lines('text')})-40)||' more lines)' ELSE array_to_string({_lines('text')},chr(10)) END head FROM c WHERE text IS NOT NULL AND start_line IS NOT NULL"),
         "answer_metrics": _with([C, Q, *CITED, FILES,
-            "fx AS (SELECT id, f, f IN (SELECT path FROM files) there FROM (SELECT id, unnest(expect_files) f FROM q WHERE split<>'dev'))",
+            "fx AS (SELECT id, f, (project_id, f) IN (SELECT (scope, path) FROM files) there FROM (SELECT id, project_id, unnest(expect_files) f FROM q))",
             "an AS (SELECT id, count(*) cited, count(*) FILTER (NOT there) un FROM fx GROUP BY id)",
             "hh AS (SELECT q.id, coalesce(cited,0) cited, coalesce(un,0) un, coalesce(cited,0) hit, len(expect_files) expected FROM q LEFT JOIN an ON an.id=q.id)"],
             "SELECT count(*) n, round(avg((hit>0)::INT),4) accuracy, round(avg(hit/expected),4) file_coverage, round(avg(cited),2) citations_per_answer, sum(un)::BIGINT unverified FROM hh"),

@@ -7,8 +7,9 @@ written once because three expansion steps read it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, partial
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from corvane.operators import bm25, expand, fusion, vector
 from corvane.session import stage
 
 MODES = ("bm25", "vector", "hybrid")
+HASHED = ("hash", "md5")
 
 
 def resolve_mode(mode: str | None, provider: str) -> str:
@@ -27,7 +29,7 @@ def resolve_mode(mode: str | None, provider: str) -> str:
         return mode
     if mode not in (None, "auto"):
         raise ValueError(f"unknown mode {mode!r}, expected one of {MODES}")
-    return "hybrid" if provider in ("hash", "md5") else "vector"
+    return "hybrid" if provider in HASHED else "vector"
 
 
 class Reranker(Protocol):
@@ -42,7 +44,6 @@ class Reranker(Protocol):
 class SearchConfig:
     k: int = 5
     mode: str | None = "hybrid"
-    provider: str = "md5"
     pool: int | None = None
     weights: dict[str, float] = field(default_factory=dict)
     weigh_chunks: bool = True
@@ -59,16 +60,25 @@ class SearchConfig:
         return max(size, expand.SCAN) if self.file_slots > 0 else size
 
 
+class MissingVectors(ValueError):
+    """Chunks without a stored vector can't be searched by one."""
+
+
 class Index:
     """Derived tables of a clean chunk table (one row per ``ord``).
 
-    ``docs``, ``postings`` and ``vectors`` are what a persisted index holds; each is written once,
-    when a step first asks for it. Texts are read for that and never again by a ranking.
+    ``docs``, ``postings`` with their ``idf``, and ``vectors`` are what a persisted index holds;
+    each is written once, when a step first asks for it. Texts are read for that and never again
+    by a ranking. ``provider`` is a hashed embedder (``md5``, ``hash``) or the name of one whose
+    vectors are ``stored`` (``provider content_hash vec``); then every chunk must have one.
     """
 
-    def __init__(self, chunks: DataFrame, provider: str = "md5"):
+    def __init__(self, chunks: DataFrame, provider: str = "md5", stored: DataFrame | None = None):
+        if provider not in HASHED and stored is None:
+            raise MissingVectors(f"provider {provider!r} needs stored vectors")
         self.chunks = chunks
         self.provider = provider
+        self.stored = stored
         self.tokens = bm25.terms(chunks)
 
     @cached_property
@@ -86,6 +96,20 @@ class Index:
     def postings(self) -> DataFrame:
         return stage(bm25.postings(self.tokens), "postings")
 
+    @cached_property
+    def idf(self) -> DataFrame:
+        """``scope term idf`` with the default constants."""
+        return stage(bm25.idf(self.postings, self.lengths(), bm25.BM25()), "idf")
+
+    @cached_property
+    def dense(self) -> DataFrame:
+        """``ord scope vec`` of stored vectors; refuses an index that isn't embedded whole."""
+        rows = stage(vector.stored(self.chunks, self.stored, self.provider), "dense")
+        missing = rows.filter("vec is null").agg(F.count_distinct("content_hash"), F.count("*")).first()
+        if missing[1]:
+            raise MissingVectors(f"{missing[1]} chunks ({missing[0]} contents) have no vector of {self.provider}")
+        return rows
+
     @cached_property
     def vectors(self) -> DataFrame:
         """Hashed vectors over context, blank line and text, as embedded."""
@@ -102,12 +126,33 @@ class Index:
         return self.docs.select("ord", weight.alias("weight"))
 
     def bm25(self, queries: DataFrame, k: int, p: bm25.BM25 | None = None) -> DataFrame:
-        return bm25.search(queries, self.tokens, k, p, self.postings, self.lengths())
+        weights = self.idf if p is None or p == bm25.BM25() else None
+        return bm25.search(queries, self.tokens, k, p, self.postings, self.lengths(), weights)
 
-    def hashed(self, queries: DataFrame, k: int) -> DataFrame:
+    def query_vectors(self, queries: DataFrame) -> DataFrame:
+        """Hashed vectors of the queries."""
         t = bm25.query_terms(queries).withColumnRenamed("qtf", "tf")
-        q = stage(vector.hashed(t, ["query_id", "scope"], self.provider), "query-vectors")
-        return vector.hashed_topk(q, self.vectors, k)
+        return stage(vector.hashed(t, ["query_id", "scope"], self.provider), "query-vectors")
+
+    def hashed(self, queries: DataFrame, k: int) -> DataFrame:
+        return vector.hashed_topk(self.query_vectors(queries), self.vectors, k)
+
+    def nearest(self, queries: DataFrame, k: int) -> DataFrame:
+        """R2: vector ranking; with a stored provider ``queries`` carry their own ``vec``."""
+        if self.provider in HASHED:
+            return self.hashed(queries, k)
+        norm = F.sqrt(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
+        unit = F.transform(F.col("vec").cast("array<double>"), lambda x: x / norm)
+        return vector.cosine_topk(queries.select("query_id", "scope", F.when(norm > 0, unit).alias("qvec")), self.dense, k)
+
+    def closeness(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``query_id ord cosine`` of stated pairs."""
+        if self.provider in HASHED:
+            return vector.sparse_cosine(pairs, self.query_vectors(queries), self.vectors)
+        q = queries.select("query_id", F.col("vec").cast("array<double>").alias("q"))
+        both = pairs.distinct().join(self.dense.select("ord", "vec"), "ord").join(q, "query_id")
+        norm = F.sqrt(vector.dot("q", "q"))
+        return both.select("query_id", "ord", F.round(F.try_divide(vector.dot("vec", "q"), norm), 9).alias("cosine")).filter("cosine > 0")
 
     def shims(self) -> DataFrame:
         return self.docs.filter("shim").select(F.col("project_id").alias("scope"), "path").distinct()
@@ -119,13 +164,13 @@ class Index:
 
 def candidates(queries: DataFrame, index: Index, config: SearchConfig) -> DataFrame:
     """``query_id ord score sources rank`` of the pool, fused and weighed."""
-    mode = resolve_mode(config.mode, config.provider)
+    mode = resolve_mode(config.mode, index.provider)
     pool = config.pool_size
     rankings: dict[str, DataFrame] = {}
     if mode in ("bm25", "hybrid"):
         rankings["bm25"] = index.bm25(queries, pool, config.bm25)
     if mode in ("vector", "hybrid"):
-        rankings["vector"] = index.hashed(queries, pool)
+        rankings["vector"] = index.nearest(queries, pool)
     fused = fusion.fuse(rankings, pool, config.weights)
     return fusion.reweigh(fused, index.weights(config.demote_reexports)) if config.weigh_chunks else fused
 
@@ -147,7 +192,9 @@ def rerank(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, reranker: R
     return rows.groupBy("query_id").applyInPandas(one, f"query_id {kind}, ord bigint, score double, sources array<string>, rank int")
 
 
-def expanded(ranked: DataFrame, index: Index, config: SearchConfig, closeness: DataFrame | None = None) -> DataFrame:
+def expanded(
+    ranked: DataFrame, index: Index, config: SearchConfig, closeness: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """``query_id pos ord path score stage`` of the head and all expansion stages.
 
     What one stage selects is read by the next ones, and is small: it is written in between.
@@ -173,17 +220,14 @@ def expanded(ranked: DataFrame, index: Index, config: SearchConfig, closeness: D
 def search(queries: DataFrame, index: Index, config: SearchConfig | None = None, reranker: Reranker | None = None) -> DataFrame:
     """Hits of every query: ``query_id pos ord path score stage sources``.
 
-    ``queries``: ``query_id scope text``. Scores are the fused ones in every mode; chunks that
+    ``queries``: ``query_id scope text`` (and ``vec`` for a stored provider). Scores are the fused ones in every mode; chunks that
     an import link added have score 0 and the source ``reference``.
     """
     config = config or SearchConfig()
     ranked = stage(candidates(queries, index, config), "ranked")
     if reranker is not None:
         ranked = stage(rerank(queries, ranked, index.chunks, reranker), "reranked")
-    closeness = None
-    if config.import_slots:
-        every = index.hashed(queries, 2**31 - 1)
-        closeness = every.select("query_id", "ord", F.col("score").alias("cosine"))
+    closeness = partial(index.closeness, queries) if config.import_slots else None
     hits = expanded(ranked, index, config, closeness)
     known = ranked.select("query_id", "ord", "sources")
     sources = F.when(F.col("stage") >= 3, F.array(F.lit("reference"))).otherwise(F.col("sources"))

@@ -8,11 +8,13 @@ re-read, never a recomputation of the whole lineage or a failed job.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 _CHECKPOINT = "spark.checkpoint.dir"
 _own_root: list[str] = []
 _shipped: set[str] = set()
+_forget: list[Callable[[SparkSession], None]] = []
 
 
 def session(app: str = "corvane", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -31,6 +34,7 @@ def session(app: str = "corvane", cores: int | str = "*", partitions: int = 8) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CORVANE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -40,11 +44,14 @@ def session(app: str = "corvane", cores: int | str = "*", partitions: int = 8) -
 def staging_root(spark: SparkSession) -> str:
     """Folder for staged tables: the cluster's ``spark.checkpoint.dir`` where it is set.
 
-    Only where the setting is missing (single-machine runs such as tests) a folder of this
-    process is created, and removed at exit.
+    Only where the setting is missing and the master is this machine (as in tests) a folder of
+    this process is created, and removed at exit; on a cluster, where executors would write to
+    their own disks, a missing setting is an error.
     """
     root = spark.conf.get(_CHECKPOINT, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"{_CHECKPOINT} must name a folder that all executors share")
         if not _own_root:
             _own_root.append(tempfile.mkdtemp(prefix="corvane-"))
             atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
@@ -56,8 +63,15 @@ def _application_folder(spark: SparkSession) -> str:
     return f"{staging_root(spark)}/corvane/{spark.sparkContext.applicationId}"
 
 
+def on_release(forget: Callable[[SparkSession], None]) -> None:
+    """Have ``forget`` called before staged tables go, to drop what reads them."""
+    _forget.append(forget)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all staged tables of this application; nothing built on them can be read afterwards."""
+    for forget in _forget:
+        forget(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -88,3 +102,14 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(target))
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     _shipped.add(context.applicationId)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """What a table's files are: names, sizes and times of change, by the file system's listing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,33 +65,60 @@ def _struct(columns: str) -> str:
 class VersionedTable:
     """A Parquet table with upserts, on any file system Spark writes to.
 
-    Every state is a folder of its own, named in the table's pointer once it is complete, so
-    readers never see half a write and a failed write leaves the last state as it was.
+    Every state is a folder of its own, which counts once it is complete, so readers never see
+    half a write and a failed write leaves the last state as it was. A writer claims the number of
+    its state by creating a file that must not be there yet: of two writers at once the second one
+    builds on what the first has written. The last ``keep`` states stay for readers still at them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, columns: str, key: list[str]):
-        self.spark, self.path, self.columns, self.key = spark, path.rstrip("/"), columns, key
+    def __init__(self, spark: SparkSession, path: str, columns: str, key: list[str], keep: int = 2):
+        self.spark, self.path, self.columns, self.key, self.keep = spark, path.rstrip("/"), columns, key, keep
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self.fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
         self._at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
 
-    def _current(self) -> str | None:
-        names = [s.getPath().getName() for s in self.fs.listStatus(self._at(self.path))] if self.fs.exists(self._at(self.path)) else []
-        done = sorted(n for n in names if n.startswith("state-") and self.fs.exists(self._at(f"{self.path}/{n}/_SUCCESS")))
-        return f"{self.path}/{done[-1]}" if done else None
+    def _states(self) -> list[str]:
+        """Names of the complete states, the oldest first."""
+        if not self.fs.exists(self._at(self.path)):
+            return []
+        names = sorted(s.getPath().getName() for s in self.fs.listStatus(self._at(self.path)))
+        return [n for n in names if n.startswith("state-") and self.fs.exists(self._at(f"{self.path}/{n}/_SUCCESS"))]
 
     def read(self) -> DataFrame:
         """The current state; a table never written is empty."""
-        now = self._current()
-        return self.spark.read.schema(self.columns).parquet(now) if now else self.spark.createDataFrame([], self.columns)
-
-    def upsert(self, new: DataFrame) -> DataFrame:
+        done = self._states()
+        return self.spark.read.schema(self.columns).parquet(f"{self.path}/{done[-1]}") if done else self.spark.createDataFrame([], self.columns)
+
+    def _claim(self, wait: float, poll: float = 0.2) -> tuple[int, str]:
+        """The number of the next state and its claim, once no other writer holds it."""
+        until = time.monotonic() + wait
+        while True:
+            done = self._states()
+            number = int(done[-1].removeprefix("state-")) + 1 if done else 0
+            claim = f"{self.path}/claim-{number:08d}"
+            try:
+                self.fs.create(self._at(claim), False).close()
+                if len(self._states()) == len(done):
+                    return number, claim
+                self.fs.delete(self._at(claim), False)
+            except Exception as e:
+                if not self.fs.exists(self._at(claim)):
+                    raise
+                if time.monotonic() > until:
+                    raise TimeoutError(f"another writer holds {claim}; remove the file if none is at work") from e
+                time.sleep(poll)
+
+    def upsert(self, new: DataFrame, wait: float = 600.0) -> DataFrame:
         """Merge rows by key, the new ones win; of new rows with one key the greatest counts."""
         names = [c.split()[0] for c in self.columns.split(", ")]
         rest = [n for n in names if n not in self.key]
         one = new.select(*names).groupBy(*self.key).agg(F.max(F.struct(*rest)).alias("r")).select(*self.key, "r.*").select(*names)
-        now = self._current()
-        number = int(now.rpartition("state-")[2].split("-")[0]) + 1 if now else 0
-        target = f"{self.path}/state-{number:08d}-{uuid.uuid4().hex[:8]}"
-        upsert(self.read(), one, self.key).write.parquet(target)
+        number, claim = self._claim(wait)
+        target = f"{self.path}/state-{number:08d}"
+        try:
+            upsert(self.read(), one, self.key).write.mode("overwrite").parquet(target)
+        finally:
+            self.fs.delete(self._at(claim), False)
+        for old in self._states()[: -self.keep]:
+            self.fs.delete(self._at(f"{self.path}/{old}"), True)
         return self.read()

@@ -4,8 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import bm25, chunks as C, expand, facets, fusion, vector
-from corvane.plans import search
+from corvane.operators import bm25, chunks as C, citations, expand, facets, fusion, vector
+from corvane.plans import catalog, search
+from corvane.session import release
 
 
 def chunk_table(spark, rows):
@@ -263,3 +264,67 @@ def test_chunk_reports(spark):
     t = C.text_length(c.limit(0)).first()
     assert (t.chunks, t.mean_chars) == (0, 0)
     assert [r.ord for r in C.grep(c, "F", 1).collect()] == [1]
+
+
+def test_stored_vectors(spark):
+    c = chunk_table(spark, [(i, f"d/f{i}.py", "function", f"n{i}", f"text number {i}") for i in range(6)]).withColumn("content_hash", F.concat(F.lit("h"), "ord"))
+    kind = "provider string, content_hash string, vec array<float>"
+    rows = [("real", f"h{i}", [float(i), 1.0, 2.0]) for i in range(6)] + [("real", "h1", None), ("real", "h2", [1.0]), ("real", "h3", [0.0] * 3), ("real", "h4", [float("nan")] * 3), ("other", "h0", [9.0])]
+    q = spark.createDataFrame([("q", "p", "n4", [8.0, 1.0, 2.0]), ("zero", "p", "n", [0.0] * 3)], "query_id string, scope string, text string, vec array<float>")
+    index = search.Index(c, "real", spark.createDataFrame(rows, kind))
+    got = [r.ord for r in index.nearest(q, 3).orderBy("rank").collect()]
+    assert got == [5, 4, 3]
+    hits = search.search(q, index, search.SearchConfig(k=2, mode=None, import_slots=1)).filter("query_id = 'q'").orderBy("pos").collect()
+    assert hits[0].ord == 5 and hits[0].sources == ["vector"]
+    pairs = spark.createDataFrame([("q", 5), ("q", 0)], "query_id string, ord bigint")
+    close = {r.ord: r.cosine for r in index.closeness(q, pairs).collect()}
+    assert close[5] > close[0] > 0
+    with pytest.raises(search.MissingVectors, match="1 chunks"):
+        search.search(q, search.Index(c, "real", spark.createDataFrame([r for r in rows if r[1] != "h5"], kind)), search.SearchConfig(mode="vector"))
+    with pytest.raises(search.MissingVectors):
+        search.Index(c, "real")
+
+
+def test_hashed_ranking_equals_join(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    c = chunk_table(spark, [(i, "a.py", "function", f"n{i}", " ".join(rnd.choices(words, k=rnd.randrange(0, 12)))) for i in range(120)])
+    q = spark.createDataFrame([(f"q{i}", "p" if i % 5 else None, " ".join(rnd.choices(words, k=3))) for i in range(20)], "query_id string, scope string, text string")
+    index = search.Index(c)
+    got = {(r.query_id, r.ord): (r.rank, r.score) for r in vector.hashed_topk(index.query_vectors(q), index.vectors, 7, block_bytes=20_000).collect()}
+    a = {r.query_id: dict(zip(r.buckets, r.weights)) for r in index.query_vectors(q).collect() if r.scope}
+    b = {r.ord: dict(zip(r.buckets, r.weights)) for r in index.vectors.collect()}
+    want = {}
+    for i, x in a.items():
+        s = sorted((-round(sum(w * y.get(k, 0.0) for k, w in x.items()), 9), o) for o, y in b.items())
+        want |= {(i, o): (n + 1, -v) for n, (v, o) in enumerate(s[:7]) if v < 0}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    pairs = spark.createDataFrame(list(want), "query_id string, ord bigint")
+    assert {(r.query_id, r.ord): r.cosine for r in index.closeness(q, pairs).collect()} == pytest.approx({k: v[1] for k, v in want.items()})
+
+
+def test_index_follows_its_files(spark, tmp_path):
+    rows = [(i, "p", f"a{i}.py", "function", "code", f"n{i}", "ctx", f"alpha beta{i}", f"h{i}", f"a{i}.py:1", None) for i in range(4)]
+    kind = "ord long, project_id string, path string, kind string, source string, name string, context string, text string, content_hash string, location string, indexed_at timestamp"
+    question = [("q#1", "alpha", ["a1.py"], None, None, "dev", "s", "p")]
+    spark.createDataFrame(question, "id string, question string, expect_files array<string>, expect_symbols array<string>, note string, split string, set_name string, project_id string").write.parquet(f"{tmp_path}/questions.parquet")
+    write = lambda n: spark.createDataFrame(rows[:n], kind).write.mode("overwrite").parquet(f"{tmp_path}/chunks.parquet")
+    write(4)
+    assert catalog.hash_embed_topk(spark, str(tmp_path)).count() == 4
+    write(2)
+    assert catalog.hash_embed_topk(spark, str(tmp_path)).count() == 2
+    release(spark)
+    assert catalog.hash_embed_topk(spark, str(tmp_path)).count() == 2
+    assert {r.measure for r in catalog.facet_measure(spark, str(tmp_path)).collect()} == {"plain", "menu", "ceiling"}
+
+
+def test_citations_stay_in_their_scope(spark):
+    files = spark.createDataFrame([("p", "src/a.py", 10), ("q", "src/a.py", 99), ("q", "lib/b.py", 5), ("p", "x/__init__.py", 3), ("p", "y/__init__.py", 3)], "scope string, path string, n_lines int")
+    answers = spark.createDataFrame(
+        [(1, "p", "see src/a.py:50 and b.py:2 and __init__.py:1"), (2, "q", "see src/a.py:50, a.py:99, b.py:2"), (3, "p", "`y/__init__.py:1` then __init__.py:2"), (4, None, "src/a.py:1")],
+        "answer_id bigint, scope string, text string",
+    )
+    got = {(r.answer_id, r.citation): (r.target, r.verified) for r in citations.verify(citations.answer_citations(answers), files, files).collect()}
+    assert got[(1, "src/a.py:50")] == ("src/a.py", False) and got[(1, "b.py:2")] == (None, False) and got[(1, "__init__.py:1")] == (None, False)
+    assert got[(2, "src/a.py:50")] == ("src/a.py", True) and got[(2, "a.py:99")] == ("src/a.py", True) and got[(2, "b.py:2")] == ("lib/b.py", True)
+    assert got[(3, "__init__.py:2")] == ("y/__init__.py", True) and got[(4, "src/a.py:1")] == (None, False)
