@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import LINE_BREAK, citations, numbered
+from corvane.functions.text import citations, lines, numbered
 
 BEFORE, AFTER, MAX_LINES = 6, 12, 400
 
@@ -60,7 +60,7 @@ def verify(cited: DataFrame, files: DataFrame, indexed: DataFrame) -> DataFrame:
 
 def source_lines(chunks: DataFrame) -> DataFrame:
     """``project_id path line_no text``: the lines of the chunks at their places, each line once."""
-    rows = chunks.filter(F.col("text").isNotNull()).select("project_id", "path", F.coalesce("start_line", F.lit(1)).alias("s"), F.posexplode(F.split("text", LINE_BREAK)).alias("i", "text"))
+    rows = chunks.filter(F.col("text").isNotNull()).select("project_id", "path", F.coalesce("start_line", F.lit(1)).alias("s"), F.posexplode(lines(F.col("text"))).alias("i", "text"))
     return rows.groupBy("project_id", "path", (F.col("s") + F.col("i")).alias("line_no")).agg(F.min("text").alias("text"))
 
 

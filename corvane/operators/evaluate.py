@@ -111,6 +111,15 @@ def smoke_report(sample: DataFrame, hits: DataFrame) -> DataFrame:
     return s.withColumn("rate", F.round(F.col("found") / F.col("total"), 3))
 
 
+def per_answer(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """Q6: ``question_id hit covered unverified tools`` of every answer."""
+    tools = F.col("tools") if "tools" in answers.columns else F.lit(0)
+    a = answers.withColumn("tools", tools).join(questions.select(F.col("id").alias("question_id"), "expect_files"), "question_id")
+    cited = F.array_distinct(F.transform("citations", lambda c: F.regexp_replace(c, ":[^:]*$", "")))
+    shared = F.size(F.array_intersect("expect_files", cited))
+    return a.select("question_id", (shared > 0).alias("hit"), (shared / F.size("expect_files")).alias("covered"), F.size("unverified").alias("unverified"), "tools")
+
+
 def answer_report(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Accuracy, file coverage, citations per answer and unverified citations.
 
@@ -121,9 +130,12 @@ def answer_report(questions: DataFrame, answers: DataFrame) -> DataFrame:
     q = questions.select(F.col("id").alias("question_id"), "expect_files").join(answers, "question_id", "left")
     cited = F.array_distinct(F.transform(F.coalesce("citations", empty), lambda c: F.regexp_replace(c, ":[^:]*$", "")))
     q = q.withColumn("hit", F.size(F.array_intersect("expect_files", cited)))
+    low, high = wilson(F.count_if(F.col("hit") > 0), F.count("*"))
     return q.agg(
         F.count("*").alias("n"),
         F.round(F.coalesce(F.avg((F.col("hit") > 0).cast("int")), F.lit(0.0)), 4).alias("accuracy"),
+        F.round(low, 4).alias("accuracy_low"),
+        F.round(high, 4).alias("accuracy_high"),
         F.round(F.coalesce(F.avg(F.col("hit") / F.size("expect_files")), F.lit(0.0)), 4).alias("file_coverage"),
         F.round(F.coalesce(F.avg(F.size(F.coalesce("citations", empty))), F.lit(0.0)), 2).alias("citations_per_answer"),
         F.coalesce(F.sum(F.size(F.coalesce("unverified", empty))), F.lit(0)).cast("bigint").alias("unverified"),

@@ -94,4 +94,4 @@ def enrich(chunks: DataFrame, sentences: DataFrame) -> DataFrame:
     has = F.col("sentence").isNotNull() & (F.trim("sentence") != "")
     context = F.when(has, F.concat_ws("\n", "context", "sentence")).otherwise(F.col("context"))
     out = out.withColumn("llm_context", F.when(has, F.col("sentence")).otherwise(F.col("llm_context"))).withColumn("context", context)
-    return out.withColumn("content_hash", content_hash(F.col("context"), F.col("text"))).drop("sentence")
+    return out.withColumn("content_hash", F.when(has, content_hash(F.col("context"), F.col("text"))).otherwise(F.col("content_hash"))).drop("sentence")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.stats import wilson
-from corvane.operators import bm25, chunks as chunk_ops, citations, evaluate, expand, facets, fusion, vector
+from corvane.operators import bm25, chunks as chunk_ops, citations, evaluate, expand, extract, facets, fusion, vector
 from corvane.plans import answer, search
 from corvane.session import fingerprint, on_release, stage
 
@@ -190,6 +190,62 @@ def enrich_context_join(spark, sf):
     return e.select("ord", "content_hash", F.col("llm_context").isNotNull().alias("enriched"))
 
 
+# --- extraction ----------------------------------------------------------------------------
+
+
+def extract_sections(spark, sf):
+    """Sections of the documents, read as Markdown files: where each begins, its trail of headings, its parent."""
+    d = _read(spark, sf, "documents").filter("text is not null")
+    files = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content")).distinct()
+    found = extract.chunks_of(extract.extract(files)).filter(F.col("text").rlike(r"^#{1,6}\s") & (F.col("name") != extract.UNTITLED))
+    # of a section in several parts the first one begins with its heading
+    title = F.regexp_extract(F.split_part("text", F.lit("\n"), F.lit(1)), r"^#{1,6}\s+(.*)$", 1)
+    first = found.filter(F.trim(title) == F.element_at(F.split("name", " > "), -1))
+    return first.select(F.regexp_replace("path", r"\.md$", "").cast("bigint").alias("doc_id"), "start_line", "name", "parent").distinct()
+
+
+def extract_part_sizes(spark, sf):
+    """Parts of all sections: how many hold several lines, are blank, or exceed the limit without being a single line."""
+    d = _read(spark, sf, "documents").filter("text is not null")
+    files = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content")).distinct()
+    found = extract.chunks_of(extract.extract(files)).withColumn("several", F.col("end_line") > F.col("start_line"))
+    return found.agg(
+        F.count_if(F.col("several") & (F.length("text") > extract.SECTION_LIMIT)).alias("too_long"),
+        F.count_if(F.trim("text") == "").alias("blank"),
+        F.count_distinct("path").alias("documents"),
+    )
+
+
+def _function_files(spark, sf):
+    """Each function's text as a file of its own, a definition at the margin, as delivered."""
+    c = _chunks(spark, sf).filter("kind = 'function' and text is not null")
+    return c.select("ord", F.concat(F.lit("f"), F.col("ord").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"))
+
+
+def extract_functions(spark, sf):
+    """What the syntax tree says of every function's text: name, lines, signature's head, docstring, hash of its label and text."""
+    files = _function_files(spark, sf)
+    found = extract.chunks_of(extract.extract(files.select("path", "content"))).filter("kind = 'function' and part <= 1")
+    first = found.groupBy("path").agg(F.min_by(F.struct("name", "start_line", "end_line", "context", "text", "content_hash"), "part").alias("f"))
+    return files.join(first, "path").select("ord", "f.name", "f.start_line", "f.end_line", "f.context", "f.content_hash")
+
+
+def extract_errors(spark, sf):
+    """Files that can't be parsed are rows, and the rest goes on: functions with a broken line behind them."""
+    files = _function_files(spark, sf).withColumn("content", F.when(F.col("ord") % 2 == 0, F.concat("content", F.lit("\ndef (:\n"))).otherwise(F.col("content")))
+    found = extract.extract(files.select("path", "content"))
+    return found.groupBy((F.col("error").isNotNull()).alias("failed")).agg(F.count_distinct("path").alias("files"))
+
+
+def hit_payload(spark, sf):
+    """What a client is shown of the best hits: place, kind, name, score, methods, numbered text under its header."""
+    index, q = _index(spark, sf), _batch(_questions(spark, sf))
+    hits = search.search(q, index, search.SearchConfig(k=3, mode="bm25")).filter("stage = 0")
+    c = index.chunks.select("ord", "kind", "name", "location", "text", "start_line")
+    block = citations.rendered(F.col("kind"), F.col("name"), F.col("location"), F.coalesce("text", F.lit("")), F.coalesce("start_line", F.lit(1)))
+    return hits.join(c, "ord").select("query_id", "pos", "location", "kind", "name", F.bround("score", 4).alias("score"), F.array_join("sources", ",").alias("sources"), block.alias("block"))
+
+
 # --- ranking -------------------------------------------------------------------------------
 
 
@@ -519,6 +575,7 @@ def queries() -> dict[str, Query]:
         tokenize_terms, doc_term_counts, chunk_weight, content_hash, narrow_query, numbered_snippet, token_cost,
         stats_by_kind, stats_top_files, stats_text_length, index_status, composition, language_signal, missing_vectors, cost_estimate,
         grep_substring, chunk_lookup, cache_upsert, project_upsert, enrich_context_join,
+        extract_sections, extract_part_sizes, extract_functions, extract_errors, hit_payload,
         index_build, bm25_topk, hash_embed_topk, blake_embed_topk, vector_topk, vector_label_recall, dense_topk, search_dense, search_dense_hybrid, dense_refusals, rrf_hybrid, rrf_weighted, search_bm25, expand_full,
         expand_unseen_files, expand_sibling_dirs, expand_references, expand_imports, expand_linked, import_edges,
         facet_query_terms, facet_search_within, facet_measure,

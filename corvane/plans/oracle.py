@@ -220,6 +220,27 @@ def _dense(p: str, k: int) -> list[str]:
     return [f"{p}_hm AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) rank FROM {p}_hs WHERE score>0) WHERE rank<={k})"]
 
 
+#: lines of the documents with their fences and headings
+MARKDOWN = [
+    f"""ml AS (SELECT doc_id, i, rs[i] line FROM (SELECT doc_id, rs, unnest(range(1,len(rs)+1)) i FROM (SELECT DISTINCT doc_id, text, {_lines("text")} rs FROM documents WHERE text IS NOT NULL)))""",
+    r"mf AS (SELECT *, sum((regexp_matches(line,'^\s*(```|~~~)'))::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 fenced FROM ml)",
+    r"""mh AS MATERIALIZED (SELECT doc_id, i, length(regexp_extract(line,'^(#{1,6})\s+(.*)$',1)) lv, trim(regexp_extract(line,'^(#{1,6})\s+(.*)$',2)) title FROM mf
+ WHERE fenced=0 AND regexp_full_match(line,'(#{1,6})\s+(.*)'))""",
+    "mp AS (SELECT *, " + ", ".join(f"coalesce(max(CASE WHEN lv={n} THEN i END) OVER z,0) p{n}" for n in range(1, 7)) + " FROM mh WINDOW z AS (PARTITION BY doc_id ORDER BY i))",
+    "mt1 AS (SELECT doc_id, i, lv, title, list_filter(["
+    + ", ".join(f"CASE WHEN {n}<lv AND p{n}>greatest(0{''.join(f',p{m}' for m in range(1, n))}) THEN p{n} END" for n in range(1, 6))
+    + "], lambda x: x IS NOT NULL) above FROM mp)",
+    """mu AS (SELECT m.doc_id, m.i, m.title, string_agg(h.title,' > ' ORDER BY h.i) FILTER (h.title<>'') parent FROM (SELECT doc_id, i, title, unnest(CASE WHEN len(above)=0 THEN [0] ELSE above END) a FROM mt1) m
+ LEFT JOIN mh h ON h.doc_id=m.doc_id AND h.i=m.a GROUP BY ALL)""",
+]
+#: functions' lines, where the definition begins, its last line of code, and whether a body on the line of its def goes on below
+FUNCTIONS = [
+    C,
+    f"f0 AS (SELECT ord, text, {_lines('text')} rs FROM c WHERE kind='function' AND text IS NOT NULL)",
+    r"""f1 AS (SELECT *, list_position(list_transform(rs, lambda x: regexp_matches(x,'^(@|def |async def )')),true) s,
+ len(rs)+1-list_position(list_reverse(list_transform(rs, lambda x: NOT regexp_matches(x,'^\s*(#|$)'))),true) e FROM f0)""",
+    r"fn AS (SELECT *, regexp_matches(rs[s],'^(async )?def [^#]*\)[^:]*:\s*[^\s#]') AND len(rs)>s AND regexp_matches(rs[s+1],'^\s') bad FROM f1)",
+]
 PROVIDERS = "pv AS (SELECT DISTINCT provider FROM vectors WHERE provider IS NOT NULL)"
 HITS = "SELECT query_id, pos::INT pos, ord, path, round(score,6) score, stage FROM a_hits"
 
@@ -289,6 +310,14 @@ def oracle_sql() -> dict[str, str]:
              "vd AS (SELECT provider, arg_max(d, (n, d)) d FROM (SELECT provider, len(v) d, count(*) n FROM v0 WHERE len(v)>0 GROUP BY ALL) GROUP BY provider)",
              "vu AS (SELECT DISTINCT provider, content_hash FROM v0 JOIN vd USING (provider) WHERE len(v)=d AND len(list_filter(v, lambda x: NOT isfinite(x)))=0 AND list_max(list_transform(v, lambda x: abs(x)))>0)"],
             "SELECT pv.provider, c.project_id, count(DISTINCT c.content_hash) contents, count(DISTINCT c.content_hash) FILTER (vu.content_hash IS NULL) missing FROM c CROSS JOIN pv LEFT JOIN vu ON vu.provider=pv.provider AND vu.content_hash=c.content_hash GROUP BY ALL"),
+        "extract_sections": _with(MARKDOWN, "SELECT DISTINCT doc_id, i::INT start_line, CASE WHEN parent IS NULL THEN title ELSE parent||' > '||title END AS name, parent FROM mu WHERE title<>''"),
+        "extract_part_sizes": "SELECT 0::BIGINT too_long, 0::BIGINT blank, count(DISTINCT doc_id) documents FROM documents WHERE regexp_matches(text,'\\S')",
+        "extract_functions": _with(FUNCTIONS, r"""SELECT ord, name, s::INT start_line, e::INT end_line, context, substr(sha256(context||chr(10)||chr(10)||array_to_string(rs[s:e],chr(10))),1,16) content_hash
+ FROM (SELECT *, 'f'||ord||'.py > '||name||' (function)' context FROM (SELECT *, regexp_extract(text,'(?m)^(?:async )?def ([\p{L}_][\p{L}\p{N}_]*)',1) AS name FROM fn WHERE NOT bad))"""),
+        "extract_errors": _with(FUNCTIONS, "SELECT ord%2=0 OR bad failed, count(*) files FROM fn GROUP BY ALL"),
+        "hit_payload": _with([C, Q, *INDEX, *HASHED, QUESTIONS, *_candidates("a", 60, "bm25")], f"""SELECT query_id, rank::INT pos, location, kind, name, round_even(score,4) score, sources,
+ '--- '||location||'  ['||kind||'] '||name||chr(10)||array_to_string(list_transform({_lines("coalesce(text,'')")}, lambda x, i: lpad((coalesce(start_line,1)+i-1)::VARCHAR, greatest(5,length((coalesce(start_line,1)+i-1)::VARCHAR))::INT, ' ')||' | '||x), chr(10)) block
+ FROM a_ranked JOIN c USING (ord) WHERE rank<=3"""),
         "narrow_query": _with([Q], f"SELECT id, {NARROW} narrowed FROM q"),
         "facets": _with([C, Q, *INDEX, *HASHED, QUESTIONS, *_candidates("a", 300), *_facets("a")],
             "SELECT query_id, directory, chunks, best_rank::INT best_rank, array_to_string(list_slice(symbols,1,3),',') symbols, array_to_string(list_slice(children,1,3),',') children, len(children)::INT children_total, facet_rank::INT facet_rank, directory||' · '||chunks||' parça'||CASE WHEN len(children)>0 THEN ' — '||array_to_string(list_slice(children,1,3),', ')||CASE WHEN len(children)>3 THEN ' +'||(len(children)-3) ELSE '' END WHEN len(symbols)>0 THEN ' — '||array_to_string(list_slice(symbols,1,3),', ') ELSE '' END AS label FROM a_facets"),
@@ -341,7 +370,7 @@ def oracle_sql() -> dict[str, str]:
             "na AS (SELECT answer_id, scope, n, CASE WHEN count(*)=1 THEN min(candidate) WHEN count(*) FILTER (spelled)=1 THEN min(candidate) FILTER (spelled) END t FROM ma GROUP BY ALL)"],
             "SELECT e.answer_id, e.n::INT n, e.citation, CASE WHEN exact_lines IS NOT NULL THEN e.path ELSE f.path END target, coalesce(e.line BETWEEN 1 AND coalesce(exact_lines, f.n_lines), false) verified FROM ex e LEFT JOIN na ON na.answer_id=e.answer_id AND na.scope=e.scope AND na.n=e.n LEFT JOIN files f ON f.scope=na.scope AND f.path=na.t"),
         "source_window": _with([C, f"""ls AS (SELECT project_id, path, coalesce(start_line,1)+i-1 line_no, min(x[i]) text FROM (SELECT project_id, path, start_line, x, unnest(range(1,len(x)+1)) i FROM
- (SELECT project_id, path, start_line, regexp_split_to_array(text,'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') x FROM c WHERE text IS NOT NULL)) GROUP BY ALL)""",
+ (SELECT project_id, path, start_line, {_lines("text")} x FROM c WHERE text IS NOT NULL)) GROUP BY ALL)""",
             "ct AS (SELECT DISTINCT project_id, path, start_line line FROM c WHERE start_line IS NOT NULL)"],
             "SELECT ct.project_id, ct.path, ct.line, line_no, ls.text FROM ct JOIN ls ON ls.project_id=ct.project_id AND ls.path=ct.path AND ls.line_no BETWEEN greatest(1,ct.line-6) AND ct.line+12"),
         "numbered_snippet": _with([C], f"SELECT ord, array_to_string(list_transform({_lines('text')}, lambda x, i: lpad((start_line+i-1)::VARCHAR, greatest(5,length((start_line+i-1)::VARCHAR))::INT, ' ')||' | '||x), chr(10)) body, CASE WHEN len({_lines('text')})>40 THEN array_to_string(list_slice({_lines('text')},1,40),chr(10))||chr(10)||'... ('||(len({_lines('text')})-40)||' more lines)' ELSE array_to_string({_lines('text')},chr(10)) END head FROM c WHERE text IS NOT NULL AND start_line IS NOT NULL"),
@@ -349,7 +378,7 @@ def oracle_sql() -> dict[str, str]:
             "fx AS (SELECT id, f, (project_id, f) IN (SELECT (scope, path) FROM files) there FROM (SELECT id, project_id, unnest(expect_files) f FROM q))",
             "an AS (SELECT id, count(*) cited, count(*) FILTER (NOT there) un FROM fx GROUP BY id)",
             "hh AS (SELECT q.id, coalesce(cited,0) cited, coalesce(un,0) un, coalesce(cited,0) hit, len(expect_files) expected FROM q LEFT JOIN an ON an.id=q.id)"],
-            "SELECT count(*) n, round(avg((hit>0)::INT),4) accuracy, round(avg(hit/expected),4) file_coverage, round(avg(cited),2) citations_per_answer, sum(un)::BIGINT unverified FROM hh"),
+            f"SELECT n, accuracy, round({_wilson('s','n')[0]},4) accuracy_low, round({_wilson('s','n')[1]},4) accuracy_high, file_coverage, citations_per_answer, unverified FROM (SELECT count(*) n, count(*) FILTER (hit>0) s, round(avg((hit>0)::INT),4) accuracy, round(avg(hit/expected),4) file_coverage, round(avg(cited),2) citations_per_answer, sum(un)::BIGINT unverified FROM hh)"),
         "token_cost": "SELECT lang, sum(length(text))::BIGINT fresh, round(sum(length(text))*1.0/1e6+count(*)*1.25/1e6+count(*)*0.1/1e6+count(*)*5.0/1e6,6) cost FROM (SELECT DISTINCT doc_id, lang, text FROM documents) WHERE text IS NOT NULL GROUP BY lang",
-        "enrich_context_join": _with([C], "SELECT ord, substr(sha256(coalesce(ctx,'')||chr(10)||chr(10)||coalesce(text,'')),1,16) content_hash, llm IS NOT NULL enriched FROM (SELECT ord, text, docstring llm0, CASE WHEN docstring IS NOT NULL AND trim(docstring)<>'' AND s.sentence IS NOT NULL AND trim(s.sentence)<>'' THEN s.sentence WHEN s.sentence IS NOT NULL AND trim(s.sentence)<>'' THEN s.sentence ELSE llm_context END llm, CASE WHEN s.sentence IS NOT NULL AND trim(s.sentence)<>'' THEN concat_ws(chr(10), context, s.sentence) ELSE context END ctx FROM c LEFT JOIN (SELECT content_hash, max(docstring) sentence FROM c WHERE docstring IS NOT NULL GROUP BY ALL) s USING (content_hash))"),
+        "enrich_context_join": _with([C], "SELECT ord, CASE WHEN changed THEN substr(sha256(coalesce(ctx,'')||chr(10)||chr(10)||coalesce(text,'')),1,16) ELSE content_hash END content_hash, llm IS NOT NULL enriched FROM (SELECT ord, text, content_hash, s.sentence IS NOT NULL AND trim(s.sentence)<>'' changed, docstring llm0, CASE WHEN docstring IS NOT NULL AND trim(docstring)<>'' AND s.sentence IS NOT NULL AND trim(s.sentence)<>'' THEN s.sentence WHEN s.sentence IS NOT NULL AND trim(s.sentence)<>'' THEN s.sentence ELSE llm_context END llm, CASE WHEN s.sentence IS NOT NULL AND trim(s.sentence)<>'' THEN concat_ws(chr(10), context, s.sentence) ELSE context END ctx FROM c LEFT JOIN (SELECT content_hash, max(docstring) sentence FROM c WHERE docstring IS NOT NULL GROUP BY ALL) s USING (content_hash))"),
     }

@@ -10,20 +10,27 @@ from pyspark.sql import functions as F
 from corvane import schema
 from corvane.operators.chunks import upsert
 from corvane.operators.extract import chunks_of, errors_of, extract
-from corvane.sources.tree import read_tree
+from corvane.sources.tree import EXCLUDES, read_tree
 
+_GROUP = 10_000  #: files that share an offset in the order of the walk
 
-def index_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+
+def index_tree(spark: SparkSession, root: str, excludes: frozenset[str] | set[str] = EXCLUDES) -> tuple[DataFrame, DataFrame]:
     """(chunks, errors) of a source tree: code in the order of the walk, then documents."""
-    code, docs = read_tree(spark, root), read_tree(spark, root, docs=True)
+    code, docs = read_tree(spark, root, excludes=excludes), read_tree(spark, root, docs=True, excludes=excludes)
     files = code.withColumn("doc", F.lit(0)).unionByName(docs.withColumn("doc", F.lit(1)))
     found = extract(files.filter("error is null"))
     places = files.select("path", "doc", "place")
     rows = chunks_of(found).join(places, "path").filter("(doc = 1) = (source = 'doc')")
-    # the order of the walk, without gaps: ranks within a file's place are offset by the files before it
-    sizes = rows.groupBy("doc", "place").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("doc", "place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(sizes.withColumn("before", before).drop("n"), ["doc", "place"])
+    # the order of the walk, without gaps: parts are offset by the files before theirs, and files
+    # by the groups of files before theirs, so that no task sees a row per file of the whole tree
+    sizes = rows.groupBy("doc", "place").agg(F.count("*").alias("n")).withColumn("group", F.expr(f"place div {_GROUP}"))
+    to_here = (Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("doc", "group").agg(F.sum("n").alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.orderBy("doc", "group").rowsBetween(*to_here)), F.lit(0))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("doc", "group").orderBy("place").rowsBetween(*to_here)), F.lit(0))
+    sizes = sizes.withColumn("within", within).join(groups.withColumn("above", above).drop("n"), ["doc", "group"])
+    rows = rows.join(sizes.select("doc", "place", (F.col("above") + F.col("within")).alias("before")), ["doc", "place"])
     rows = rows.withColumn("ord", F.col("before") + F.col("part"))
     ident = F.concat("path", F.lit("::"), "name", F.lit("#"), F.col("start_line").cast("string"))
     chunks = rows.withColumn("id", ident).withColumn("llm_context", F.lit(None).cast("string"))

@@ -11,6 +11,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corvane.operators.extract import CODE_SUFFIX, DOC_SUFFIXES
@@ -22,8 +23,24 @@ EXCLUDES = frozenset(
 )
 
 
-def walk(root: str, docs: bool = False, excludes: frozenset[str] = EXCLUDES) -> Iterator[str]:
-    """Paths below ``root``: a directory's files by name, then its sub-directories, last name first."""
+#: what a walk is after
+CODE, DOCS, ATTRIBUTES = "code", "docs", "attributes"
+ATTRIBUTE_FILE = ".gitattributes"
+
+
+def wanted(name: str, kind: str) -> bool:
+    suffix = os.path.splitext(name)[1]
+    if kind == ATTRIBUTES:
+        return name == ATTRIBUTE_FILE
+    return suffix.lower() in DOC_SUFFIXES if kind == DOCS else suffix == CODE_SUFFIX
+
+
+def walk(root: str, docs: bool = False, excludes: frozenset[str] | set[str] = EXCLUDES, kind: str | None = None) -> Iterator[str]:
+    """Paths below ``root``: a directory's files by name, then its sub-directories, last name first.
+
+    Attribute files are looked for in excluded directories too: they are what says that those are foreign.
+    """
+    kind = kind or (DOCS if docs else CODE)
     pending = [""]
     while pending:
         below = pending.pop()
@@ -32,12 +49,13 @@ def walk(root: str, docs: bool = False, excludes: frozenset[str] = EXCLUDES) ->
         except OSError:
             continue
         for e in entries:
-            if e.name.startswith(".") or e.name in excludes or e.is_symlink():
+            hidden = e.name.startswith(".") and not (kind == ATTRIBUTES and e.name == ATTRIBUTE_FILE)
+            if hidden or e.name in excludes and kind != ATTRIBUTES or e.is_symlink():
                 continue
             path = f"{below}/{e.name}" if below else e.name
             if e.is_dir():
                 pending.append(path)
-            elif os.path.splitext(e.name)[1].lower() in DOC_SUFFIXES if docs else os.path.splitext(e.name)[1] == CODE_SUFFIX:
+            elif wanted(e.name, kind):
                 yield path
 
 
@@ -58,14 +76,14 @@ class _Group(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options.get("path") or options["root"]
-        self.docs = options.get("docs", "false").lower() == "true"
+        self.kind = options.get("kind", DOCS if options.get("docs", "false").lower() == "true" else CODE)
         self.excludes = frozenset(options["excludes"].split(",")) if "excludes" in options else EXCLUDES
         self.group = int(options.get("filesPerTask", "200"))
         if not os.path.isdir(self.root):
             raise NotADirectoryError(self.root)
 
     def partitions(self) -> list[InputPartition]:
-        files = list(enumerate(walk(self.root, self.docs, self.excludes)))
+        files = list(enumerate(walk(self.root, excludes=self.excludes, kind=self.kind)))
         return [_Group(files[i : i + self.group]) for i in range(0, len(files), self.group)] or [_Group([])]
 
     def read(self, partition: _Group):
@@ -91,7 +109,14 @@ class TreeSource(DataSource):
         return _Reader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, docs: bool = False) -> DataFrame:
-    """``place path content error`` of the code (or document) files below ``root``."""
+def read_tree(spark: SparkSession, root: str, docs: bool = False, excludes: frozenset[str] | set[str] = EXCLUDES, kind: str | None = None) -> DataFrame:
+    """``place path content error`` of the code (or document, or attribute) files below ``root``."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("corvane_tree").option("docs", str(docs).lower()).load(root)
+    reader = spark.read.format("corvane_tree").option("kind", kind or (DOCS if docs else CODE))
+    return reader.option("excludes", ",".join(sorted(excludes))).load(root)
+
+
+def attribute_files(spark: SparkSession, root: str, project_id: str) -> DataFrame:
+    """``project_id path text`` of the ``.gitattributes`` files of a tree, which no index holds."""
+    found = read_tree(spark, root, kind=ATTRIBUTES).filter("content is not null")
+    return found.select(F.lit(project_id).alias("project_id"), "path", F.col("content").cast("string").alias("text"))
