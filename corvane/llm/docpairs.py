@@ -217,18 +217,26 @@ def token_rows(chunks: DataFrame) -> DataFrame:
     return src.mapInArrow(_lex_batches, TOKENS)
 
 
+def latest(chunks: DataFrame) -> DataFrame:
+    """One row per ``ord``: the one indexed last where ``indexed_at`` is there, of several the one with the longest text."""
+    when = F.col("indexed_at") if "indexed_at" in chunks.columns else F.lit(None).cast("timestamp")
+    w = Window.partitionBy("ord").orderBy(
+        when.desc_nulls_last(), F.length("text").desc_nulls_last(), F.length("docstring").desc_nulls_last(), "text", "docstring", "name", "signature"
+    )
+    return chunks.withColumn("version", F.row_number().over(w)).filter("version = 1").drop("version")
+
+
 def pair_documentation(chunks: DataFrame) -> DataFrame:
     """``ord name signature code documentation place`` of the functions with real documentation.
 
-    Needs ``ord kind name signature docstring text``; further columns are ignored. Null or empty
-    texts leave the docstring field alone; a null ``ord`` is dropped (it names no function);
-    rows repeated for an ``ord`` are one function, in its longest reading; an empty table gives no rows.
+    Needs ``ord kind name signature docstring text`` (and takes the latest row of an ``ord`` where
+    ``indexed_at`` is there); further columns are ignored. Null or empty texts leave the docstring
+    field alone; a null ``ord`` is dropped (it names no function); rows repeated for an ``ord`` are
+    one function, the one indexed last, all of whose fields are read; an empty table gives no rows.
     """
-    t = token_rows(chunks.filter(F.col("ord").isNotNull()))
-    # copies of a chunk interleave: one row stays for each position
+    known = chunks.filter(F.col("ord").isNotNull() & F.col("kind").isin("function", "method"))
+    t = token_rows(latest(known))
     by = Window.partitionBy("ord").orderBy("pos", "kind")
-    same = Window.partitionBy("ord", "pos").orderBy(F.length("code").desc_nulls_last(), F.length("text").desc_nulls_last(), "kind")
-    t = t.withColumn("copy", F.row_number().over(same)).filter("copy = 1").drop("copy")
     t = t.withColumn("depth", F.coalesce(F.sum("delta").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # statement starts, comments and blanks outside open brackets
     s = t.filter((F.col("depth") <= 0) | (F.col("pos") == 0))

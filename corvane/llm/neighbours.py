@@ -1,9 +1,10 @@
 """Problem 4: the k most similar vectors of every vector.
 
-Balanced posting lists: centroids come from a balanced k-means on a bounded sample; they are
-searched by a best-first walk over a graph of their nearest neighbours, held in memory; every
-vector goes to the lists of its nearest centroids, several if it lies near a border, as the
-ratio of the distances tells. As all vectors are queries too, the lists that hold a vector are
+Balanced posting lists: centroids, in proportion to the vectors, come from balanced k-means in two
+levels: coarse cells are fitted on a bounded sample, the centroids of each cell by Spark on a
+sample of the cell. They are searched by a best-first walk over a graph of their nearest
+neighbours, held in memory; every vector goes to the lists of its nearest centroids, several if it
+lies near a border, as the ratio of the distances tells. As all vectors are queries too, the lists that hold a vector are
 the lists searched for it. Each list is compared with itself by matrix products; the best k of
 all lists of a vector are its neighbours.
 
@@ -13,6 +14,7 @@ Lists that outgrow a task are cut into blocks, and each pair of blocks is a task
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,9 +26,12 @@ from pyspark.sql import functions as F
 
 from corvane.session import stage
 
-#: rows read to fit the centroids of one provider, and the most centroids fitted on them
-SAMPLE, CENTROIDS = 32_768, 2_048
+#: rows read to fit the coarse cells of one provider, rows a task fits centroids on, rows per centroid there
+SAMPLE, CELL_SAMPLE, PER_CENTROID = 32_768, 32_768, 64
+#: bytes of all centroids and their graph, which every worker holds
+CENTROID_BYTES = 256_000_000
 _DEGREE, _ENTRIES = 24, 16
+_SEEN = 32_000_000  #: marks of visited centroids held at a time
 
 
 def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -53,16 +58,20 @@ def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np
 class CentroidGraph:
     """Centroids with a neighbour graph; finds the nearest centroids of many vectors at once."""
 
-    def __init__(self, c: np.ndarray):
+    def __init__(self, c: np.ndarray, whole: int = 8_192):
         self.c = c
         k = len(c)
         degree = min(_DEGREE, k - 1)
         self.next = np.zeros((k, degree), dtype=np.int32)
-        for s in range(0, k, 1024):
-            sim = c[s : s + 1024] @ c.T
-            sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -2
-            if degree:
-                self.next[s : s + 1024] = np.argpartition(-sim, degree - 1, axis=1)[:, :degree]
+        if k <= whole:
+            groups = [(np.arange(s, min(s + 1024, k)), np.arange(k)) for s in range(0, k, 1024)]
+        else:
+            groups = self._cells(c)
+        for own, near in groups:
+            sim = c[own] @ c[near].T
+            sim[own[:, None] == near[None, :]] = -2
+            top = np.argpartition(-sim, degree - 1, axis=1)[:, :degree] if degree else np.empty((len(own), 0), int)
+            self.next[own] = near[top]
         # entries spread by farthest-first choice
         entries = [0]
         near = c @ c[0]
@@ -71,6 +80,20 @@ class CentroidGraph:
             near = np.maximum(near, c @ c[entries[-1]])
         self.entries = np.array(sorted(set(entries)))
 
+    @staticmethod
+    def _cells(c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(centroids, those to look for their neighbours in): cells of about a thousand, each with its nearest ones."""
+        m = -(-len(c) // 1024)
+        middle = balanced_kmeans(c[:: max(1, len(c) // 32_768)], m)
+        label = np.concatenate([np.argmax(c[s : s + 4096] @ middle.T, axis=1) for s in range(0, len(c), 4096)])
+        members = [np.flatnonzero(label == i) for i in range(m)]
+        near = np.argsort(-(middle @ middle.T), axis=1)[:, :8]
+        out = []
+        for i, own in enumerate(members):
+            around = np.concatenate([members[j] for j in near[i]])
+            out += [(own[s : s + 1024], around) for s in range(0, len(own), 1024) if len(around) > _DEGREE]
+        return out
+
     def search(self, q: np.ndarray, width: int, beam: int = 24, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
         """(ids, cosines), best first, of up to ``width`` centroids for every row of ``q``."""
         n, k = len(q), len(self.c)
@@ -140,8 +163,9 @@ def _assign(batches: Iterator[pa.RecordBatch], models, lists: int, ratio: float)
             groups.setdefault(p, []).append(i)
         for p, own in groups.items():
             number, graph = models.value[p]
-            for s in range(0, len(own), 1024):
-                part = own[s : s + 1024]
+            step = max(16, min(1024, _SEEN // len(graph.c)))
+            for s in range(0, len(own), step):
+                part = own[s : s + step]
                 q = np.frombuffer(b"".join(raws[i] for i in part), dtype=np.float32).reshape(len(part), -1)
                 ids, sim = graph.search(q, lists)
                 dist = np.sqrt(np.maximum(2 - 2 * sim, 0))
@@ -193,14 +217,66 @@ def _search_lists(batches: Iterator[pa.RecordBatch], k: int, floor: float) -> It
     yield from done()
 
 
-def dimensions(vectors: DataFrame, most: int = 256) -> dict[str | None, int]:
+def dimensions(vectors: DataFrame) -> dict[str | None, int]:
     """The most frequent length per provider, which is its full length."""
     counts = vectors.filter(F.size("vec") > 0).groupBy("provider", F.size("vec").alias("d")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("provider").orderBy(F.desc("n"), F.desc("d"))
-    rows = counts.withColumn("rn", F.row_number().over(w)).filter("rn = 1").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} providers")
-    return {r["provider"]: r["d"] for r in rows}
+    return {r["provider"]: r["d"] for r in counts.withColumn("rn", F.row_number().over(w)).filter("rn = 1").collect()}
+
+
+def _in_cells(batches: Iterator[pa.RecordBatch], coarse) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        providers, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
+        numbers, cells = [], []
+        for p, raw in zip(providers, raws):
+            number, c = coarse.value[p]
+            numbers.append(number)
+            cells.append(int(np.argmax(c @ np.frombuffer(raw, dtype=np.float32))))
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(cells, pa.int32()), pa.array(raws, pa.binary())], names=["number", "cell", "v"])
+
+
+def _fit_cell(pdf):
+    x = np.frombuffer(b"".join(pdf["v"].sort_values()), dtype=np.float32).reshape(len(pdf), -1)
+    k = min(len(x), max(1, round(float(pdf["share"].iloc[0]) * len(x))))
+    c = balanced_kmeans(x, k)
+    return type(pdf)({"number": pdf["number"].iloc[0], "v": [r.tobytes() for r in c]})
+
+
+def fit_centroids(reps: DataFrame, dims: dict[str | None, int], target: int) -> dict[str | None, tuple[int, CentroidGraph]]:
+    """{provider: (its number, graph of its centroids)}, about one centroid for ``target`` vectors.
+
+    ``reps``: ``provider rep v``. Lists grow beyond ``target`` only where all centroids together
+    would exceed ``CENTROID_BYTES``.
+    """
+    spark = reps.sparkSession
+    counts = sorted(((r[0], r[1]) for r in reps.groupBy("provider").count().collect()), key=str)
+    if not counts:
+        return {}
+    total = sum(n for _, n in counts)
+    target = max(target, -(-total * 4 * (max(dims.values()) + _DEGREE) // CENTROID_BYTES))
+    coarse = {}
+    part = F.pmod(F.xxhash64("rep"), F.lit(1_000_000))
+    for number, (provider, n) in enumerate(counts):
+        own = reps.filter(F.col("provider").eqNullSafe(provider))
+        sample = own.filter(part < int(1_000_000 * min(1.0, 1.5 * SAMPLE / n))).select("rep", "v").orderBy(F.xxhash64("rep", F.lit(1))).limit(SAMPLE).collect()
+        x = np.frombuffer(b"".join(bytes(r[1]) for r in sample), dtype=np.float32).reshape(-1, dims[provider])
+        cells = max(1, min(math.isqrt(-(-n // target)), 1_024, len(x)))
+        coarse[provider] = (number, balanced_kmeans(x, cells))
+    shared = spark.sparkContext.broadcast(coarse)
+    rate = min(1.0, PER_CENTROID / target)
+    chosen = reps.filter(F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1_000_000)) < int(1_000_000 * rate)).select("provider", "v")
+    chosen = stage(chosen.mapInArrow(partial(_in_cells, coarse=shared), "number int, cell int, v binary"), "cells")
+    # a crowded cell is fitted in several tasks, each on its share of the sample
+    size = chosen.groupBy("number", "cell").agg((F.count("*") / CELL_SAMPLE).cast("int").alias("more"))
+    split = chosen.join(size, ["number", "cell"]).withColumn("part", F.pmod(F.xxhash64("v"), F.col("more") + 1))
+    split = split.withColumn("share", F.lit(1.0 / (target * rate)))
+    fine = split.groupBy("number", "cell", "part").applyInPandas(_fit_cell, "number int, v binary").collect()
+    models = {}
+    for provider, (number, c) in coarse.items():
+        own = sorted(bytes(r["v"]) for r in fine if r["number"] == number)
+        x = np.frombuffer(b"".join(own), dtype=np.float32).reshape(-1, dims[provider]) if own else c
+        models[provider] = (number, CentroidGraph(np.ascontiguousarray(x)))
+    return models
 
 
 def nearest(
@@ -233,14 +309,7 @@ def nearest(
     members = keyed.select("provider", "digest", "content_hash").join(classes, "digest")
     members = stage(members.select("provider", name, "content_hash", "copies"), "members")
     reps = keyed.join(classes, "digest").filter("content_hash = first").select("provider", name, "v")
-    models = {}
-    for number, (provider, n) in enumerate(sorted(((r[0], r[1]) for r in reps.groupBy("provider").count().collect()), key=str)):
-        own = reps.filter(F.col("provider").eqNullSafe(provider))
-        share = min(1.0, 1.5 * SAMPLE / n)
-        sample = own.filter(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * share)).select("v").limit(SAMPLE).collect()
-        x = np.frombuffer(b"".join(bytes(r[0]) for r in sample), dtype=np.float32).reshape(-1, dims[provider])
-        centroids = max(1, min(-(-n // target), CENTROIDS, len(x)))
-        models[provider] = (number, CentroidGraph(balanced_kmeans(x, centroids)))
+    models = fit_centroids(reps, dims, target)
     if not models:
         return spark.createDataFrame([], "provider string, content_hash string, neighbour string, cosine double, rank int")
     shared = spark.sparkContext.broadcast(models)

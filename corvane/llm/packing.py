@@ -25,7 +25,7 @@ TOKENIZERS = os.environ.get("CORVANE_TOKENIZERS", "/opt/tokenizers")
 SCHEMA = "doc_id bigint, piece int, token_start int, token_end int, start_pos int, end_pos int, n_tokens int"
 _SIZES = SCHEMA + ", text_tokens bigint, digest bigint"
 PLAN = "n_tokens int, rank_from bigint, rank_to bigint, container_from bigint, per_container int, slot int"
-_BUCKETS = 64
+_BUCKET_ROWS = 250_000  #: rows of one size that one task ranks, about
 
 # Fixed value: the split pattern that belongs to the vocabulary byte_bpe_50k.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -183,8 +183,10 @@ def pack(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None)
     copies = Window.partitionBy("doc_id", "piece").orderBy("digest")
     sized = sized.withColumn("text_rank", F.dense_rank().over(texts)).filter("text_rank = 1")
     sized = sized.withColumn("copy", F.row_number().over(copies)).filter("copy = 1").drop("copy", "text_rank", "text_tokens", "digest")
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)).cast("int"))
     sized = stage(sized, "packing-sizes")
+    # as many buckets as the most common size needs: full pieces of long texts all have one size
+    most = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(1 + most // _BUCKET_ROWS)).cast("int"))
     # ranks within a size: offsets of small buckets first, then ranks within a bucket
     counts = sized.groupBy("n_tokens", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))

@@ -194,12 +194,14 @@ def split_oversized(chunks: DataFrame, *, limit: int = 1500, overlap: int = 150)
     ``indexed_at`` is there); further columns are ignored. Columns as in ``SCHEMA``;
     ``boundaries`` are the natural boundaries that begin in a piece's own lines, with the depth
     of their valley. Chunks up to the limit, null and empty texts give no rows; a null
-    ``start_line`` counts as 1; a null ``ord`` is kept; ``end_line`` of the input isn't read, as
-    it is often wrong; repeated rows count once; an empty table gives no rows.
+    ``start_line`` counts as 1; of rows with a null ``ord`` each different text is kept; ``end_line``
+    of the input isn't read, as it is often wrong; repeated rows count once; an empty table gives
+    no rows.
     """
     long = chunks.filter(F.length("text") > limit)
     when = F.col("indexed_at") if "indexed_at" in chunks.columns else F.lit(None)
-    w = Window.partitionBy("ord").orderBy(F.col("when").desc_nulls_last(), "text", "start_line", "kind")
+    own = F.when(F.col("ord").isNull(), F.xxhash64("text", "start_line", "kind"))
+    w = Window.partitionBy("ord", own).orderBy(F.col("when").desc_nulls_last(), "text", "start_line", "kind")
     src = long.select(
         F.col("ord").cast("bigint").alias("ord"), "kind", F.col("start_line").cast("int").alias("start_line"), "text", when.alias("when")
     )

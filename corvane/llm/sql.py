@@ -39,4 +39,11 @@ ORACLES: dict[str, str] = {
  ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+11],' ') s FROM (SELECT doc_id, w, unnest(range(1,len(w)-10)) i FROM d)),
  ps AS (SELECT DISTINCT passage_id, array_to_string(w[i:i+11],' ') s FROM (SELECT passage_id, w, unnest(range(1,len(w)-10)) i FROM p))
  SELECT DISTINCT doc_id, passage_id FROM ds JOIN ps USING (s)""",
+    # what must hold of results that SQL can't compute
+    "p4_recall": "SELECT DISTINCT provider, true reached FROM vectors WHERE provider IS NOT NULL",
+    "p6_check": """SELECT ord, md5(text) AS text, coalesce(start_line,1) first_line, coalesce(start_line,1)+len(text)-len(replace(text,chr(10),'')) last_line, true in_limits FROM
+ (SELECT *, row_number() OVER (PARTITION BY ord, CASE WHEN ord IS NULL THEN hash(text, start_line, kind) END ORDER BY indexed_at DESC NULLS LAST, text, start_line, kind) rn FROM chunks WHERE length(text)>1500) WHERE rn=1""",
+    "p7_check": 'SELECT doc_id, max(coalesce(length(text),0))::INT chars, true "right" FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id',
+    "p7_containers": "SELECT 0::BIGINT overfull, true tight",
+    "p9_check": "SELECT 0::BIGINT overlapping, 0::BIGINT ragged, 0::BIGINT across, 0::BIGINT wordless",
 }

@@ -180,3 +180,13 @@ def test_latest_row_of_an_ord(spark):
     rows += [(3, "p", "g.py", "code", "module", data, at(1))] + [(4, "p", "g.py", "code", "function", "def f():\n" + hand[:300], at(1))] * 9
     got = [(r.path, r.reason) for r in classify_files(spark.createDataFrame(rows, kind), spark.createDataFrame([], PROJECTS)).collect()]
     assert got == [("g.py", "data")]
+
+
+def test_one_version_of_a_function(spark):
+    kind = "ord long, kind string, name string, signature string, docstring string, text string, indexed_at timestamp"
+    at = lambda d: datetime.datetime(2026, 1, d)
+    old = (1, "function", "f", "def f(a)", None, 'def f(a):\n    """Returns the greatest invoice of a quarter."""\n    return compute(a, a, a)\n    # and many more lines\n', at(1))
+    new = (1, "function", "g", "def g(b)", "Deletes stale ledger entries at night.", "def g(b):\n    return b\n", at(2))
+    for rows in ([old, new], [new, old], [new, old, new]):
+        got = pair_documentation(spark.createDataFrame(rows, kind)).collect()
+        assert [(r.name, r.signature, r.documentation, r.code) for r in got] == [("g", "def g(b)", new[4], new[5])]

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from corvane.llm.neighbours import CentroidGraph, balanced_kmeans, nearest
+from corvane.llm.neighbours import CentroidGraph, balanced_kmeans, fit_centroids, nearest
 
 SCHEMA = "provider string, content_hash string, vec array<float>, rep string, rank int"
 
@@ -86,3 +86,26 @@ def test_graph_finds_nearest_centroids():
     assert hit > 0.9
     sizes = np.bincount(np.argmax(x @ c.T, axis=1), minlength=200)
     assert sizes.max() < 12 * sizes.mean()
+
+
+def test_graph_of_many_centroids():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells, full = CentroidGraph(x, whole=1000), CentroidGraph(x)
+    q = x[:200] + 0.05 * rng.normal(size=(200, 24)).astype(np.float32)
+    for graph in (cells, full):
+        assert graph.next.shape == (3000, 24) and (graph.next != np.arange(3000)[:, None]).all()
+        found, _ = graph.search(q, 1)
+        assert (found[:, 0] == np.argmax(q @ x.T, axis=1)).mean() > 0.75
+
+
+def test_centroids_grow_with_the_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    reps = spark.createDataFrame([("p", f"r{i}", r.tobytes()) for i, r in enumerate(x)], "provider string, rep string, v binary")
+    for n, least, most in ((3000, 200, 320), (600, 40, 65)):
+        number, graph = fit_centroids(reps.filter(f"int(substr(rep, 2)) < {n}"), {"p": 16}, 12)["p"]
+        assert number == 0 and least <= len(graph.c) <= most
+    assert fit_centroids(reps.limit(0), {}, 12) == {}
