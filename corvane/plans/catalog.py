@@ -12,11 +12,13 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane import schema
 from corvane.functions import text as T
 from corvane.functions.stats import wilson
 from corvane.operators import bm25, chunks as chunk_ops, citations, evaluate, expand, extract, facets, fusion, vector
 from corvane.plans import answer, search
-from corvane.session import fingerprint, on_release, stage
+from corvane.session import fingerprint, on_release, scratch_path, stage
+from corvane.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 8
@@ -359,6 +361,22 @@ def expand_full(spark, sf):
     return _hits_of(search.search(_batch(_questions(spark, sf)), _index(spark, sf), CONFIG))
 
 
+class ShortestFirst:
+    """Stands in for a reranking service where its result is checked against SQL: the shorter a document, the better."""
+
+    name = "shortest"
+
+    def score(self, query: str, documents: list[str]) -> list[float]:
+        return [-float(len(d)) for d in documents]
+
+
+def rerank_pool(spark, sf):
+    """The whole pool of every question in a reranker's order."""
+    index, q = _index(spark, sf), _batch(_questions(spark, sf))
+    ranked = stage(search.candidates(q, index, search.SearchConfig(k=5, mode="bm25", file_slots=0)), "ranked")
+    return _with_sources(search.rerank(q, ranked, index.chunks, ShortestFirst()))
+
+
 # --- expansion -----------------------------------------------------------------------------
 
 
@@ -546,6 +564,31 @@ def _files(chunks):
     return chunks.filter("path is not null").groupBy(F.col("project_id").alias("scope"), "path").agg(F.max(end).alias("n_lines"))
 
 
+def cited_files(spark, sf):
+    """Distinct cited files of every document, sorted."""
+    d = _read(spark, sf, "documents").filter("text is not null").select("doc_id", "text").distinct()
+    return d.select("doc_id", F.array_join(T.cited_files(T.citations(F.col("text"))), ",").alias("files")).filter("files <> ''")
+
+
+def token_totals(spark, sf):
+    """Sums per field of the documents' counts, as usage is summed over answers."""
+    d = _read(spark, sf, "documents").filter("text is not null").select("doc_id", "text").distinct()
+    usage = F.create_map(F.lit("characters"), F.length("text"), F.lit("lines"), F.size(T.lines(F.col("text"))))
+    return evaluate.token_totals(d.select(usage.alias("usage")))
+
+
+def jsonl_round_trip(spark, sf):
+    """The chunk table written as JSON lines and read back: rows, texts and nulls per kind."""
+    c = _chunks(spark, sf).select(*[x.split()[0] for x in schema.CHUNKS.split(", ")])
+    path = scratch_path(spark, "jsonl")
+    tables.write_jsonl(c, path)
+    back = tables.read_jsonl(spark, path)
+    return back.groupBy("kind").agg(
+        F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.count("signature").alias("signatures"), F.count_distinct("text").alias("texts"),
+        F.sum("end_line").alias("end_lines"),
+    )
+
+
 def verify_citations(spark, sf):
     """The documents' citations against the files of the project they are about."""
     files = _files(_chunks(spark, sf))
@@ -580,7 +623,7 @@ def queries() -> dict[str, Query]:
         expand_unseen_files, expand_sibling_dirs, expand_references, expand_imports, expand_linked, import_edges,
         facet_query_terms, facet_search_within, facet_measure,
         question_split, eval_per_question, eval_report, eval_by_split, eval_by_set, smoke_sample, smoke_test,
-        extract_citations, verify_citations, source_window, answer_metrics,
+        extract_citations, cited_files, token_totals, jsonl_round_trip, rerank_pool, verify_citations, source_window, answer_metrics,
     ]
     return {f.__name__: f for f in fns} | {"facets": facet_clusters}
 

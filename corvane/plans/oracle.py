@@ -318,6 +318,11 @@ def oracle_sql() -> dict[str, str]:
         "hit_payload": _with([C, Q, *INDEX, *HASHED, QUESTIONS, *_candidates("a", 60, "bm25")], f"""SELECT query_id, rank::INT pos, location, kind, name, round_even(score,4) score, sources,
  '--- '||location||'  ['||kind||'] '||name||chr(10)||array_to_string(list_transform({_lines("coalesce(text,'')")}, lambda x, i: lpad((coalesce(start_line,1)+i-1)::VARCHAR, greatest(5,length((coalesce(start_line,1)+i-1)::VARCHAR))::INT, ' ')||' | '||x), chr(10)) block
  FROM a_ranked JOIN c USING (ord) WHERE rank<=3"""),
+        "rerank_pool": _with([C, Q, *INDEX, *HASHED, QUESTIONS, *_candidates("a", 20, "bm25")], """SELECT query_id, ord, -length(coalesce(context,'')||chr(10)||chr(10)||coalesce(text,''))::DOUBLE score, sources||',rerank' sources,
+ row_number() OVER (PARTITION BY query_id ORDER BY length(coalesce(context,'')||chr(10)||chr(10)||coalesce(text,'')), rank)::INT rank FROM a_ranked JOIN c USING (ord)"""),
+        "cited_files": _with(CITED, "SELECT answer_id doc_id, string_agg(DISTINCT regexp_replace(citation,':[^:]*$',''), ',' ORDER BY regexp_replace(citation,':[^:]*$','')) files FROM cited GROUP BY answer_id"),
+        "jsonl_round_trip": _with([C], "SELECT kind, count(*) chunks, sum(length(text))::BIGINT chars, count(signature) signatures, count(DISTINCT text) texts, sum(end_line)::BIGINT end_lines FROM c GROUP BY kind"),
+        "token_totals": f"SELECT field, sum(n)::BIGINT tokens FROM (SELECT unnest(['characters','lines']) field, unnest([length(text), len({_lines('text')})]) n FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)) GROUP BY field",
         "narrow_query": _with([Q], f"SELECT id, {NARROW} narrowed FROM q"),
         "facets": _with([C, Q, *INDEX, *HASHED, QUESTIONS, *_candidates("a", 300), *_facets("a")],
             "SELECT query_id, directory, chunks, best_rank::INT best_rank, array_to_string(list_slice(symbols,1,3),',') symbols, array_to_string(list_slice(children,1,3),',') children, len(children)::INT children_total, facet_rank::INT facet_rank, directory||' · '||chunks||' parça'||CASE WHEN len(children)>0 THEN ' — '||array_to_string(list_slice(children,1,3),', ')||CASE WHEN len(children)>3 THEN ' +'||(len(children)-3) ELSE '' END WHEN len(symbols)>0 THEN ' — '||array_to_string(list_slice(symbols,1,3),', ') ELSE '' END AS label FROM a_facets"),

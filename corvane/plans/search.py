@@ -90,21 +90,21 @@ class Index:
             chunk_weight(F.col("kind"), F.col("text")).alias("weight"),
             ((F.col("kind") == "module") & is_reexport(F.coalesce("text", F.lit("")))).alias("shim"),
         )
-        return stage(meta, "docs")
+        return stage(meta, "docs", keep=True)
 
     @cached_property
     def postings(self) -> DataFrame:
-        return stage(bm25.postings(self.tokens), "postings")
+        return stage(bm25.postings(self.tokens), "postings", keep=True)
 
     @cached_property
     def idf(self) -> DataFrame:
         """``scope term idf`` with the default constants."""
-        return stage(bm25.idf(self.postings, self.lengths(), bm25.BM25()), "idf")
+        return stage(bm25.idf(self.postings, self.lengths(), bm25.BM25()), "idf", keep=True)
 
     @cached_property
     def dense(self) -> DataFrame:
         """``ord scope vec`` of stored vectors; refuses an index that isn't embedded whole."""
-        rows = stage(vector.stored(self.chunks, self.stored, self.provider), "dense")
+        rows = stage(vector.stored(self.chunks, self.stored, self.provider), "dense", keep=True)
         missing = rows.filter("vec is null").agg(F.count_distinct("content_hash"), F.count("*")).first()
         if missing[1]:
             raise MissingVectors(f"{missing[1]} chunks ({missing[0]} contents) have no vector of {self.provider}")
@@ -116,7 +116,7 @@ class Index:
         text = F.concat_ws("\n\n", F.coalesce("context", F.lit("")), F.coalesce("text", F.lit("")))
         t = self.chunks.select(F.col("project_id").alias("scope"), "ord", bm25.tokenize(text).alias("t")).repartition("scope", "ord")
         rows = t.select("scope", "ord", F.explode("t").alias("term"), F.lit(1).alias("tf"))
-        return stage(vector.hashed(rows, ["scope", "ord"], self.provider), "hashed")
+        return stage(vector.hashed(rows, ["scope", "ord"], self.provider), "hashed", keep=True)
 
     def lengths(self) -> DataFrame:
         return self.docs.select(F.col("project_id").alias("scope"), "ord", "dl")
@@ -159,7 +159,7 @@ class Index:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return stage(expand.import_edges(self.chunks), "edges")
+        return stage(expand.import_edges(self.chunks), "edges", keep=True)
 
 
 def candidates(queries: DataFrame, index: Index, config: SearchConfig) -> DataFrame:

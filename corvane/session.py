@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 _CHECKPOINT = "spark.checkpoint.dir"
 _own_root: list[str] = []
 _shipped: set[str] = set()
+_scratch: dict[str, list[str]] = {}
 _forget: list[Callable[[SparkSession], None]] = []
 
 
@@ -76,14 +77,36 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader over the files."""
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a reader over the files.
+
+    What isn't to ``keep`` belongs to one query and goes with the next ``sweep``.
+    """
     spark = df.sparkSession
-    path = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}" if keep else scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that goes with the next ``sweep``."""
+    path = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the intermediates of all queries so far, whose results must have been read; indexes stay. Gives their bytes."""
+    freed = 0
+    for name in _scratch.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            freed += fs.getContentSummary(path).getLength()
+            fs.delete(path, True)
+    return freed
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers, once per application.
 
