@@ -18,13 +18,13 @@ POOL, MIN_CHUNKS, COVERAGE, LIMIT, SAMPLE = 300, 3, 0.25, 5, 3
 
 def facets(pool: DataFrame, chunks: DataFrame, limit: int = LIMIT, coverage: float = COVERAGE, min_chunks: int = MIN_CHUNKS) -> DataFrame:
     """``query_id directory chunks best_rank symbols children facet_rank`` of a candidate pool (``query_id ord rank``)."""
-    rows = pool.join(chunks.select("ord", "location", "name"), "ord").select(
-        "query_id", "ord", "rank", "name", facet_directory(F.col("location")).alias("dir")
-    )
-    rows = stage(rows, "pool-rows")  # read three times below
-    total = rows.groupBy("query_id").agg(F.count("*").alias("total"))
-    up = rows.select("query_id", "ord", "rank", "name", "dir", F.explode(ancestors(F.col("dir"))).alias("node"))
-    under = up.groupBy("query_id", "node").agg(F.count("*").alias("under"), F.min("rank").alias("best_rank"))
+    rows = pool.join(chunks.select("ord", "location", "name"), "ord").select("query_id", "rank", "name", facet_directory(F.col("location")).alias("dir"))
+    # a pool has far fewer directories than chunks, and what follows is about directories
+    dirs = rows.groupBy("query_id", "dir").agg(F.count("*").alias("n"), F.min("rank").alias("best"), F.collect_list(F.struct("rank", "name")).alias("items"))
+    dirs = stage(dirs, "pool-directories")  # read four times below
+    total = dirs.groupBy("query_id").agg(F.sum("n").alias("total"))
+    up = dirs.select("query_id", "n", "best", "dir", F.explode(ancestors(F.col("dir"))).alias("node"))
+    under = up.groupBy("query_id", "node").agg(F.sum("n").alias("under"), F.min("best").alias("best_rank"))
     parents = under.select("query_id", F.col("node").alias("parent"), F.col("under").alias("parent_under"))
     selected = (
         under.withColumn("parent", directory(F.col("node")))
@@ -34,13 +34,14 @@ def facets(pool: DataFrame, chunks: DataFrame, limit: int = LIMIT, coverage: flo
         .select("query_id", "node", "best_rank")
     )
     selected = stage(selected, "facet-nodes")
-    # every chunk goes to its deepest selected directory
-    own = up.join(selected, ["query_id", "node"]).groupBy("query_id", "ord", "rank", "name", "dir").agg(F.max_by("node", F.length("node")).alias("node"))
+    # every directory goes to its deepest selected ancestor; of those, the deepest has most characters
+    depth = up.select("query_id", "dir", "node").join(selected.select("query_id", "node"), ["query_id", "node"]).groupBy("query_id", "dir").agg(F.max(F.length("node")).alias("depth"))
+    own = dirs.join(depth, ["query_id", "dir"]).withColumn("node", F.expr("left(dir, depth)"))
     below = F.when(F.col("dir") != F.col("node"), F.split_part(F.expr("substring(dir, length(node) + 2)"), F.lit("/"), F.lit(1)))
     grouped = own.groupBy("query_id", "node").agg(
-        F.count("*").alias("chunks"),
+        F.sum("n").alias("chunks"),
         F.array_sort(F.collect_set(below)).alias("children"),
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"])).alias("symbols"),
+        F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_list("items"))), lambda x: x["name"])).alias("symbols"),
     )
     out = grouped.filter(F.col("chunks") >= min_chunks).join(selected, ["query_id", "node"])
     w = Window.partitionBy("query_id").orderBy(F.desc("chunks"), "best_rank", "node")
