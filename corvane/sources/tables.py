@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -96,20 +97,31 @@ class VersionedTable:
         done = self._states()
         return self.spark.read.schema(self.columns).parquet(f"{self.path}/{done[-1]}") if done else self.spark.createDataFrame([], self.columns)
 
+    def _create(self, path: str) -> None:
+        """Creates a file that must not be there yet."""
+        at = self._at(path)
+        self.fs.mkdirs(at.getParent())
+        if self.fs.getScheme() == "file":  # Hadoop's local file system looks first and creates then
+            os.close(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        else:
+            self.fs.create(at, False).close()
+
     def _claim(self, wait: float, poll: float = 0.2) -> tuple[int, str]:
         """The number of the next state and its claim, once no other writer holds it."""
-        until = time.monotonic() + wait
+        until, failures = time.monotonic() + wait, 0
         while True:
             done = self._states()
             number = int(done[-1].removeprefix("state-")) + 1 if done else 0
             claim = f"{self.path}/claim-{number:08d}"
             try:
-                self.fs.create(self._at(claim), False).close()
+                self._create(claim)
                 if len(self._states()) == len(done):
                     return number, claim
                 self.fs.delete(self._at(claim), False)
             except Exception as e:
-                if not self.fs.exists(self._at(claim)):
+                # a claim that is gone by now was another writer's; one that never comes about is an error
+                failures = 0 if self.fs.exists(self._at(claim)) else failures + 1
+                if failures > 20:
                     raise
                 if time.monotonic() > until:
                     raise TimeoutError(f"another writer holds {claim}; remove the file if none is at work") from e
