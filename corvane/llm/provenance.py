@@ -350,7 +350,7 @@ def classify_files(
     # documents are foreign in vendored places too, other patterns are about code
     every = files.filter(~F.col("own")).select("project_id", "path", "code", F.explode(keys).alias("key"))
     patterns = score.filter(mined | listed).select("key").unionAll(every.filter(F.col("key").isin(vendored)).select("key")).distinct()
-    by_pattern = every.join(patterns, "key").filter(F.col("code") | F.col("key").isin(vendored))
+    by_pattern = every.hint("merge").join(patterns, "key").filter(F.col("code") | F.col("key").isin(vendored))
     by_pattern = by_pattern.select("project_id", "path").distinct().withColumn("pattern", F.lit(True))
 
     out = files.join(by_pattern.hint("merge"), ["project_id", "path"], "left")
