@@ -225,7 +225,7 @@ def declared(attributes: DataFrame, files: DataFrame) -> DataFrame:
     rules = attributes.groupBy("project_id", F.regexp_replace("path", r"/?[^/]*$", "").alias("directory")).agg(text.alias("text"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    met = files.select("project_id", "path", F.explode(above).alias("directory")).join(rules, ["project_id", "directory"])
+    met = files.select("project_id", "path", F.explode(above).alias("directory")).hint("merge").join(rules, ["project_id", "directory"])
     said = met.select("project_id", "path", "directory", "text").mapInArrow(_resolve, DECLARED)
     last = said.groupBy("project_id", "path").agg(
         *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c) for c in ("generated", "vendored"))
