@@ -99,7 +99,7 @@ class VersionedTable:
 
     def _create(self, path: str) -> None:
         """Creates a file that must not be there yet."""
-        at = self._at(path)
+        at = self.fs.makeQualified(self._at(path))
         self.fs.mkdirs(at.getParent())
         if self.fs.getScheme() == "file":  # Hadoop's local file system looks first and creates then
             os.close(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))

@@ -215,9 +215,9 @@ def test_command_line(spark, tree, tmp_path, capsys, monkeypatch):
     monkeypatch.chdir(tmp_path)
     idx = f"{tmp_path}/i"
     assert cli.main(["index", tree, idx]) == 0 and "bad.py" in capsys.readouterr().out
-    cli.main(["embed", idx, "--provider", "stub"])
+    cli.main(["embed", idx, "--provider", "stub", "--vectors", f"{tmp_path}/v"])
     assert "4 vectors of stub" in capsys.readouterr().out
-    cli.main(["search", idx, "pay", "-k", "1", "--provider", "stub"])
+    cli.main(["search", idx, "pay", "-k", "1", "--provider", "stub", "--vectors", f"{tmp_path}/v"])
     assert "pay" in capsys.readouterr().out
     cli.main(["search", idx, "charge", "--facets"])
     cli.main(["ask", idx, "plain", "--repo", tree, "--answerer", "x:y"])
