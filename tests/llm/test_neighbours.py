@@ -1,7 +1,11 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from corvane.llm import neighbours
 from corvane.llm.neighbours import CentroidGraph, balanced_kmeans, fit_centroids, nearest
+from corvane.llm.queries import p4_found
 
 SCHEMA = "provider string, content_hash string, vec array<float>, rep string, rank int"
 
@@ -109,3 +113,45 @@ def test_centroids_grow_with_the_vectors(spark):
         number, graph = fit_centroids(reps.filter(f"int(substr(rep, 2)) < {n}"), {"p": 16}, 12)["p"]
         assert number == 0 and least <= len(graph.c) <= most
     assert fit_centroids(reps.limit(0), {}, 12) == {}
+
+
+def pairs_at(n, d, cosine, seed):
+    rng = np.random.default_rng(seed)
+    a, u = rng.normal(size=(n, d)), rng.normal(size=(n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    u -= (u * a).sum(axis=1, keepdims=True) * a
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    return np.vstack([a, cosine * a + np.sqrt(1 - cosine**2) * u]).astype(np.float32)
+
+
+def test_pairs_near_the_floor_among_many_centroids(spark, tmp_path, monkeypatch):
+    n, d = 12_000, 64
+    x = pairs_at(n, d, 0.81, 7)
+    vec = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, d, dtype=np.int32)), pa.array(x.ravel()))
+    pq.write_table(pa.table({"provider": ["a"] * len(x), "content_hash": [f"{i:05d}" for i in range(len(x))], "vec": vec}), tmp_path / "vectors.parquet")
+    want = {(f"{i:05d}", f"{i + n:05d}") for i in range(n)}
+    whole = {(r.hash_a, r.hash_b) for r in p4_found(spark, str(tmp_path)).collect()}
+    assert whole <= want and len(whole) >= 0.999 * n
+    # the same in several rounds and with lists that are cut
+    monkeypatch.setattr(neighbours, "ROUND", 50_000)
+    some = nearest(spark.read.parquet(str(tmp_path / "vectors.parquet")), min_cosine=0.8, block=1_500)
+    assert len({(r.content_hash, r.neighbour) for r in some.collect()}) >= 2 * 0.999 * n
+
+
+@pytest.mark.parametrize("floor", [0.8, 0.95, -1.0])
+def test_pairs_of_a_list_against_all_cosines(floor):
+    x = clustered(700, 24, 8)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.vstack([x, x[:300] + np.float32(1e-3)]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    i, j, _ = neighbours._compare(x, 5, floor)
+    assert set(zip(i.tolist(), j.tolist())) == {(min(p), max(p)) for p in brute(x, 5, floor)}
+    assert neighbours._above(x, 0.8, 10) is None
+
+
+def test_walk_finds_nearest_centroids():
+    x = pairs_at(2000, 32, 0.9, 9)
+    graph = CentroidGraph(x[:2000])
+    walked, all_ = graph.search(x[2000:2300], 8, exact=0)[0], graph.search(x[2000:2300], 8)[0]
+    assert (all_ == np.argsort(-(x[2000:2300] @ graph.c.T), axis=1)[:, :8]).all()
+    assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(walked, all_)]) > 0.9
