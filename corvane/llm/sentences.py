@@ -12,8 +12,7 @@ scored jointly by
   span in which it opens, and a pair may end a span of its own only if it opens it.
 
 Classes of words and marks carry set scores; the words themselves, and the lengths, carry scores
-fitted on a bounded sample of texts that labels itself: what begins or ends a block begins or ends
-a sentence, a full stop before a lower-case word seldom does, a word behind another one opens
+fitted on all texts, which label themselves: what begins or ends a block begins or ends a sentence, a full stop before a lower-case word seldom does, a word behind another one opens
 nothing, and a block with a single closing mark is one sentence.
 
 Up to ``TAIL`` words every length has its own score, beyond it falls off in a line. So each end
@@ -26,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,8 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import stage
+
 SCHEMA = "doc_id bigint, start_pos int, end_pos int"
-SAMPLE = 4_000  #: texts the word and length scores are fitted on, about
+HELD = 200_000  #: counts a task holds before it hands them on
 LEAST = 5  #: observations from which on a word has a score of its own
 TAIL = 40  #: words from which on the length term is linear
 _SLOPE = 0.01
@@ -83,8 +84,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _IDENTIFIER = re.compile(r"[^\W\d]*_")
 _DOTTED = re.compile(r"(?:\w\.)+\w")
-_BEHIND_WORD = re.compile(r"(?<=[^\W\d_] )[^\W\d_]+")
-_STOP_GOES_ON = re.compile(r"(\S+)\. (?=[a-zà-ÿğışçöü])")
+_BEHIND_WORD = re.compile(r" (?<=[^\W\d_] )([^\W\d_]+)")
+_STOP_GOES_ON = re.compile(r"\. (?=[a-zà-ÿğışçöü])")
 _GERMAN = re.compile(r"[äöüß]|\b(?:und|der|die|wird|nicht)\b")
 _OPENING = "\"'“„«‹([{¿¡`*_‘（「『"
 _CJK_END = set("。！？｡")
@@ -141,7 +142,7 @@ class Model:
 
 
 def fitted(counts: list[tuple[str, str, int, int]]) -> Model:
-    """Model from rows (what, word or length, times seen as a sentence's end or start, times seen otherwise)."""
+    """Model from rows (what, word or length, times seen as a sentence's end or start, times seen otherwise); no word: rare ones together."""
     close, opening = {}, {}
     starts = sum(p for kind, _, p, _ in counts if kind == "open") or 1
     others = sum(n for kind, _, _, n in counts if kind == "open") or 1
@@ -149,7 +150,7 @@ def fitted(counts: list[tuple[str, str, int, int]]) -> Model:
     for kind, key, p, n in counts:
         if kind == "length":
             lengths[int(key)] += p
-        elif p + n >= LEAST:
+        elif key is not None and p + n >= LEAST:
             if kind == "close":
                 close[key] = max(-3.0, min(0.7, 0.7 * math.log((p + 1) / (n + 1))))
             else:
@@ -166,30 +167,31 @@ def fitted(counts: list[tuple[str, str, int, int]]) -> Model:
     return Model(close, opening, length)
 
 
-def observe(text: str, into: dict[tuple[str, str], list[int]]) -> None:
-    """Adds what the blocks of a text tell about words and lengths."""
-
-    def see(kind: str, key: str, which: int) -> None:
-        into.setdefault((kind, key), [0, 0])[which] += 1
-
+def observe(text: str, into: dict[tuple[str, int], Counter[str]]) -> None:
+    """Adds what the blocks of a text tell about words and lengths; ``into``: counts by kind and 0 (as a sentence's end or start) or 1."""
     for heading, s, e in blocks(text):
         if heading:
             continue
         seg = text[s:e]
         first = _LETTERS.match(seg)
         if first:
-            see("open", first.group(), 0)
-        for w in _BEHIND_WORD.findall(seg):
-            see("open", w, 1)
+            into["open", 0][first.group()] += 1
+        into["open", 1].update(_BEHIND_WORD.findall(seg))
         for m in _STOP_GOES_ON.finditer(seg):
-            see("close", m.group(1).lstrip(_OPENING).lower(), 1)
+            begin = at = m.start()
+            while begin and not seg[begin - 1].isspace():
+                begin -= 1
+            if begin < at:
+                into["close", 1][seg[begin:at].lstrip(_OPENING).lower()] += 1
         if seg.endswith("."):
             last = seg[:-1].rsplit(None, 1)
             if last:
-                see("close", last[-1].lstrip(_OPENING).lower(), 0)
-        marks = list(_CAND.finditer(seg))
-        if len(marks) == 1 and marks[0].end() == len(seg) and seg.isascii():
-            see("length", str(min(len(seg.split()), TAIL)), 0)
+                into["close", 0][last[-1].lstrip(_OPENING).lower()] += 1
+        if seg.isascii():
+            marks = _CAND.finditer(seg)
+            only = next(marks, None)
+            if only and only.end() == len(seg) and not next(marks, None):
+                into["length", 0][str(min(len(seg.split()), TAIL))] += 1
 
 
 def _opening(seg: str, at: int, model: Model) -> float:
@@ -455,27 +457,34 @@ def sentences(text: str | None, model: Model = _PLAIN) -> list[tuple[int, int]]:
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[tuple[str, str], list[int]] = {}
+    seen: dict[tuple[str, int], Counter[str]] = defaultdict(Counter)
+
+    def counts() -> pa.RecordBatch:
+        rows = [(kind, key, n * (1 - which), n * which) for (kind, which), words in seen.items() for key, n in words.items()]
+        cols = zip(*rows) if rows else [[]] * 4
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "key", "p", "n"])
+
     for b in batches:
         for t in b.column(0).to_pylist():
             observe(t, seen)
-    rows = [(kind, key, p, n) for (kind, key), (p, n) in seen.items()]
-    cols = zip(*rows) if rows else [[]] * 4
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "key", "p", "n"])
+            if sum(map(len, seen.values())) > HELD:
+                yield counts()
+                seen.clear()
+    yield counts()
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model fitted on about ``sample`` of the texts, chosen by a hash of the text."""
+def fit(docs: DataFrame) -> Model:
+    """Model fitted on all texts."""
     texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
-    total = docs.count()
-    share = 1_000_000 if total <= sample else max(1, 1_000_000 * sample // total)
-    chosen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
-    counts = chosen.mapInArrow(_observed, "kind string, key string, p bigint, n bigint").groupBy("kind", "key").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return fitted([tuple(r) for r in counts.filter(f"kind = 'length' or p + n >= {LEAST}").collect()])
+    counts = texts.mapInArrow(_observed, "kind string, key string, p bigint, n bigint").groupBy("kind", "key").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    # what opened or didn't open a sentence is counted over all words, also those too rare for a score of their own
+    kept = F.when((F.col("kind") == "length") | (F.col("p") + F.col("n") >= LEAST), F.col("key"))  # else null
+    return fitted([tuple(r) for r in counts.groupBy("kind", kept.alias("key")).agg(F.sum("p"), F.sum("n")).collect()])
 
 
-def _run(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    model = shared.value
     for b in batches:
         ids, starts, ends = [], [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -488,14 +497,15 @@ def _run(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordB
         )
 
 
-def split_sentences(docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
+def split_sentences(docs: DataFrame) -> DataFrame:
     """One row per sentence: ``doc_id start_pos end_pos``, in code points, end exclusive.
 
     Needs ``doc_id`` and ``text``; further columns are ignored. Null, empty and blank texts have
     no sentences; a null ``doc_id`` is kept as such; repeated rows give each sentence once;
     equal texts under several ids are each split; an empty table gives no rows. Word and length
-    scores are fitted on about ``sample`` of the texts.
+    scores are fitted on all texts, each row once.
     """
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = fit(src, sample)
-    return src.filter(F.length("text") > 0).distinct().mapInArrow(partial(_run, model=model), SCHEMA)
+    src = stage(src.filter(F.length("text") > 0).distinct(), "texts")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(src))
+    return src.mapInArrow(partial(_run, shared=shared), SCHEMA)

@@ -1,11 +1,15 @@
+import math
 import random
 import time
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
+from corvane.llm import sentences as module
 from corvane.llm.packing import RoomTree, encoding, pack, pieces, plan
 from corvane.llm.segments import boundaries, natural_boundaries, split, split_oversized
-from corvane.llm.sentences import fit, fitted, sentences, split_sentences
+from corvane.llm.sentences import fit, fitted, observe, sentences, split_sentences
 
 
 def cut(text):
@@ -189,3 +193,36 @@ def test_linear_in_odd_texts(text):
     begin = time.perf_counter()
     sentences(text)
     assert time.perf_counter() - begin < 4
+
+
+def test_every_text_counts(spark):
+    # six of 9,000 texts tell that a full stop behind this word ends nothing
+    rows = [(i, f"Nothing of note is in entry {i} here.") for i in range(9_000)] + [(10_000 + i, f"It took zirkap. about {i} seconds.") for i in range(6)]
+    rows.append((20_000, "It took zirkap. Five seconds later it ended."))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = fit(docs)
+    assert model.close["zirkap"] == pytest.approx(0.7 * math.log(1 / 7))
+    whole = split_sentences(docs).collect()
+    assert len(whole) == 9_007 + (len(sentences(rows[-1][1], model)) - 1)
+    assert sorted(split_sentences(docs.unionAll(docs)).collect()) == sorted(whole)
+
+
+def test_observing_is_linear_and_handed_on_in_parts(spark, monkeypatch):
+    begin = time.perf_counter()
+    for text in ("x" * 200_000, "a. " * 70_000, "a." * 100_000 + " b", "word " * 40_000):
+        observe(text, defaultdict(Counter))
+    assert time.perf_counter() - begin < 4
+    text = "One aproxi. two here.\n\nThe end of it. Then more"
+    batch = pa.RecordBatch.from_arrays([pa.array([text, text, text])], names=["text"])
+
+    def total():
+        counts = Counter()
+        for b in module._observed(iter([batch])):
+            for r in b.to_pylist():
+                counts[r["kind"], r["key"], "p"] += r["p"]
+                counts[r["kind"], r["key"], "n"] += r["n"]
+        return counts
+
+    whole = total()
+    monkeypatch.setattr(module, "HELD", 3)
+    assert total() == whole and whole["close", "aproxi", "n"] == 3
