@@ -39,6 +39,7 @@ SCHEMA = "doc_id bigint, start_pos int, end_pos int"
 HELD = 200_000  #: counts a task holds before it hands them on
 LEAST = 5  #: observations from which on a word has a score of its own
 TAIL = 40  #: words from which on the length term is linear
+MET = 20_000  #: words of up to 32 characters whose scores a model keeps, closing and opening ones each
 _SLOPE = 0.01
 _OUT = -1e18
 
@@ -50,6 +51,8 @@ _NEVER = set(
     env ex éd chap m mme mlle mm p.ex av apr réf bkz örn ör yakl doç yrd av sn böl şek çev haz bkn krş yy e.g i.e c.f
     d v vv s t.c ш г ул стр рис см""".split()
 )
+# Those that are units behind a number.
+_UNITS = set("s m d p v".split())
 # Abbreviations that may also end a sentence.
 _MAYBE = set("etc inc ltd co corp usw vs vb vd jr sr al a.m p.m am pm gmbh a.ş s.a v.b a.g u.s u.k e.v ff sq usf s.l".split())
 # Month names, which turn a number with a full stop into a date.
@@ -65,9 +68,11 @@ _DETERMINERS = set(
 )
 _GOES_ON = set("and or but nor und oder aber sondern ve veya ama y o pero et ou mais".split())
 
+# all cases begin with one class, which a search finds quickly; a look back then tells them apart
 _CAND = re.compile(
-    r"(?:[.!?…؟۔।॥]+|[。！？｡]+[.!?…。！？｡]*)[\"'”’“»«)\]」』）】›]*(?=\s|$)"
-    r"|(?:[。！？｡]+|[!?]+(?=[\"”’」』）】]*[぀-ヿ㐀-鿿]))[\"”’」』）】]*"
+    r"[.!?…؟۔।॥。！？｡](?:"
+    r"(?:(?<=[.!?…؟۔।॥])[.!?…؟۔।॥]*|(?<=[。！？｡])[。！？｡]*[.!?…。！？｡]*)[\"'”’“»«)\]」』）】›]*(?=\s|$)"
+    r"|(?:(?<=[。！？｡])[。！？｡]*|(?<=[!?])[!?]*(?=[\"”’」』）】]*[぀-ヿ㐀-鿿]))[\"”’」』）】]*)"
 )
 _PAIRS = re.compile(r"[\"“”„«»「」『』()（）\[\]【】`]")
 _CLOSES = {"”": "“„", "」": "「", "』": "『", ")": "(", "）": "（", "]": "[", "】": "【"}
@@ -82,7 +87,6 @@ _WORDY = re.compile(r"\w")
 _SOLID = re.compile(r"\S")
 _LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_IDENTIFIER = re.compile(r"[^\W\d]*_")
 _DOTTED = re.compile(r"(?:\w\.)+\w")
 _BEHIND_WORD = re.compile(r" (?<=[^\W\d_] )([^\W\d_]+)")
 _STOP_GOES_ON = re.compile(r"\. (?=[a-zà-ÿğışçöü])")
@@ -96,30 +100,35 @@ def _regions(seg: str) -> tuple[list[int], list[int], list[str]]:
     stack: list[tuple[str, int]] = []
     places: dict[str, list[int]] = {}  # of each opening character, its places in the stack
     found: list[tuple[int, int, str]] = []
-    tick = -1
-    for m in _PAIRS.finditer(seg):
+    m = _PAIRS.search(seg)
+    while m:
         c, i = m.group(), m.start()
-        if tick >= 0:
-            if c == "`":
-                found.append((tick, i + 1, "`"))
-                tick = -1
-            continue
+        behind = i + 1
         if c == "`":
-            if seg.find("`", i + 1) >= 0:
-                tick = i
-            continue
-        want = _CLOSES.get(c, "")
-        close = max((o for o in want or _EITHER.get(c, "") if places.get(o)), key=lambda o: places[o][-1], default="")
-        if close:
-            while stack:
-                o, s = stack.pop()
-                places[o].pop()
-                if o == close:
-                    found.append((s, i + 1, o))
-                    break
-        elif not want:
-            places.setdefault(c, []).append(len(stack))
-            stack.append((c, i))
+            tick = seg.find("`", behind)
+            if tick >= 0:
+                behind = tick + 1
+                found.append((i, behind, "`"))
+        else:
+            want = _CLOSES.get(c, "")
+            close = ""
+            if stack:
+                fits = want or _EITHER.get(c, "")
+                if stack[-1][0] in fits:
+                    close = stack[-1][0]
+                else:
+                    close = max((o for o in fits if places.get(o)), key=lambda o: places[o][-1], default="")
+            if close:
+                while stack:
+                    o, s = stack.pop()
+                    places[o].pop()
+                    if o == close:
+                        found.append((s, behind, o))
+                        break
+            elif not want:
+                places.setdefault(c, []).append(len(stack))
+                stack.append((c, i))
+        m = _PAIRS.search(seg, behind)
     if not found:
         return [], [], []
     found.sort(key=lambda r: (r[0], -r[1]))
@@ -139,6 +148,10 @@ class Model:
         self.close = close or {}
         self.opening = opening or {}
         self.length = length or [0.0, -1.0, -0.25] + [0.0] * (TAIL - 3)
+        self.most = max(self.length)
+        # words met so far with what ``_closing_word`` and ``_opening_word`` give
+        self.closes: dict[str, float | None] = {}
+        self.opens: dict[str, float] = {}
 
 
 def fitted(counts: list[tuple[str, str, int, int]]) -> Model:
@@ -169,104 +182,152 @@ def fitted(counts: list[tuple[str, str, int, int]]) -> Model:
 
 def observe(text: str, into: dict[tuple[str, int], Counter[str]]) -> None:
     """Adds what the blocks of a text tell about words and lengths; ``into``: counts by kind and 0 (as a sentence's end or start) or 1."""
+    starts, behind = [], []
+    close = into["close", 1]
     for heading, s, e in blocks(text):
         if heading:
             continue
         seg = text[s:e]
         first = _LETTERS.match(seg)
         if first:
-            into["open", 0][first.group()] += 1
-        into["open", 1].update(_BEHIND_WORD.findall(seg))
+            starts.append(first.group())
+        behind += _BEHIND_WORD.findall(seg)
+        if len(behind) > 1000:
+            into["open", 1].update(behind)
+            behind.clear()
         for m in _STOP_GOES_ON.finditer(seg):
-            begin = at = m.start()
-            while begin and not seg[begin - 1].isspace():
-                begin -= 1
-            if begin < at:
-                into["close", 1][seg[begin:at].lstrip(_OPENING).lower()] += 1
+            at = m.start()
+            if at and not seg[at - 1].isspace():
+                close[_last_word(seg, at)[0].lstrip(_OPENING).lower()] += 1
         if seg.endswith("."):
             last = seg[:-1].rsplit(None, 1)
             if last:
                 into["close", 0][last[-1].lstrip(_OPENING).lower()] += 1
         if seg.isascii():
-            marks = _CAND.finditer(seg)
-            only = next(marks, None)
-            if only and only.end() == len(seg) and not next(marks, None):
+            only = _CAND.search(seg)
+            if only and only.end() == len(seg):
                 into["length", 0][str(min(len(seg.split()), TAIL))] += 1
+    into["open", 0].update(starts)
+    into["open", 1].update(behind)
 
 
-def _opening(seg: str, at: int, model: Model) -> float:
-    """Score of a span that opens at ``at``, which is no white space."""
-    nxt = seg[at]
-    core = at
-    while core < len(seg) and seg[core] in _OPENING:
-        core += 1
-    c = seg[core] if core < len(seg) else nxt
-    m = _LETTERS.match(seg, core)
-    word = m.group() if m else ""
+def _last_word(seg: str, at: int) -> tuple[str, str]:
+    """What stands before ``at`` without white space (nothing, if white space does), and the character before that and its white space."""
+    if not at or seg[at - 1].isspace():
+        begin, word = at, ""
+    else:
+        near = seg[max(0, at - 32) : at].rsplit(None, 1)
+        if len(near) == 2:
+            return near[1], near[0][-1]
+        begin = at
+        while begin and not seg[begin - 1].isspace():
+            begin -= 1
+        word = seg[begin:at]
+    while begin and seg[begin - 1].isspace():
+        begin -= 1
+    return word, seg[begin - 1 : begin]
+
+
+def _opening_word(word: str, model: Model) -> float:
+    """Score of opening with ``word``, which is no identifier's beginning."""
+    c = word[0]
     known = model.opening.get(word, 0.0)
     if c.islower():
-        if _IDENTIFIER.match(seg, core) or nxt in _OPENING:
-            return 1.0  # an identifier, or what stands in quotation marks, keeps its case
         if word in _DETERMINERS:
             return -0.2
         if word in _GOES_ON:
             return -2.2
         return -1.3 + min(known, 0.4)
-    if c.isdigit():
-        return -1.0 if nxt == c else 1.0
-    if not c.isalnum():
-        return -1.0 if nxt not in _OPENING else 1.0
     if word.lower() in _MONTHS:
         return -1.5
     return 1.0 + known
 
 
-def _closing(seg: str, at: int, end: int, closed: str, german, model: Model) -> float:
-    """Score of a span that closes with the marks ``seg[at:end]``; ``closed`` opened the pair that ends there."""
-    mark = seg[at]
-    if mark in _CJK_END:
-        return -6.0 if closed and closed != "`" else 4.0
-    if closed and closed != "`":
-        return 0.5
-    if mark in "।॥۔":
-        return 4.0
-    marks = seg[at:end]
-    if "!" in marks or "?" in marks or "؟" in marks:
-        return 3.0
-    if mark == "…" or marks.startswith(".."):
-        return 0.7
-    begin = at
-    while begin and not seg[begin - 1].isspace():
-        begin -= 1
-    word = seg[begin:at].lstrip(_OPENING)
+def _opening(seg: str, at: int, model: Model) -> float:
+    """Score of a span that opens at ``at``, which is no white space."""
+    core = at
+    while core < len(seg) and seg[core] in _OPENING:
+        core += 1
+    c = seg[core] if core < len(seg) else seg[at]
+    if c.isdigit():
+        return -1.0 if core == at else 1.0
+    if not c.isalnum() and not c.islower():
+        return -1.0 if core == at else 1.0
+    m = _LETTERS.match(seg, core)
+    word = m.group() if m else c
+    if c.islower() and (core > at or m and seg.startswith("_", m.end())):
+        return 1.0  # an identifier, or what stands in quotation marks, keeps its case
+    score = model.opens.get(word)
+    if score is None:
+        score = _opening_word(word, model)
+        _keep(model.opens, word, score)
+    return score
+
+
+def _keep(known: dict, word: str, score: float | None) -> None:
+    if len(word) <= 32:
+        if len(known) >= MET:
+            known.clear()
+        known[word] = score
+
+
+def _closing_word(word: str, model: Model) -> float | None:
+    """Score of closing with a full stop behind ``word``; None if what stands before the word decides."""
     if not word:
         return -4.0  # opening marks only
     low = word.lower()
-    number = begin - 1
-    while number >= 0 and seg[number].isspace():
-        number -= 1
-    behind_number = number >= 0 and seg[number].isdigit()
-    if low in _NEVER and not (behind_number and low in ("s", "m", "d", "p", "v", "g")):
-        return -7.0
+    if low in _NEVER:
+        return None if low in _UNITS else -7.0
     if low in _MAYBE:
         return 0.5
     if len(word) == 1 and word.isalpha():
-        return 2.0 if behind_number and word.islower() else -6.0
+        return None
     if _DOTTED.fullmatch(word) and not any(c.isdigit() for c in word):
         return -6.0
     if "ऀ" <= word[-1] <= "ॿ":
         return -6.0 if len(word) <= 3 else 1.0
     if word.isdigit() and len(word) <= 4:
-        if german():
-            stop = number + 1
-            while number >= 0 and not seg[number].isspace():
-                number -= 1
-            if seg[number + 1 : stop].lower() in _BEFORE_ORDINAL:
-                return -4.0
-        return 1.2
+        return None
     return 2.0 + model.close.get(low, 0.0)
 
 
+def _closing(seg: str, at: int, end: int, closed: str, german, model: Model) -> float:
+    """Score of a span that closes with the marks ``seg[at:end]``; ``closed`` opened the pair that ends there."""
+    mark = seg[at]
+    if mark in _CJK_END:
+        return -6.0 if closed and closed != "`" else 4.0
+    if closed and closed != "`":
+        return 0.5
+    marks = seg[at:end]
+    if marks != ".":
+        if mark in "।॥۔":
+            return 4.0
+        if "!" in marks or "?" in marks or "؟" in marks:
+            return 3.0
+        if mark == "…" or marks.startswith(".."):
+            return 0.7
+    raw, before = _last_word(seg, at)
+    score = model.closes.get(raw, _OUT)
+    if score == _OUT:
+        score = _closing_word(raw.lstrip(_OPENING), model)
+        _keep(model.closes, raw, score)
+    if score is not None:
+        return score
+    word = raw.lstrip(_OPENING)
+    behind_number = before.isdigit()
+    if len(word) == 1 and word.isalpha():
+        if word.lower() in _NEVER and not behind_number:
+            return -7.0
+        return 2.0 if behind_number and word.islower() else -6.0
+    if german():
+        stop = at - len(raw)
+        while stop and seg[stop - 1].isspace():
+            stop -= 1
+        if _last_word(seg, stop)[0].lower() in _BEFORE_ORDINAL:
+            return -4.0
+    return 1.2
+
+
 def _split(text: str, s: int, e: int, out: list[tuple[int, int]], german, model: Model) -> None:
     seg = text[s:e]
     # ends of spans, where the next one starts, scores of closing there and of opening behind it, the pair that ends there
@@ -274,7 +335,7 @@ def _split(text: str, s: int, e: int, out: list[tuple[int, int]], german, model:
     starts: list[int] = []
     ends: list[int] = []
     kinds: list[str] = []
-    thai = _THAI.search(seg) is not None and 2 * len(_THAI.findall(seg)) > sum(c.isalpha() for c in seg)
+    thai = not seg.isascii() and _THAI.search(seg) is not None and 2 * len(_THAI.findall(seg)) > sum(c.isalpha() for c in seg)
     if thai:
         starts, ends, kinds = _regions(seg)
         for m in _SPACES.finditer(seg):
@@ -285,21 +346,22 @@ def _split(text: str, s: int, e: int, out: list[tuple[int, int]], german, model:
                 opening.append(0.0)
                 pair.append(-1)
     else:
-        read = False
+        size = len(seg)
         for m in _CAND.finditer(seg):
             at, end = m.span()
-            nxt = _SOLID.search(seg, end)
-            if not nxt:
-                continue
-            if not read:
+            if end == size:  # a block ends with its last character that is no white space
+                break
+            nxt = end + 1 if seg[end].isspace() else end
+            if seg[nxt].isspace():
+                nxt = _SOLID.search(seg, nxt).start()
+            if len(cut) == 1:
                 starts, ends, kinds = _regions(seg)
-                read = True
-            k = bisect_right(starts, at) - 1
+            k = bisect_right(starts, at) - 1 if starts else -1
             inside = k >= 0 and at < ends[k] <= end
             cut.append(end)
-            then.append(nxt.start())
+            then.append(nxt)
             closing.append(_closing(seg, at, end, kinds[k] if inside else "", german, model))
-            opening.append(_opening(seg, nxt.start(), model) if seg[at] not in _CJK_END else 0.0)
+            opening.append(_opening(seg, nxt, model) if seg[at] not in _CJK_END else 0.0)
             pair.append(starts[k] if inside and kinds[k] in "([（【" else -1)
     if len(cut) == 1:
         if _WORDY.search(seg):
@@ -311,53 +373,61 @@ def _split(text: str, s: int, e: int, out: list[tuple[int, int]], german, model:
     opening.append(0.0)
     pair.append(-1)
     # pairs that are open at each end
-    loose = [bisect_right(starts, p - 1) - bisect_right(ends, p) for p in cut]
+    loose = [bisect_right(starts, p - 1) - bisect_right(ends, p) for p in cut] if starts else [0] * len(cut)
     count, letters = [0], [0]
-    for i in range(1, len(cut)):
-        piece = seg[cut[i - 1] : cut[i]]
+    words = lettered = 0
+    # best sums of spans up to each end, with the score of opening a span there, and the highest of them so far
+    length, most = model.length, model.most
+    sums, tops, back = [0.0], [0.0], [-1]
+    far, far_from, reached = _OUT, -1, 0  # the best start more than TAIL words before, with its length term
+    for j in range(1, len(cut)):
+        piece = seg[cut[j - 1] : cut[j]]
         n = len(piece.split())
         if n < 3 and len(piece) > 6 and not piece.isascii():
             n = 3  # scripts without spaces: characters stand for words
-        count.append(count[-1] + n)
-        letters.append(letters[-1] + (1 if _LETTER.search(piece) else 0))
-    best, back = [0.0], [-1]
-    far, far_from, reached = _OUT, -1, 0  # the best start more than TAIL words before, with its length term
-    for j in range(1, len(cut)):
-        while reached < j and count[j] - count[reached] >= TAIL:
-            v = best[reached] + _gain(reached, opening, loose) + _SLOPE * count[reached]
+        words += n
+        if _LETTER.search(piece):
+            lettered += 1
+        at = pair[j]
+        while reached < j and words - count[reached] >= TAIL:
+            v = sums[reached] + _SLOPE * count[reached]
             if v > far:
                 far, far_from = v, reached
             reached += 1
         value, arg = _OUT, 0
-        if far_from >= 0:
-            value, arg = far - _SLOPE * (count[j] - TAIL), far_from
-        for i in range(reached, j):
-            v = best[i] + _gain(i, opening, loose) + model.length[count[j] - count[i]]
-            if letters[j] == letters[i]:
+        # the later of equal starts; no start before i is better than the highest sum so far at the best length
+        for i in range(j - 1, reached - 1, -1):
+            if tops[i] + most <= value:
+                break
+            v = sums[i] + length[words - count[i]]
+            if letters[i] == lettered:
                 v -= 6.0
-            if pair[j] >= 0 and pair[j] != then[i]:
+            if at >= 0 and at != then[i]:
                 v -= 4.0  # the pair that ends the span didn't open it
-            if v >= value:
+            if v > value:
                 value, arg = v, i
-        if pair[j] >= 0 and arg < reached:
-            value -= 4.0
-        best.append(value + closing[j] - 8.0 * loose[j])
+        if far_from >= 0:
+            v = far - _SLOPE * (words - TAIL)
+            if v > value:
+                value, arg = v if at < 0 else v - 4.0, far_from
+        value = value + closing[j] - 8.0 * loose[j]
+        value += opening[j] - 8.0 * loose[j]
+        count.append(words)
+        letters.append(lettered)
+        sums.append(value)
+        tops.append(value if value > tops[-1] else tops[-1])
         back.append(arg)
-    spans = []
+    ways = []
     j = len(cut) - 1
     while j > 0:
-        spans.append((cut[back[j]], cut[j]))
+        ways.append((back[j], j))
         j = back[j]
-    for a, b in reversed(spans):
-        piece = seg[a:b]
-        if not _WORDY.search(piece):
+    for i, j in reversed(ways):
+        a, b = cut[i], cut[j]
+        if letters[i] == letters[j] and not _WORDY.search(seg, a, b):
             continue
-        out.append((s + a + len(piece) - len(piece.lstrip()), s + b - len(piece) + len(piece.rstrip())))
-
-
-def _gain(i: int, opening: list[float], loose: list[int]) -> float:
-    """Score of opening a span at end ``i``, within a pair or not."""
-    return opening[i] - 8.0 * loose[i]
+        # ends are no white space, nor is what ``then`` names
+        out.append((s + then[i] if i else s + len(seg) - len(seg.lstrip()), s + b))
 
 
 def blocks(text: str) -> Iterator[tuple[bool, int, int]]:

@@ -9,7 +9,7 @@ import pytest
 from corvane.llm import sentences as module
 from corvane.llm.packing import RoomTree, encoding, pack, pieces, plan
 from corvane.llm.segments import boundaries, natural_boundaries, split, split_oversized
-from corvane.llm.sentences import fit, fitted, observe, sentences, split_sentences
+from corvane.llm.sentences import Model, fit, fitted, observe, sentences, split_sentences
 
 
 def cut(text):
@@ -226,3 +226,50 @@ def test_observing_is_linear_and_handed_on_in_parts(spark, monkeypatch):
     whole = total()
     monkeypatch.setattr(module, "HELD", 3)
     assert total() == whole and whole["close", "aproxi", "n"] == 3
+
+
+def test_marks_are_searched_as_one_class():
+    text = "no mark is in here at all " * 20_000
+
+    def took(pattern):
+        times = []
+        for _ in range(5):
+            begin = time.process_time()
+            assert not pattern.search(text)
+            times.append(time.process_time() - begin)
+        return min(times)
+
+    assert took(module._CAND) < 4 * took(module._PAIRS)
+
+
+def test_few_starts_are_tried_and_none_is_missed():
+    class Counted(list):
+        asked = 0
+
+        def __getitem__(self, i):
+            self.asked += 1
+            return super().__getitem__(i)
+
+    length = Counted(Model().length)
+    assert len(sentences("Aa bb. Cc dd. " * 500, Model(length=length))) == 1000
+    assert length.asked < 5 * 1000
+    rnd = random.Random(9)
+    words = ["word ", "Word ", "end. ", "Dr. ", "(see it. ", "now.) ", '"Oh. ', 'so." ', "etc. ", "3. ", "x ", "Why? ", "... ", "„Ja. ", "- ", "。", "漢字"]
+    plain, whole = Model(), Model()
+    whole.most = math.inf  # every start is tried
+    for _ in range(300):
+        text = "".join(rnd.choices(words, k=rnd.choice([5, 30, 120])))
+        assert sentences(text, plain) == sentences(text, whole)
+
+
+def test_kept_scores_change_nothing(monkeypatch):
+    rnd = random.Random(10)
+    words = ["s. ", "5 s. ", "am 3. ", "Der 4. ", "und ", "Mai ", "Dr. ", "the ", "make_it ", "make ", "End. ", "M. ", "7 ", "x" * 40 + ". ", "X" * 40 + " ", '"so." ']
+    texts = ["".join(rnd.choices(words, k=60)) for _ in range(100)]
+    model = Model()
+    got = [sentences(t, model) for t in texts]
+    assert got == [sentences(t, Model()) for t in texts]
+    assert max(map(len, [*model.closes, *model.opens])) <= 32
+    monkeypatch.setattr(module, "MET", 3)
+    model = Model()
+    assert got == [sentences(t, model) for t in texts] and len(model.closes) <= 3 and len(model.opens) <= 3
