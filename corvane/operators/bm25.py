@@ -2,7 +2,7 @@
 
 A scope is a code base with its own statistics (here: a project). Terms are exploded once;
 document lengths, document frequencies and the mean idf are aggregates with map-side
-combining; a query meets only the postings of its own terms.
+combining; queries meet the chunks of their scope in blocks (``corvane.operators.blocks``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokenize
+from corvane.operators import blocks
 from corvane.session import stage
 
 
@@ -61,30 +62,29 @@ def idf(post: DataFrame, length: DataFrame, p: BM25) -> DataFrame:
     return df.join(mean, "scope").select("scope", "term", F.when(F.col("raw") < 0, p.epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def search(
-    queries: DataFrame,
-    tokens: DataFrame,
-    k: int,
-    p: BM25 | None = None,
-    post: DataFrame | None = None,
-    length: DataFrame | None = None,
-    weights: DataFrame | None = None,
-) -> DataFrame:
-    """``query_id ord score rank``: the best ``k`` with a positive score; ties go to the smaller ``ord``.
+def asked(queries: DataFrame, provider: str = "md5") -> DataFrame:
+    """``query_id scope key`` of queries (``query_id scope text``) with their counts; queries of one ``key`` have the same terms."""
+    t = queries.select("query_id", "scope", tokenize(F.col("text")).alias("tokens"))
+    t = t.select("query_id", "scope", F.array_join(F.sort_array("tokens"), " ").alias("key"), F.array().cast("array<string>").alias("also"), "tokens")
+    return stage(blocks.counted(t, provider), "asked")
 
-    ``post``, ``length`` and ``weights`` (see ``idf``) are the index tables made from ``tokens``, where they are there already.
-    """
-    p = p or BM25()
-    post = postings(tokens) if post is None else post
-    length = lengths(tokens) if length is None else length
+
+def weighted(asked: DataFrame, weights: DataFrame, length: DataFrame) -> DataFrame:
+    """``asked`` with the terms that occur in its scope, their ``weights``, and the scope's ``avgdl``."""
     mean = length.groupBy("scope").agg(F.avg("dl").alias("avgdl"))
-    wanted = query_terms(queries).join(idf(post, length, p) if weights is None else weights, ["scope", "term"]).join(mean, "scope")
-    # bounded by the batch of queries; written once, so its true size decides how it is joined
-    hit = post.join(stage(wanted, "query-terms"), ["scope", "term"])
-    tf = F.col("tf")
-    part = F.col("qtf") * F.col("idf") * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "ord").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
-    return top(scored, k)
+    once = asked.select("scope", "key", "terms", "tfs").dropDuplicates(["scope", "key"])
+    each = once.select("scope", "key", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("scope", "key", F.col("t.terms").alias("term"), F.col("t.tfs").alias("qtf"))
+    each = each.join(weights, ["scope", "term"]).groupBy("scope", "key").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w")))).alias("t"))
+    each = each.join(mean, "scope").select("scope", "key", F.col("t.term").alias("terms"), F.col("t.w").alias("weights"), "avgdl")
+    return stage(asked.drop("terms", "tfs").join(each, ["scope", "key"], "left"), "query-terms")
+
+
+def search(queries: DataFrame, tokens: DataFrame, k: int, p: BM25 | None = None) -> DataFrame:
+    """``query_id ord score rank``: the best ``k`` with a positive score; ties go to the smaller ``ord``."""
+    p = p or BM25()
+    c = tokens.select("scope", "ord", F.size("tokens").alias("dl"), F.lit(1.0).alias("weight"), F.array().cast("array<string>").alias("also"), "tokens")
+    q = weighted(asked(queries), idf(postings(tokens), lengths(tokens), p), lengths(tokens))
+    return blocks.ranked(q, blocks.counted(c), k, ("bm25",), (p.k1, p.b)).select("query_id", "ord", "score", "rank")
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

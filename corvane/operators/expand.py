@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import RELATIVE_IMPORT, directory, resolve_relative_import
@@ -22,6 +22,9 @@ _COLS = ["query_id", "scope", "ord", "path", "score", "stage", "at"]
 
 
 def with_paths(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A ranking with the ``scope`` and ``path`` of its chunks, where it doesn't carry them already."""
+    if {"scope", "path"} <= set(ranked.columns):
+        return ranked
     return ranked.join(chunks.select("ord", F.col("project_id").alias("scope"), "path"), "ord")
 
 
@@ -54,12 +57,20 @@ def sibling_files(ranked: DataFrame, selected: DataFrame, slots: int = DIRECTORY
     return new.select("query_id", "scope", "ord", "path", "score", F.lit(2).alias("stage"), F.col("slot").alias("at"))
 
 
-def import_edges(chunks: DataFrame) -> DataFrame:
-    """``scope importer target`` of relative imports between files that have a module chunk."""
-    modules = chunks.filter(F.col("kind") == "module")
-    found = F.arrays_zip(
+def relative_imports() -> Column:
+    """Dots and name of every relative import in a ``text``."""
+    return F.arrays_zip(
         F.regexp_extract_all("text", F.lit(RELATIVE_IMPORT), F.lit(1)).alias("dots"), F.regexp_extract_all("text", F.lit(RELATIVE_IMPORT), F.lit(2)).alias("name")
     )
+
+
+def import_edges(chunks: DataFrame) -> DataFrame:
+    """``scope importer target`` of relative imports between files that have a module chunk.
+
+    Chunks without their texts have a column ``imports`` instead.
+    """
+    modules = chunks.filter(F.col("kind") == "module")
+    found = F.col("imports") if "imports" in chunks.columns else relative_imports()
     raw = modules.select(F.col("project_id").alias("scope"), F.col("path").alias("importer"), F.explode(found).alias("i"))
     edges = raw.select("scope", "importer", resolve_relative_import(F.col("importer"), F.col("i.dots"), F.col("i.name")).alias("target"))
     known = modules.select(F.col("project_id").alias("scope"), F.col("path").alias("target")).distinct()

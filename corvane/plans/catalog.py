@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corvane import schema
 from corvane.functions import text as T
 from corvane.functions.stats import wilson
-from corvane.operators import bm25, chunks as chunk_ops, citations, evaluate, expand, extract, facets, fusion, vector
+from corvane.operators import blocks, bm25, chunks as chunk_ops, citations, evaluate, expand, extract, facets, vector
 from corvane.plans import answer, search
 from corvane.session import fingerprint, on_release, scratch_path, stage
 from corvane.sources import tables
@@ -330,10 +330,9 @@ def dense_refusals(spark, sf):
     return _per_provider(v, one)
 
 
-def _fused(spark, sf):
-    index, q = _index(spark, sf), _batch(_questions(spark, sf))
-    pool = CONFIG.pool_size
-    return index, fusion.fuse({"bm25": index.bm25(q, pool), "vector": index.hashed(q, pool)}, pool)
+def _fused(spark, sf, weigh):
+    index, q, pool = _index(spark, sf), _batch(_questions(spark, sf)), CONFIG.pool_size
+    return index.ranked(q, pool, ("bm25", "vector"), how=blocks.Fusion(pool, weigh=weigh))
 
 
 def _with_sources(df):
@@ -341,12 +340,11 @@ def _with_sources(df):
 
 
 def rrf_hybrid(spark, sf):
-    return _with_sources(_fused(spark, sf)[1])
+    return _with_sources(_fused(spark, sf, False))
 
 
 def rrf_weighted(spark, sf):
-    index, fused = _fused(spark, sf)
-    return _with_sources(fusion.reweigh(fused, index.weights()))
+    return _with_sources(_fused(spark, sf, True))
 
 
 def _hits_of(hits):
@@ -454,7 +452,7 @@ def _facets(spark, sf, narrowed=False):
     q = _batch(questions)
     if narrowed:
         q = questions.select(F.col("id").alias("query_id"), F.col("project_id").alias("scope"), T.narrow(F.col("question")).alias("text"))
-    pool = stage(search.candidates(q, index, search.SearchConfig(k=K, pool=facets.POOL)), "pool")
+    pool = stage(search.candidates(q, index, search.SearchConfig(k=K, pool=facets.POOL), ("location", "name")).select("query_id", "ord", "rank", "location", "name"), "pool")
     return index, questions, q, pool, stage(facets.facets(pool, index.docs), "facets")
 
 

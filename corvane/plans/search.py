@@ -1,7 +1,7 @@
 """End-to-end search of a batch of queries.
 
-``Index`` holds the tables a search needs; every step is partitioned by query from the first
-aggregate on, chunk texts never travel with a ranking, and the result of the candidate stage is
+``Index`` holds the tables a search needs; the candidates of a query are found, fused and weighed in
+one task, chunk texts never travel with a ranking, and the result of the candidate stage is
 written once because three expansion steps read it.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import TYPE_ONLY_WEIGHT, chunk_weight, is_reexport
-from corvane.operators import bm25, expand, fusion, vector
+from corvane.operators import blocks, bm25, expand, fusion, vector
 from corvane.session import stage
 
 MODES = ("bm25", "vector", "hybrid")
@@ -67,7 +67,7 @@ class MissingVectors(ValueError):
 class Index:
     """Derived tables of a clean chunk table (one row per ``ord``).
 
-    ``docs``, ``postings`` with their ``idf``, and ``vectors`` are what a persisted index holds;
+    ``rows``, a chunk each without its text, and the ``idf`` are what a persisted index holds;
     each is written once, when a step first asks for it. Texts are read for that and never again
     by a ranking. ``provider`` is a hashed embedder (``md5``, ``hash``) or the name of one whose
     vectors are ``stored`` (``provider content_hash vec``); then every chunk must have one.
@@ -79,22 +79,34 @@ class Index:
         self.chunks = chunks
         self.provider = provider
         self.stored = stored
-        self.tokens = bm25.terms(chunks)
 
     @cached_property
-    def docs(self) -> DataFrame:
-        """The chunks without their texts, with lengths and weights."""
-        text = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("name", "context", "text")))
+    def rows(self) -> DataFrame:
+        """The chunks with the counts of their terms and buckets, lengths, weights and imports instead of texts.
+
+        Terms are those of name, context and text; hashed is what is embedded: context, blank line and text.
+        """
+        text = F.concat_ws("\n\n", F.coalesce("context", F.lit("")), F.coalesce("text", F.lit("")))
         meta = self.chunks.select(
-            "ord", "project_id", "kind", "path", "name", "location", F.size(bm25.tokenize(text)).alias("dl"),
+            "ord", F.col("project_id").alias("scope"), "kind", "path", "name", "location",
             chunk_weight(F.col("kind"), F.col("text")).alias("weight"),
             ((F.col("kind") == "module") & is_reexport(F.coalesce("text", F.lit("")))).alias("shim"),
-        )
-        return stage(meta, "docs", keep=True)
+            F.when(F.col("kind") == "module", expand.relative_imports()).alias("imports"),
+            bm25.tokenize(F.coalesce("name", F.lit(""))).alias("also"), bm25.tokenize(text).alias("tokens"),
+        )
+        meta = meta.withColumn("dl", F.size("also") + F.size("tokens"))
+        return stage(blocks.counted(meta, self.provider), "rows", keep=True)
 
-    @cached_property
+    @property
+    def docs(self) -> DataFrame:
+        """The chunks without their texts, with lengths and weights."""
+        return self.rows.select("ord", F.col("scope").alias("project_id"), "kind", "path", "name", "location", "dl", "weight", "shim")
+
+    @property
     def postings(self) -> DataFrame:
-        return stage(bm25.postings(self.tokens), "postings", keep=True)
+        """``scope ord term dl tf``."""
+        each = self.rows.select("scope", "ord", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+        return each.select("scope", "ord", F.col("t.terms").alias("term"), "dl", F.col("t.tfs").cast("bigint").alias("tf"))
 
     @cached_property
     def idf(self) -> DataFrame:
@@ -110,13 +122,11 @@ class Index:
             raise MissingVectors(f"{missing[1]} chunks ({missing[0]} contents) have no vector of {self.provider}")
         return rows
 
-    @cached_property
+    @property
     def vectors(self) -> DataFrame:
-        """Hashed vectors over context, blank line and text, as embedded."""
-        text = F.concat_ws("\n\n", F.coalesce("context", F.lit("")), F.coalesce("text", F.lit("")))
-        t = self.chunks.select(F.col("project_id").alias("scope"), "ord", bm25.tokenize(text).alias("t")).repartition("scope", "ord")
-        rows = t.select("scope", "ord", F.explode("t").alias("term"), F.lit(1).alias("tf"))
-        return stage(vector.hashed(rows, ["scope", "ord"], self.provider), "hashed", keep=True)
+        """``scope ord buckets weights``: hashed unit vectors."""
+        norm = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda s, x: s + x * x))
+        return self.rows.filter(F.size("buckets") > 0).select("scope", "ord", "buckets", F.transform("counts", lambda x: x / norm).alias("weights"))
 
     def lengths(self) -> DataFrame:
         return self.docs.select(F.col("project_id").alias("scope"), "ord", "dl")
@@ -125,9 +135,20 @@ class Index:
         weight = F.when(F.col("shim"), TYPE_ONLY_WEIGHT).otherwise(F.col("weight")) if demote else F.col("weight")
         return self.docs.select("ord", weight.alias("weight"))
 
+    def ranked(
+        self, queries: DataFrame, k: int, methods: tuple[str, ...], p: bm25.BM25 | None = None, how: blocks.Fusion | None = None,
+        demote: bool = False, carry: tuple[str, ...] = (),
+    ) -> DataFrame:
+        """The best ``k`` by BM25 or hashed vectors, or by both and fused; see ``blocks.ranked``."""
+        p = p or bm25.BM25()
+        q = bm25.asked(queries, self.provider)
+        if "bm25" in methods:
+            q = bm25.weighted(q, self.idf if p == bm25.BM25() else bm25.idf(self.postings, self.lengths(), p), self.lengths())
+        rows = self.rows.withColumn("weight", F.when(F.col("shim"), TYPE_ONLY_WEIGHT).otherwise(F.col("weight"))) if demote else self.rows
+        return blocks.ranked(q, rows, k, methods, (p.k1, p.b), how, carry)
+
     def bm25(self, queries: DataFrame, k: int, p: bm25.BM25 | None = None) -> DataFrame:
-        weights = self.idf if p is None or p == bm25.BM25() else None
-        return bm25.search(queries, self.tokens, k, p, self.postings, self.lengths(), weights)
+        return self.ranked(queries, k, ("bm25",), p).select("query_id", "ord", "score", "rank")
 
     def query_vectors(self, queries: DataFrame) -> DataFrame:
         """Hashed vectors of the queries."""
@@ -135,7 +156,7 @@ class Index:
         return stage(vector.hashed(t, ["query_id", "scope"], self.provider), "query-vectors")
 
     def hashed(self, queries: DataFrame, k: int) -> DataFrame:
-        return vector.hashed_topk(self.query_vectors(queries), self.vectors, k)
+        return self.ranked(queries, k, ("vector",)).select("query_id", "ord", "score", "rank")
 
     def nearest(self, queries: DataFrame, k: int) -> DataFrame:
         """R2: vector ranking; with a stored provider ``queries`` carry their own ``vec``."""
@@ -159,13 +180,16 @@ class Index:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return stage(expand.import_edges(self.chunks), "edges", keep=True)
+        return stage(expand.import_edges(self.rows.withColumnRenamed("scope", "project_id")), "edges", keep=True)
 
 
-def candidates(queries: DataFrame, index: Index, config: SearchConfig) -> DataFrame:
-    """``query_id ord score sources rank`` of the pool, fused and weighed."""
+def candidates(queries: DataFrame, index: Index, config: SearchConfig, carry: tuple[str, ...] = ("path",)) -> DataFrame:
+    """``query_id ord score sources rank`` of the pool, fused and weighed; without stored vectors also ``scope`` and what is to ``carry``."""
     mode = resolve_mode(config.mode, index.provider)
     pool = config.pool_size
+    if index.provider in HASHED or mode == "bm25":
+        how = blocks.Fusion(pool, config.weights, config.weigh_chunks)
+        return index.ranked(queries, pool, ("bm25", "vector") if mode == "hybrid" else (mode,), config.bm25, how, config.demote_reexports, carry)
     rankings: dict[str, DataFrame] = {}
     if mode in ("bm25", "hybrid"):
         rankings["bm25"] = index.bm25(queries, pool, config.bm25)
