@@ -447,13 +447,23 @@ def import_edges(spark, sf):
 # --- facets --------------------------------------------------------------------------------
 
 
-def _facets(spark, sf, narrowed=False):
+def _narrowed(questions):
+    """The narrowed questions, each text of a scope asked once, and whose it is: ``query_id scope text``, ``query_id asker``."""
+    each = questions.select(F.col("id").alias("asker"), F.col("project_id").alias("scope"), T.narrow(F.col("question")).alias("text"))
+    each = stage(each.withColumn("query_id", F.min("asker").over(Window.partitionBy("scope", "text"))), "narrowed")
+    return each.filter("query_id = asker").select("query_id", "scope", "text"), each.select("query_id", "asker")
+
+
+def _for_askers(found, askers):
+    """What was found for a text, for each who asked it."""
+    return found.join(askers, "query_id").drop("query_id").withColumnRenamed("asker", "query_id")
+
+
+def _facets(spark, sf, q=None):
     index, questions = _index(spark, sf), _questions(spark, sf)
-    q = _batch(questions)
-    if narrowed:
-        q = questions.select(F.col("id").alias("query_id"), F.col("project_id").alias("scope"), T.narrow(F.col("question")).alias("text"))
+    q = _batch(questions) if q is None else q
     pool = stage(search.candidates(q, index, search.SearchConfig(k=K, pool=facets.POOL), ("location", "name")).select("query_id", "ord", "rank", "location", "name"), "pool")
-    return index, questions, q, pool, stage(facets.facets(pool, index.docs), "facets")
+    return index, pool, stage(facets.facets(pool, index.docs), "facets")
 
 
 def facet_clusters(spark, sf):
@@ -466,28 +476,31 @@ def facet_clusters(spark, sf):
 
 
 def facet_query_terms(spark, sf):
-    *_, q, _, f = _facets(spark, sf, narrowed=True)
-    return f.join(q, "query_id").select("query_id", "facet_rank", facets.refined_query(F.col("text")).alias("refined"))
+    q, askers = _narrowed(_questions(spark, sf))
+    refined = _facets(spark, sf, q)[-1].join(q, "query_id").select("query_id", "facet_rank", facets.refined_query(F.col("text")).alias("refined"))
+    return _for_askers(refined, askers).select("query_id", "facet_rank", "refined")
 
 
 def facet_search_within(spark, sf):
-    index, _, _, pool, f = _facets(spark, sf)
+    index, pool, f = _facets(spark, sf)
     first = f.filter("facet_rank = 1").select("query_id", "directory")
     return facets.within(pool, index.docs, first, K).select("query_id", "ord", "pos")
 
 
 def facet_measure(spark, sf):
     """Narrowed questions: found as they are, by a facet that covers a file, by the best refined query."""
-    index, questions, q, _, f = _facets(spark, sf, narrowed=True)
+    questions = _questions(spark, sf)
+    q, askers = _narrowed(questions)
+    index, _, f = _facets(spark, sf, q)
     j = evaluate.judgments(questions).withColumnRenamed("question_id", "query_id")
-    plain = search.search(q, index, CONFIG).join(j, ["query_id", "path"], "left_semi").select("query_id").distinct()
+    plain = _for_askers(search.search(q, index, CONFIG).select("query_id", "path").distinct(), askers).join(j, ["query_id", "path"], "left_semi").select("query_id").distinct()
     # a facet covers a file if it is one of the file's directories
     above = j.select("query_id", F.explode(T.ancestors(T.directory(F.col("path")))).alias("directory"))
-    menu = f.join(above, ["query_id", "directory"], "left_semi").select("query_id").distinct()
+    menu = _for_askers(f.select("query_id", "directory"), askers).join(above, ["query_id", "directory"], "left_semi").select("query_id").distinct()
     key = F.concat_ws("#", "query_id", F.col("facet_rank").cast("string")).alias("key")
     refined = stage(f.join(q, "query_id").select("query_id", key, "scope", facets.refined_query(F.col("text")).alias("text")), "refined")
     again = search.search(refined.select(F.col("key").alias("query_id"), "scope", "text"), index, CONFIG).select(F.col("query_id").alias("key"), "path")
-    again = again.join(refined.select("key", "query_id"), "key").select("query_id", "path")
+    again = _for_askers(again.join(refined.select("key", "query_id"), "key").select("query_id", "path").distinct(), askers)
     ceiling = again.join(j, ["query_id", "path"], "left_semi").select("query_id").union(plain).distinct()
     out = None
     for name, hits in (("plain", plain), ("menu", menu), ("ceiling", ceiling)):

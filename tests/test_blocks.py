@@ -3,7 +3,7 @@ import random
 import pytest
 
 from corvane.operators import blocks, bm25, facets, fusion
-from corvane.plans import search
+from corvane.plans import catalog, search
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,11 @@ def test_facets_of_a_pool_that_carries_places(indexed):
     pool = search.candidates(q, index, search.SearchConfig(k=3, pool=80), ("location", "name"))
     carried = facets.facets(pool, index.docs).collect()
     assert carried and sorted(map(str, carried)) == sorted(map(str, facets.facets(pool.drop("scope", "location", "name"), index.docs).collect()))
+
+
+def test_narrowed_questions_are_asked_once(spark):
+    q = [("1", "a", "Where is ledger kept"), ("2", "a", "where  was it"), ("3", "b", "Where is it"), ("4", None, "where")]
+    texts, askers = catalog._narrowed(spark.createDataFrame(q, "id string, project_id string, question string"))
+    assert sorted((r.scope or "", r.query_id, r.text) for r in texts.collect()) == [("", "4", "where"), ("a", "1", "where"), ("b", "3", "where")]
+    found = spark.createDataFrame([("1", "x.py"), ("3", "y.py")], "query_id string, path string")
+    assert sorted((r.query_id, r.path) for r in catalog._for_askers(found, askers).collect()) == [("1", "x.py"), ("2", "x.py"), ("3", "y.py")]
